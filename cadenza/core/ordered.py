@@ -32,12 +32,14 @@ def group_sizes(df: DataFrame, group: list[str]) -> tuple[int, int]:
 class Ordered:
     """Rows of ``df`` grouped by ``group`` and ordered by ``order`` (a total order)."""
 
-    def __init__(self, df: DataFrame, group: list[str], order: list, limit: int | None = None):
+    def __init__(self, df: DataFrame, group: list[str], order: list, limit: int | None = None,
+                 sizes_from: DataFrame | None = None):
+        """``sizes_from`` may give group sizes more cheaply than ``df``; it must not be smaller."""
         spark = df.sparkSession
         self.group = list(group)
         self.order = [F.col(c) if isinstance(c, str) else c for c in order]
         limit = group_rows(spark) if limit is None else limit
-        largest, total = group_sizes(df, self.group)
+        largest, total = group_sizes(df if sizes_from is None else sizes_from, self.group)
         self.sliced = largest > limit
         if self.sliced:
             slices = max(ceil(total / max(limit, 1)), int(spark.conf.get("spark.sql.shuffle.partitions")))
