@@ -53,3 +53,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def explode_range(df: DataFrame, stop, name: str, start=0, chunk: int = 8192) -> DataFrame:
+    """Repeat each row for ``name`` in [start, stop). Long ranges are built in two steps, never as one long array."""
+    start = start if isinstance(start, Column) else F.lit(start)
+    stop = stop if isinstance(stop, Column) else F.lit(stop)
+    keep = df.columns
+    r = df.select("*", start.cast("long").alias("_a"), stop.cast("long").alias("_b")).filter("_b > _a")
+    r = r.select("*", F.explode(F.expr(f"sequence(0L, (_b - _a - 1) div {chunk})")).alias("_c"))
+    lo = F.col("_a") + F.col("_c") * chunk
+    return r.select(*keep, F.explode(F.sequence(lo, F.least(lo + chunk, F.col("_b")) - 1)).alias(name))

@@ -180,14 +180,14 @@ def sample_rows(spark, d) -> DataFrame:
     """samples(track_id, stem, i, ref, est): lines of a supplier per return flag."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_discount", *LINE_KEY)
     o = Ordered(li, ["l_suppkey", "l_returnflag"], LINE_KEY).add(rn=("row", None)).result()
-    p = F.col("l_extendedprice") / 1000
+    p = F.col("l_extendedprice") / 997
     return o.select(F.col("l_suppkey").alias("track_id"), F.col("l_returnflag").alias("stem"),
                     (F.col("rn") - 1).alias("i"), p.alias("ref"), (p * (1 - F.col("l_discount"))).alias("est"))
 
 
 view("samples", """SELECT l_suppkey AS track_id, l_returnflag AS stem,
   row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS i,
-  l_extendedprice / 1000 AS ref, l_extendedprice / 1000 * (1 - l_discount) AS est FROM lineitem""")
+  l_extendedprice / 997 AS ref, l_extendedprice / 997 * (1 - l_discount) AS est FROM lineitem""")
 
 
 def block_metric(spark, d) -> DataFrame:
