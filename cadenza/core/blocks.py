@@ -7,6 +7,8 @@ bounded by the block size however large a cell is.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +41,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
     ``cell`` columns restrict comparison to equal cells. ``cosine`` expects unit vectors and
     scores by inner product; ``euclid`` scores by negative distance.
     """
+    queries = queries.select(*[F.col(x).alias(x) for x in queries.columns])  # both sides may be one table
     cell = cell or []
     merge_on = [*(merge_on or []), "q"]
     if cell:
@@ -47,9 +50,11 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
         cells = materialise(nq.join(nc, cell), "cells")
         q, c = queries.join(cells, cell), corpus.join(cells, cell)
     else:
-        nq, nc = -(-queries.count() // block), -(-corpus.count() // block)
+        spread = isqrt(queries.sparkSession.sparkContext.defaultParallelism) + 1  # enough block pairs to keep every core busy
+        blocks = lambda n: max(-(-n // block), min(spread, n // 256), 1)
+        nq, nc = blocks(queries.count()), blocks(corpus.count())
         cell = ["_cell"]
-        one = lambda df: df.select("*", F.lit(0).alias("_cell"), F.lit(max(nq, 1)).alias("_nq"), F.lit(max(nc, 1)).alias("_nc"))
+        one = lambda df: df.select("*", F.lit(0).alias("_cell"), F.lit(nq).alias("_nq"), F.lit(nc).alias("_nc"))
         q, c = one(queries), one(corpus)
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
