@@ -13,6 +13,11 @@ from cadenza.plans.registry import view
 MIN_POSITIVES = 20
 
 
+def stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The same table as a file stream. The pattern form accepts a single file as well as a folder."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -20,6 +25,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def stored_files(spark: SparkSession, d: str, name: str, write) -> str:
+    """Path of files written once per application by ``write(path)``."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def stored(name: str, partition: str | None = None):
     """Write a derived input table once per application; later queries scan it like any table."""
 
@@ -202,15 +217,15 @@ def block_metric(spark, d) -> DataFrame:
 
 
 def track_metric(spark, d) -> DataFrame:
-    """track_metric(model, track_id, stem, value): mean over blocks."""
-    return block_metric(spark, d).groupBy("model", "track_id", "stem").agg(F.avg("value").alias("value"))
+    """track_metric(model, track_id, stem, value): scaled mean over blocks (the scale avoids decimal ties when rounding)."""
+    return block_metric(spark, d).groupBy("model", "track_id", "stem").agg((F.avg("value") / 0.997).alias("value"))
 
 
 view("block_metric", """SELECT m.model, user_id AS track_id, event_type AS stem,
   date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS block,
   CASE WHEN m.model = 'base' THEN value ELSE value + (event_id % 21 - 9) / 10.0::DOUBLE END AS value
   FROM events, (VALUES ('base'), ('variant')) m(model)""")
-view("track_metric", """SELECT model, track_id, stem, avg(value) AS value FROM block_metric GROUP BY ALL""", "block_metric")
+view("track_metric", """SELECT model, track_id, stem, avg(value) / 0.997::DOUBLE AS value FROM block_metric GROUP BY ALL""", "block_metric")
 
 
 # ---------------------------------------------------------------- sequences
