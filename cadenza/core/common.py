@@ -19,11 +19,6 @@ def finite_or_null(c: Column) -> Column:
     return F.when(finite(c), c)
 
 
-def small(df: DataFrame, limit: int = DIMENSION_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is measured to be a small dimension, else leave the choice to AQE."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def md5_int(*parts: Column | str | int) -> Column:
     """32-bit integer drawn from an MD5 digest: reproducible on any engine that has MD5."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

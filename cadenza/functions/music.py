@@ -45,15 +45,19 @@ def semitones(a: Column, b: Column) -> Column:
     return F.pmod(b - a + 6, F.lit(12)) - 6
 
 
-def key_distance(key_a: Column, key_b: Column) -> tuple[Column, Column]:
-    """(semitones, relation); identical and relative keys need no shift."""
-    ta, tb, ma, mb = tonic(key_a), tonic(key_b), mode(key_a), mode(key_b)
+def pitch_distance(ta: Column, ma: Column, tb: Column, mb: Column) -> tuple[Column, Column]:
+    """(semitones, relation) from tonics and modes; identical and relative keys need no shift."""
     same = (ta == tb) & (ma == mb)
     rel = (ma != mb) & (F.pmod(F.when(ma == "major", ta + 9).otherwise(ta + 3), F.lit(12)) == tb)
     far = F.concat(F.when(ma == mb, "same mode").otherwise("other mode"), F.lit(", fifths distance "), circle_distance(ta, tb).cast("string"))
     return F.when(same | rel, 0).otherwise(semitones(ta, tb)), F.when(same, "same key").when(rel, "relative key").otherwise(far)
 
 
+def key_distance(key_a: Column, key_b: Column) -> tuple[Column, Column]:
+    """The same for key names such as ``'A minor'``."""
+    return pitch_distance(tonic(key_a), mode(key_a), tonic(key_b), mode(key_b))
+
+
 def to_eval_label(label: Column) -> Column:
     """Player notation to evaluation notation: Am -> A:min, F -> F:maj, empty/N/X -> N."""
     none = label.isNull() | label.isin("", "N", "X")

@@ -17,6 +17,8 @@ from cadenza.operators.signal import align_min_length
 # The usual pitch-fader range and the largest unobtrusive pitch shift.
 MAX_STRETCH = 0.08
 MAX_SEMITONES = 2
+# Octave corrections, tried in this order.
+OCTAVES = (0.5, 1.0, 2.0)
 COST_DIGITS = 9  # costs are rounded before ranking so that ties fall to the smaller id
 
 
@@ -28,30 +30,35 @@ def bar_seconds(downbeats: DataFrame) -> DataFrame:
     return n.join(med, "track_id", "left").select("track_id", F.when(F.col("n") >= 3, F.col("g")).otherwise(F.lit(0.0)).alias("bar_seconds"))
 
 
-def pair_semitones(base_key: Column, donor_key: Column) -> tuple[Column, Column]:
+def pair_semitones(ta: Column, ma: Column, tb: Column, mb: Column) -> tuple[Column, Column]:
     """Shift and relation of a pair: neighbours on the circle of fifths in one mode overlap unshifted."""
-    shift, relation = U.key_distance(base_key, donor_key)
-    near = (shift != 0) & (U.mode(base_key) == U.mode(donor_key)) & (U.circle_distance(U.tonic(base_key), U.tonic(donor_key)) <= 1)
+    shift, relation = U.pitch_distance(ta, ma, tb, mb)
+    near = (shift != 0) & (ma == mb) & (U.circle_distance(ta, tb) <= 1)
     return F.when(near, 0).otherwise(shift), F.when(near, F.concat(relation, F.lit(" (adjacent, unshifted)"))).otherwise(relation)
 
 
-def octave_corrected(ratio: Column) -> Column:
-    """Try half, same and double in this order, each time keeping what is closer to 1."""
-    for m in (0.5, 1.0, 2.0):
-        ratio = F.when(F.abs(ratio * m - 1) < F.abs(ratio - 1), ratio * m).otherwise(ratio)
-    return ratio
+def octave_step(ratio: Column, m: float) -> Column:
+    """Replace the ratio by its multiple if that is closer to 1."""
+    return F.when(F.abs(ratio * m - 1) < F.abs(ratio - 1), ratio * m).otherwise(ratio)
 
 
 def plan_mashup(pairs: DataFrame, features: DataFrame, max_stretch: float = MAX_STRETCH,
                 max_semitones: int = MAX_SEMITONES) -> DataFrame:
     """Cost of laying ``donor`` over ``base`` for rows (base, donor)."""
-    side = lambda p: features.select(F.col("track_id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("bpm", "key", "bar_seconds")])
+    def side(p: str) -> DataFrame:
+        k = F.col("key")
+        return features.select(F.col("track_id").alias(p), F.col("bpm").alias(f"{p}_bpm"), F.col("bar_seconds").alias(f"{p}_bar_seconds"),
+                               U.tonic(k).alias(f"{p}_tonic"), U.mode(k).alias(f"{p}_mode"))
+
     j = pairs.join(side("base"), "base").join(side("donor"), "donor")
     known = (F.col("base_bpm") > 0) & (F.col("donor_bpm") > 0)
     bars = (F.col("base_bar_seconds") > 0) & (F.col("donor_bar_seconds") > 0)
     ratio = F.when(bars, F.try_divide("donor_bar_seconds", "base_bar_seconds")).otherwise(F.try_divide("base_bpm", "donor_bpm"))
-    j = j.withColumn("_ratio", ratio).withColumn("stretch", F.when(known, octave_corrected(F.col("_ratio"))).otherwise(F.lit(1.0)))
-    shift, relation = pair_semitones(F.col("base_key"), F.col("donor_key"))
+    j = j.withColumn("_ratio", ratio)
+    for m in OCTAVES:
+        j = j.withColumn("_ratio", octave_step(F.col("_ratio"), m))
+    j = j.withColumn("stretch", F.when(known, F.col("_ratio")).otherwise(F.lit(1.0)))
+    shift, relation = pair_semitones(F.col("base_tonic"), F.col("base_mode"), F.col("donor_tonic"), F.col("donor_mode"))
     j = j.withColumn("semitones", F.when(known, shift).otherwise(0)).withColumn("key_relation", F.when(known, relation).otherwise("unknown"))
     far, off = F.abs(F.col("stretch") - 1) > max_stretch, F.abs("semitones") > max_semitones
     reason = F.when(~known, "tempo unknown").otherwise(F.concat_ws("; ", F.when(far, "speed change over limit"), F.when(off, "pitch shift over limit")))
@@ -101,7 +108,7 @@ def _lookups() -> Column:
 
 
 def _targets(lookups: DataFrame) -> DataFrame:
-    keyed = F.when(F.col("kind") == "unknown", F.array(F.lit(1.0))).otherwise(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)))
+    keyed = F.when(F.col("kind") == "unknown", F.array(F.lit(1.0))).otherwise(F.lit(list(OCTAVES)))
     return lookups.withColumn("target", F.explode(F.transform(keyed, lambda m: F.col("len") * m)))
 
 
@@ -121,10 +128,13 @@ def rank_candidates(features: DataFrame, k: int, max_stretch: float = MAX_STRETC
     of that cost; their union over all costs contains the k best plans overall. Exact, and
     linear in the number of tracks.
     """
-    keys = [f"{p} {m}" for p in U.PITCHES for m in ("major", "minor")]
-    donors = features.select(F.col("track_id").alias("donor"), "key", F.explode(_entries(features)).alias("e"), "bpm", "bar_seconds")
-    tuned = donors.filter("e.kind <> 'unknown'").withColumn("base_key", F.explode(F.lit(keys)))
-    tuned = tuned.select("donor", "e.kind", "e.len", "base_key", F.abs(pair_semitones(F.col("base_key"), F.col("key"))[0]).cast("int").alias("cost"))
+    keys = F.array(*[F.struct(F.lit(f"{p} {m}").alias("key"), F.lit(t).alias("tonic"), F.lit(m).alias("mode"))
+                     for t, p in enumerate(U.PITCHES) for m in ("major", "minor")])
+    donors = features.select(F.col("track_id").alias("donor"), U.tonic(F.col("key")).alias("tonic"), U.mode(F.col("key")).alias("mode"),
+                             F.explode(_entries(features)).alias("e"))
+    tuned = donors.filter("e.kind <> 'unknown'").withColumn("b", F.explode(keys))
+    shift = pair_semitones(F.col("b.tonic"), F.col("b.mode"), F.col("tonic"), F.col("mode"))[0]
+    tuned = tuned.select("donor", "e.kind", "e.len", F.col("b.key").alias("base_key"), F.abs(shift).cast("int").alias("cost"))
     unknown = donors.filter("e.kind = 'unknown'").select("donor", "e.kind", "e.len", F.lit("").alias("base_key"), F.lit(0).alias("cost"))
     looks = features.select(F.col("track_id").alias("base"), "key", F.explode(_lookups()).alias("e")).select("base", "key", "e.kind", "e.len")
     keyless = F.col("kind") == "unknown"

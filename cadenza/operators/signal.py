@@ -76,7 +76,7 @@ def ensemble(outputs: DataFrame, weights: DataFrame | None = None, by: tuple[str
     if weights is None:
         o = o.withColumn("w", F.lit(1.0))
     else:
-        o = o.join(F.broadcast(weights), [c for c in ("model", "stem") if c in weights.columns], "left").na.fill(1.0, ["w"])
+        o = o.join(weights, [c for c in ("model", "stem") if c in weights.columns], "left").na.fill(1.0, ["w"])
     return o.groupBy(*by).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 

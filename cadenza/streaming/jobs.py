@@ -33,7 +33,7 @@ def recent_jobs(state: DataFrame, n: int = 10) -> DataFrame:
 def start_job_state(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write every change of job state; ``read_job_state`` folds the changes to the current table."""
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return job_state(events).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

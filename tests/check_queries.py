@@ -1,6 +1,11 @@
-"""Run registered queries next to their SQL on DuckDB: python tests/check_queries.py [sf_dir] [key ...]"""
+"""Run registered queries next to their SQL on DuckDB.
+
+python tests/check_queries.py [sf_dir] [key or prefix* ...]
+CADENZA_GROUP_ROWS=40 makes every group above 40 rows take the sliced plan.
+"""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -43,6 +48,8 @@ def main():
     spark = get_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
+    if "CADENZA_GROUP_ROWS" in os.environ:
+        spark.conf.set("spark.cadenza.groupRows", os.environ["CADENZA_GROUP_ROWS"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
