@@ -25,7 +25,7 @@ def tonic(key: Column) -> Column:
 
 
 def mode(key: Column) -> Column:
-    return F.split(key, " ")[1]
+    return F.get(F.split(key, " "), F.lit(1))
 
 
 def relative_key(tonic_: Column, mode_: Column) -> Column:

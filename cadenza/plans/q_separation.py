@@ -121,13 +121,13 @@ def p13(spark, d):
     return rounded(G.match_length(mono(spark, d), 210), "v")
 
 
-@query("P14", sql("""c AS (SELECT track_id, CAST(i % (1 + track_id % 3) AS INTEGER) AS ch, i, ref AS v FROM samples WHERE stem = 'A'),
-n AS (SELECT track_id, max(ch) AS top FROM c GROUP BY track_id)
-SELECT track_id, u.ch, count(*) AS n, round(sum(v), 4) AS total FROM c JOIN n USING (track_id), (VALUES (0), (1)) u(ch)
+@query("P14", sql("""c AS (SELECT track_id, stem, CAST(i % (1 + track_id % 3) AS INTEGER) AS ch, i, ref AS v FROM samples),
+n AS (SELECT track_id, stem, max(ch) AS top FROM c GROUP BY ALL)
+SELECT track_id, stem, u.ch, count(*) AS n, round(sum(v), 4) AS total FROM c JOIN n USING (track_id, stem), (VALUES (0), (1)) u(ch)
   WHERE c.ch < 2 AND (top = 0 OR c.ch = u.ch) GROUP BY ALL""", "samples"))
 def p14(spark, d):
-    c = mono(spark, d).filter("stem = 'A'").withColumn("ch", (F.col("i") % (1 + F.col("track_id") % 3)).cast("int"))
-    return G.to_stereo(c).groupBy("track_id", "ch").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    c = mono(spark, d).withColumn("ch", (F.col("i") % (1 + F.col("track_id") % 3)).cast("int"))
+    return G.to_stereo(c, ("track_id", "stem")).groupBy("track_id", "stem", "ch").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
 view("mix", "SELECT track_id, i, sum(ref) AS v FROM samples GROUP BY ALL", "samples")

@@ -88,22 +88,21 @@ def s06(spark, d):
 
 
 STEM_SQL = "(['mixture','vocals','drums','bass','other'])[CAST(l_linenumber % 5 + 1 AS INTEGER)]"
-view("stems", f"""SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'test' ELSE 'train' END AS subset, 'Track ' || l_suppkey || '-' || l_partkey % 4 AS track, {STEM_SQL} AS stem,
-  max(CASE WHEN l_quantity > 49 THEN 48000 ELSE 44100 END) AS sample_rate, min(CASE WHEN l_tax = 0 AND l_discount = 0 THEN 1 ELSE 2 END) AS channels FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY ALL""")
+view("stems", f"""SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS subset, 'Track ' || l_orderkey AS track, {STEM_SQL} AS stem,
+  max(CASE WHEN l_quantity > 49 THEN 48000 ELSE 44100 END) AS sample_rate, min(CASE WHEN l_tax = 0 AND l_discount = 0 THEN 1 ELSE 2 END) AS channels FROM lineitem GROUP BY ALL""")
 
 
 def stem_files(spark, d):
-    """subset/track/stem.wav listings with header facts; some recordings are incomplete."""
+    """subset/track/stem.wav listings with header facts: an order is a recording, its lines are stems, few are complete."""
     stem = F.element_at(F.lit(["mixture", "vocals", "drums", "bass", "other"]), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    path = F.concat_ws("/", F.when(F.col("l_suppkey") % 3 == 0, "test").otherwise("train"),
-                       F.concat(F.lit("Track "), "l_suppkey", F.lit("-"), F.col("l_partkey") % 4), F.concat(stem, F.lit(".wav")))
-    li = C.table(spark, d, "lineitem").filter("l_orderkey % 9 = 0")
-    f = li.groupBy(path.alias("path")).agg(F.max(F.when(F.col("l_quantity") > 49, 48000).otherwise(44100)).alias("sample_rate"),
-                                           F.min(F.when((F.col("l_tax") == 0) & (F.col("l_discount") == 0), 1).otherwise(2)).alias("channels"))
+    path = F.concat_ws("/", F.when(F.col("l_orderkey") % 3 == 0, "test").otherwise("train"), F.concat(F.lit("Track "), "l_orderkey"), F.concat(stem, F.lit(".wav")))
+    f = C.table(spark, d, "lineitem").groupBy(path.alias("path")).agg(
+        F.max(F.when(F.col("l_quantity") > 49, 48000).otherwise(44100)).alias("sample_rate"),
+        F.min(F.when((F.col("l_tax") == 0) & (F.col("l_discount") == 0), 1).otherwise(2)).alias("channels"))
     return A.track_files(f)
 
 
-VALIDATION = ("Track 1-0", "Track 1-1", "Track 4-2", "Track 7-3")
+VALIDATION = ("Track 1", "Track 10", "Track 40", "Track 73")
 
 
 @query("S07", sql(f"""x AS (SELECT subset, track FROM stems WHERE subset = 'train' AND stem = 'mixture')
@@ -247,7 +246,7 @@ view("members", """SELECT l_suppkey AS archive, l_orderkey || '-' || l_linenumbe
 view("archives", """SELECT s_suppkey AS archive, 512 * (1500 + s_suppkey * 7 % 500) + CASE WHEN s_suppkey % 31 = 0 THEN 1 ELSE 0 END AS bytes, sha256(CAST(s_suppkey % 50 AS VARCHAR)) AS sha256 FROM supplier""")
 
 
-@query("S18", sql("""m AS (SELECT DISTINCT o_orderkey % (SELECT count(*) FROM supplier) AS archive, o_orderkey || '-1' AS member FROM orders WHERE o_orderkey % 20 = 0),
+@query("S18", sql("""m AS (SELECT DISTINCT o_orderkey % (SELECT count(*) FROM supplier) AS archive, o_orderkey || '-1' AS member FROM orders),
 r AS (SELECT archive, CASE WHEN archive % 17 = 0 THEN bytes - 512 ELSE bytes END AS b, CASE WHEN archive % 19 = 0 THEN 'old' ELSE sha256 END AS h FROM archives)
 SELECT archive, NULL AS member, 'truncated archive' AS problem FROM archives WHERE bytes % 512 <> 0
 UNION ALL SELECT archive, member, 'missing member' FROM m WHERE archive IN (SELECT archive FROM archives) AND (archive, member) NOT IN (SELECT archive, member FROM members)
@@ -264,7 +263,7 @@ def s18(spark, d):
     archives = s.select(k.alias("archive"), (512 * (1500 + k * 7 % 500) + F.when(k % 31 == 0, 1).otherwise(0)).alias("bytes"), F.sha2((k % 50).cast("string"), 256).alias("sha256"))
     receipts = archives.select("archive", F.when(F.col("archive") % 17 == 0, F.col("bytes") - 512).otherwise(F.col("bytes")).alias("bytes"),
                                F.when(F.col("archive") % 19 == 0, "old").otherwise(F.col("sha256")).alias("sha256"))
-    want = C.table(spark, d, "orders").filter("o_orderkey % 20 = 0").select((F.col("o_orderkey") % s.count()).alias("archive"), F.concat("o_orderkey", F.lit("-1")).alias("member"))
+    want = C.table(spark, d, "orders").select((F.col("o_orderkey") % s.count()).alias("archive"), F.concat("o_orderkey", F.lit("-1")).alias("member"))
     return A.audit_archives(archives, members.withColumn("member", F.concat(F.lit("./"), "member")), want, receipts)
 
 

@@ -32,11 +32,11 @@ def j01(spark, d):
     return rounded(X.paired(metric(spark, d, "base"), metric(spark, d, "variant"), ("track_id", "stem")), "a", "b", "diff")
 
 
-@query("X01", sql("""SELECT round(mean_diff, 6) AS mean_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value, n,
-  'paired bootstrap' AS method FROM obs JOIN boot_ci USING (stem) WHERE stem = 'click'""", "obs", "boot_ci"))
+@query("X01", sql("""SELECT stem, round(mean_diff, 6) AS mean_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value, n,
+  'paired bootstrap' AS method FROM obs JOIN boot_ci USING (stem) WHERE stem <> 'mean'""", "obs", "boot_ci"))
 def x01(spark, d):
-    p = X.paired(metric(spark, d, "base"), metric(spark, d, "variant"), ("track_id", "stem")).filter("stem = 'click'")
-    return rounded(X.paired_bootstrap(p, n_boot=BOOT), *CI)
+    p = X.paired(metric(spark, d, "base"), metric(spark, d, "variant"), ("track_id", "stem"))
+    return rounded(X.paired_bootstrap(p, ("stem",), n_boot=BOOT), *CI)
 
 
 @query("X02", sql(f"""nulls AS (SELECT stem, b, avg((1 - 2 * ({md5_sql("'0'", "'sign'", "b", "idx")} % 2)) * diff) AS m FROM numbered, range(0, {BOOT}) r(b) WHERE stem <> 'mean' GROUP BY ALL),
