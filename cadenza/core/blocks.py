@@ -21,6 +21,10 @@ BLOCK = 2048
 DIGITS = 9  # similarities are rounded before ranking so that ties fall to the smaller id
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best scores per row, ids ascending within ties."""
     k = min(k, score.shape[1])
@@ -38,8 +42,8 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
                  block: int = BLOCK) -> DataFrame:
     """(merge_on..., q, item, score, rank): best ``k`` of ``corpus(id, vec)`` per row of ``queries(q, vec)``.
 
-    ``cell`` columns restrict comparison to equal cells. ``cosine`` expects unit vectors and
-    scores by inner product; ``euclid`` scores by negative distance.
+    ``cell`` columns restrict comparison to equal cells. ``cosine`` scales both sides to
+    unit length inside the task; ``euclid`` scores by negative distance.
     """
     queries = queries.select(*[F.col(x).alias(x) for x in queries.columns])  # both sides may be one table
     cell = cell or []
@@ -70,7 +74,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
             return pd.DataFrame(columns=names)
         qv, cv = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         if metric == "cosine":
-            score = qv @ cv.T
+            score = _unit(qv) @ _unit(cv).T
         else:
             score = -np.sqrt(((qv[:, None, :] - cv[None, :, :]) ** 2).sum(axis=2)) if len(qv) * len(cv) * qv.shape[1] < 2e7 \
                 else -np.sqrt(np.maximum((qv**2).sum(1)[:, None] + (cv**2).sum(1)[None, :] - 2 * qv @ cv.T, 0))

@@ -27,8 +27,7 @@ def l2_normalise(df: DataFrame, vec: str = "vec", eps: float = 1e-12) -> DataFra
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Cosine top-k of ``corpus(id, vec)`` for each ``queries(id, vec)``; the query itself is left out."""
-    q = l2_normalise(queries.select(F.col("id").alias("q"), "vec"))
-    return blocked_topk(q, l2_normalise(corpus.select("id", "vec")), k)
+    return blocked_topk(queries.select(F.col("id").alias("q"), "vec"), corpus.select("id", "vec"), k)
 
 
 # ---------------------------------------------------------------- shared tags
@@ -200,14 +199,14 @@ def list_centroids(lists: DataFrame) -> DataFrame:
 
 def ivf_probes(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
     """(q, list_id): the n_probe lists nearest to each query(id, vec)."""
-    q = l2_normalise(queries.select(F.col("id").alias("q"), "vec"))
+    q = queries.select(F.col("id").alias("q"), "vec")
     c = centroids.select(F.col("list_id").alias("id"), "vec")
     return blocked_topk(q, c, n_probe, exclude_self=False).select("q", F.col("item").alias("list_id"))
 
 
 def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """Top-k among the probed lists only. A hot list is split into blocks like any other cell."""
-    q = l2_normalise(queries.select(F.col("id").alias("q"), "vec")).join(probes, "q")
+    q = queries.select(F.col("id").alias("q"), "vec").join(probes, "q")
     return blocked_topk(q, lists.select("id", "vec", "list_id"), k, cell=["list_id"])
 
 

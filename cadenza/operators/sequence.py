@@ -56,12 +56,19 @@ def triad_templates(spark: SparkSession) -> DataFrame:
 
 
 def chord_per_beat(sync: DataFrame) -> DataFrame:
-    """(track_id, piece, cls, label, confidence): most similar triad by cosine, the lowest class on ties."""
-    d = _pitch_array(sync, ("track_id", "piece"), F.max)
-    d = d.withColumn("_n", F.sqrt(U.dot("chroma", F.col("chroma"))) + 1e-12)
-    tpl = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(v).alias("v")) for i, (_, v) in enumerate(U.triads())])
-    sims = F.transform(tpl, lambda t: F.struct(F.round(U.dot(F.col("chroma"), t["v"]) / F.col("_n"), 9).alias("sim"), (-t["cls"]).alias("neg")))
-    d = d.withColumn("_b", F.array_max(sims))
+    """(track_id, piece, cls, label, confidence): most similar triad by cosine, the lowest class on ties.
+
+    Triads have three tones, so every similarity is a short sum of plain columns.
+    """
+    at = lambda i: F.col(f"_c{i}")
+    d = sync.groupBy("track_id", "piece").agg(*[F.coalesce(F.max(F.when(F.col("pc") == i, F.col("v"))), F.lit(0.0)).alias(f"_c{i}") for i in range(12)])
+    energy = sum((at(i) * at(i) for i in range(1, 12)), at(0) * at(0))
+    d = d.withColumn("_n", F.sqrt(energy) + 1e-12)
+    sims = []
+    for cls, (_, tpl) in enumerate(U.triads()):
+        tones = [at(i) * w for i, w in enumerate(tpl) if w]
+        sims.append(F.struct(F.round(sum(tones[1:], tones[0]) / F.col("_n"), 9).alias("sim"), F.lit(-cls).alias("neg")))
+    d = d.select("track_id", "piece", F.greatest(*sims).alias("_b"))
     names = F.lit([n for n, _ in U.triads()])
     return d.select("track_id", "piece", (-F.col("_b.neg")).alias("cls"), F.element_at(names, 1 - F.col("_b.neg")).alias("label"), F.col("_b.sim").alias("confidence"))
 
