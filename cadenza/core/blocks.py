@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.ordered import top_per_group
-from cadenza.core.session import materialise
+from cadenza.core.session import materialise, parallelism
 
 BLOCK = 2048
 DIGITS = 9  # similarities are rounded before ranking so that ties fall to the smaller id
@@ -87,5 +87,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
         return pd.DataFrame({**out, "q": qid[row], "item": cid[col], "score": score[row, col]})[names]
 
     keys = [*cell, "_qb", "_cb"]
+    n = parallelism(queries.sparkSession)
+    q, c = q.repartition(n, *keys), c.repartition(n, *keys)
     partial = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(pair, schema)
     return top_per_group(partial, merge_on, [F.desc("score"), F.col("item")], k)

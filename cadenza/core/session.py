@@ -41,6 +41,11 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS)))
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for steps whose few input bytes hide a lot of work; AQE would merge them by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
