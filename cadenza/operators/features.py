@@ -6,6 +6,8 @@ shuffles one vector per group and task instead of one row per component.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from cadenza.operators import tagging
 # Segment combinations of the ablation, by name.
 COMBOS = {"s0": (0,), "s1": (1,), "s2": (2,), "s3": (3,), "s0+s1": (0, 1), "s1+s2": (1, 2), "s0+s3": (0, 3),
           "s0+s2": (0, 2), "all4": (0, 1, 2, 3)}
+FITS = 4  # feature sets fitted at the same time
 # Pairs in order of growing span.
 SPAN_ORDER = ("s1+s2", "s0+s2", "s0+s3")
 
@@ -120,7 +123,9 @@ def fit_scores(features: DataFrame, labels: DataFrame, max_iter: int = 200) -> D
 
 def probe(features: DataFrame, key: str, names: list, labels: DataFrame) -> DataFrame:
     """(key, map, roc_auc, n_valid) for each feature set named in ``names``."""
-    scores = materialise(union_all([fit_scores(features.filter(F.col(key) == v), labels).withColumn(key, F.lit(v)) for v in names]), "probe-scores")
+    one = lambda v: fit_scores(features.filter(F.col(key) == v), labels).withColumn(key, F.lit(v))
+    with ThreadPoolExecutor(FITS) as pool:                      # independent fits share the cluster
+        scores = materialise(union_all(list(pool.map(one, names))), "probe-scores")
     per = tagging.ranking(scores, (key, "tag"))
     ok = F.col("valid")
     return per.groupBy(key).agg(F.avg(F.when(ok, F.col("ap"))).alias("map"), F.avg(F.when(ok, F.col("auc"))).alias("roc_auc"),
