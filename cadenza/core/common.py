@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Dimension tables (vocabulary, stems, variants) may be sent to every task up to this size.
 DIMENSION_ROWS = 50_000
+# Narrow lookup tables whose row count is known may be broadcast up to this size.
+LOOKUP_ROWS = 1_000_000
 
 
 def finite(c: Column) -> Column:
@@ -19,6 +21,16 @@ def finite_or_null(c: Column) -> Column:
     return F.when(finite(c), c)
 
 
+def lookup(df: DataFrame, rows: int) -> DataFrame:
+    """Join side with a counted number of rows: broadcast when small, else never."""
+    return F.broadcast(df) if rows <= LOOKUP_ROWS else never_broadcast(df)
+
+
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """For sides that an explode makes larger than the optimizer's estimate."""
+    return df.hint("merge")
+
+
 def md5_int(*parts: Column | str | int) -> Column:
     """32-bit integer drawn from an MD5 digest: reproducible on any engine that has MD5."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.core.common import never_broadcast
 from cadenza.core.ordered import Ordered
 
 EPS = 1e-6
@@ -24,7 +25,7 @@ def interval_overlap(ref: DataFrame, est: DataFrame, by: tuple[str, ...] = ("tra
         return d.select(*by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("label").alias(f"{p}_label"),
                         F.explode(cells).alias("_b"))
 
-    j = spread(ref, "ref").join(spread(est, "est"), [*by, "_b"])
+    j = spread(ref, "ref").join(never_broadcast(spread(est, "est")), [*by, "_b"])
     lo, hi = F.greatest("ref_start", "est_start"), F.least("ref_end", "est_end")
     return j.filter((lo < hi) & (F.floor(lo / bucket) == F.col("_b"))).select(
         *by, lo.alias("start"), hi.alias("end"), (hi - lo).alias("duration"), "ref_label", "est_label")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.core.common import never_broadcast
 from cadenza.core.ordered import Ordered, quantiles, top_per_group
 from cadenza.core.session import materialise
 from cadenza.functions import music as U
@@ -82,8 +83,8 @@ def nearest_lengths(donors: DataFrame, lookups: DataFrame, lists: list[str], k:
     up = o.filter("_is = 1").select(*lists, "donor", "_rank")
     down = Ordered(donors, lists, ["len", F.desc("donor")]).add(_rank=("row", None)).result().select(*lists, "donor", "_rank")
     at = o.filter("_is = 0").select(*lists, "base", F.col("_rank").alias("_p"))
-    after = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + k)).alias("_rank")).join(up, [*lists, "_rank"])
-    before = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") - k + 1, F.col("_p"))).alias("_rank")).join(down, [*lists, "_rank"])
+    after = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + k)).alias("_rank")).join(never_broadcast(up), [*lists, "_rank"])
+    before = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") - k + 1, F.col("_p"))).alias("_rank")).join(never_broadcast(down), [*lists, "_rank"])
     return after.select("base", "donor").unionByName(before.select("base", "donor")).distinct()
 
 

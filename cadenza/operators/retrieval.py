@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.core.blocks import blocked_topk
-from cadenza.core.common import md5_int
+from cadenza.core.common import md5_int, never_broadcast
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
 
@@ -56,7 +56,7 @@ def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool =
     q_sets = qs.select("s").distinct()
     c_sets = materialise(_tag_sets(corpus, "c").groupBy("s").agg(F.count("*").alias("w")), "tagsets")
     holds = _subsets(c_sets).groupBy("sub").agg(F.sum("w").alias("n"))
-    sums = _subsets(q_sets).join(holds, "sub").groupBy("s", "i").agg(F.sum("n").alias("n"))
+    sums = _subsets(q_sets).join(never_broadcast(holds), "sub").groupBy("s", "i").agg(F.sum("n").alias("n"))
     choose = F.array(*[F.lit([comb(i, g) * (-1) ** (i - g) for g in range(SUBSET_TAGS + 1)]) for i in range(SUBSET_TAGS + 1)])
     spread = sums.select("s", "i", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("shared"))
     small = spread.groupBy("s", "shared").agg(
