@@ -46,7 +46,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
     unit length inside the task; ``euclid`` scores by negative distance.
     """
     queries = queries.select(*[F.col(x).alias(x) for x in queries.columns])  # both sides may be one table
-    cell = cell or []
+    cell, pairs = cell or [], 0
     merge_on = [*(merge_on or []), "q"]
     if cell:
         nq = queries.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_nq"))
@@ -57,6 +57,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
         spread = isqrt(queries.sparkSession.sparkContext.defaultParallelism) + 1  # enough block pairs to keep every core busy
         blocks = lambda n: max(-(-n // block), min(spread, n // 256), 1)
         nq, nc = blocks(queries.count()), blocks(corpus.count())
+        pairs = nq * nc
         cell = ["_cell"]
         one = lambda df: df.select("*", F.lit(0).alias("_cell"), F.lit(nq).alias("_nq"), F.lit(nc).alias("_nc"))
         q, c = one(queries), one(corpus)
@@ -68,7 +69,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
     out_cell = [x for x in cell if x != "_cell"]
     schema = ", ".join([f"{x} {types[x]}" for x in out_cell] + [f"q {types['q']}", f"item {types['id']}", "score double"])
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best_of_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [*out_cell, "q", "item", "score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
@@ -88,6 +89,8 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
 
     keys = [*cell, "_qb", "_cb"]
     n = parallelism(queries.sparkSession)
+    if pairs:
+        n = min(n, 4 * pairs)
     q, c = q.repartition(n, *keys), c.repartition(n, *keys)
-    partial = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(pair, schema)
+    partial = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(best_of_blocks, schema)
     return top_per_group(partial, merge_on, [F.desc("score"), F.col("item")], k)
