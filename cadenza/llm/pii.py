@@ -39,6 +39,8 @@ SPELLED = {w: str(d) for words in (
     "null eins zwei drei vier fünf sechs sieben acht neun",
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve") for d, w in enumerate(words.split())}
+# Without brackets, "at ... dot ..." is a disguise only before one of these endings.
+ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|co|uk|de|fr|es|eu|us|ca|au|ch|nl|it|ru|jp|cn|br|mx"
 AT_WORDS, DOT_WORDS = "at|arobase|arroba", "dot|punkt|point|punto"
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -151,9 +153,9 @@ def plain_character(c: str) -> str:
 _ENTITY = re.compile(r"&#0*64;|&#x0*40;|&commat;|&#0*46;|&#x0*2e;|&period;", re.I)
 _BRACKET = re.compile(r"\s?\s?[\[({<]\s?(?:(" + AT_WORDS + r")|" + DOT_WORDS + r"|@|\.)\s?[\])}>]\s?\s?", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,3}@\s{0,3}(?=[A-Za-z0-9])")
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])[\s_]{1,3}(?:" + AT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}|\.)[A-Za-z0-9])", re.I)
-_BARE_AT_DOT = re.compile(r"(?<=[A-Za-z0-9])[\s_]{1,3}(?:" + AT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3})[A-Za-z0-9])", re.I)
-_BARE_DOT = re.compile(r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9])|\s{1,2}\.\s{0,2}(?=[A-Za-z0-9])|\.\s{1,2}(?=(?:com|org|net|edu|gov|io|de|fr|es|uk)\b)", re.I)
+_BARE_AT_DOT = re.compile(r"(?<=[A-Za-z0-9])[\s_]{1,3}(?:" + AT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}[A-Za-z0-9-]{1,63}){0,3}"
+                          r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}(?:" + ENDINGS + r")(?![A-Za-z0-9]))", re.I)
+_BARE_DOT = re.compile(r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9])|\s{1,2}\.\s{0,2}(?=[A-Za-z0-9])|\.\s{1,2}(?=(?:" + ENDINGS + r")\b)", re.I)
 _LABELS_LEFT = re.compile(r"[A-Za-z0-9_%+-]{1,64}\Z")
 _LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
 _ITEM = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]+)"
