@@ -6,9 +6,11 @@ The incidence matrix has a row per distinct shingle set and a column per shingle
 2. ``survivors``: the matrix in blocks of columns. A block task counts, for each row, the columns that another row has
    too. A row needs at least ``threshold`` of its size in shared columns, so most rows leave before any pair is formed.
    Column hashes are cut to 32 bits inside a block here; a clash can only keep a row too many.
-3. ``loose_clusters``: rows that can meet share one of the first ``size - ceil(threshold * size) + 1`` of their sorted
-   shingles. Each such shingle hangs its rows on one of them; the components are the diagonal blocks of the product.
-4. ``block_links``: the product of a cluster with itself in blocks of at most BLOCK_ROWS rows. Overlap counts
+3. ``loose_clusters``: rows that can meet share one of the ``size - ceil(threshold * size) + 1`` shingles of theirs that
+   are rarest in what is left of the matrix, and their sizes differ little. Each such shingle hangs its rows of one size
+   band on one of them, and neighbouring bands on each other; the components are the diagonal blocks of the product.
+   Rare columns first keeps passages that many documents quote from tying all of them together.
+4. ``block_links``: the product of a cluster with itself in blocks of at most BLOCK_ROWS rows and BLOCK_CELLS entries. Overlap counts
    accumulate along the postings of a pivot row. A pair inside one component cannot change the result, so rows already
    joined need no pivot of their own and a group of n near copies costs about n overlaps, not n * n. Larger clusters
    first join within blocks, then through representatives, and at last every row outside its cluster's largest
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.core.common import LOOKUP_ROWS, lookup
@@ -38,8 +40,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5
 THRESHOLD = 80              # per cent
-BLOCK_ENTRIES = 4_000_000   # matrix entries of a block of columns
+BLOCK_ENTRIES = 2_000_000   # matrix entries of a block of columns
+BUCKET_SETS = 500_000       # rows whose counts one task adds up
 BLOCK_ROWS = 2_048          # rows of a block of the product
+BLOCK_CELLS = 2_000_000     # and its entries, unless a single row has more
 _U = np.uint64
 
 
@@ -94,7 +98,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bound by shared columns
 
-def shared_columns(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
+def shared_columns(docs: DataFrame, text_col: str, blocks: int, buckets: int) -> DataFrame:
     """set_a, shared: an upper bound of the columns that the row shares with any other row."""
 
     def entries(batches):
@@ -135,21 +139,44 @@ def shared_columns(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
         who, n = np.unique(sets[same], return_counts=True)
+        # Partial counts travel in one row per bucket of sets.
+        bucket = (who.view(_U) % _U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, who, n = bucket[order], who[order], n[order].astype("<u4")
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+        stop = np.append(edge[1:], len(bucket)) if len(edge) else edge
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array([who[i:j].tobytes() for i, j in zip(edge, stop)], pa.binary()),
+                                          pa.array([n[i:j].tobytes() for i, j in zip(edge, stop)], pa.binary())], ["bucket", "sets", "counts"])
+
+    def total(batches):
+        who, n, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def merged():
+            keys, at = np.unique(np.concatenate([who, *(np.frombuffer(s, np.int64) for s, _ in held)]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n, *(np.frombuffer(c, "<u4") for _, c in held)]), minlength=len(keys)).astype(np.int64)
+
+        for b in batches:
+            for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                held.append((s, c))
+                size += len(c) // 4
+                if size > 2_000_000:
+                    (who, n), held, size = merged(), [], 0
+        who, n = merged()
         for lo in range(0, len(who), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(who[lo:lo + 100_000]), pa.array(n[lo:lo + 100_000])], ["set_a", "shared"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(entries, "block int, sets binary, counts binary, hashes binary")
-    counted = parts.repartitionById(blocks, F.col("block")).mapInArrow(count, "set_a long, shared long")
-    return counted.groupBy("set_a").agg(F.sum("shared").alias("shared"))
+    counted = parts.repartitionById(blocks, F.col("block")).mapInArrow(count, "bucket int, sets binary, counts binary")
+    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(total, "set_a long, shared long")
 
 
 def survivors(docs: DataFrame, sets: DataFrame, text_col: str, threshold: int) -> DataFrame:
     """One row per distinct set that may have a partner: set_a, rep (a document that has it)."""
     spark = docs.sparkSession
-    entries = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    entries, documents = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     blocks = max(-(-entries // BLOCK_ENTRIES), min(parallelism(spark), 1 + entries // 10_000))
     rows = sets.filter("n_shingles > 0").groupBy("set_a").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    bound = shared_columns(docs, text_col, int(blocks))
+    bound = shared_columns(docs, text_col, int(blocks), max(-(-documents // BUCKET_SETS), min(parallelism(spark), 1 + documents // 1000)))
     return materialise(rows.join(bound, "set_a").filter(F.col("shared") * 100 >= F.col("n") * threshold).select("set_a", "rep"), "survivors")
 
 
@@ -176,19 +203,29 @@ def matrix_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) ->
 
 # ---------------------------------------------------------------- product
 
-def prefix_length(threshold: int):
-    """Shingles of a sorted set of which a partner has one: n - ceil(threshold * n / 100) + 1."""
-    n = F.size("hashes")
-    return (n - F.ceil(n * F.lit(threshold) / F.lit(100)) + 1).cast("int")
+def rare_columns(matrix: DataFrame, threshold: int) -> DataFrame:
+    """set_a, n, h: the rarest n - ceil(threshold * n / 100) + 1 columns of each row, ties by hash, without columns of one row."""
+    cells = matrix.select("set_a", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    shared = cells.groupBy("h").agg(F.count("*").alias("rows")).filter("rows > 1")
+    own = Window.partitionBy("set_a")
+    ranked = cells.join(shared, "h").select("set_a", "n", "h", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("rows", "h")).alias("k"))
+    # The columns that no other row has come first of all.
+    return ranked.filter(F.col("k") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).select("set_a", "n", "h")
 
 
 def loose_clusters(matrix: DataFrame, threshold: int) -> DataFrame:
-    """set_a, cluster. Rows of different clusters cannot be linked; rows alone in a cluster are left out."""
-    # The arrays are sorted as unsigned numbers; any order that all rows share will do.
-    lists = materialise(matrix.select("set_a", F.explode(F.slice("hashes", 1, prefix_length(threshold))).alias("h")), "prefix")
-    head = lists.groupBy("h").agg(F.min("set_a").alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
-    edges = lists.join(head, "h").filter("head <> set_a").select(F.col("set_a").alias("a"), F.col("head").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("set_a"), F.col("component").alias("cluster"))
+    """set_a, n, cluster. Rows of different clusters cannot be linked; rows alone in a cluster are left out."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold)) - 1e-9)
+    lists = materialise(rare_columns(matrix, threshold).withColumn("band", band), "rare")
+    head = lists.groupBy("h", "band").agg(F.min("set_a").alias("head"))
+    head = materialise(head, "heads")
+    inside = lists.join(head, ["h", "band"]).select(F.col("set_a").alias("a"), F.col("head").alias("b"))
+    up = head.select("h", (F.col("band") + 1).alias("band"), F.col("head").alias("a"))
+    # Sizes within the threshold lie at most one band apart, or two where rounding puts them on a border.
+    far = head.select("h", (F.col("band") + 2).alias("band"), F.col("head").alias("a"))
+    across = up.unionByName(far).join(head, ["h", "band"]).select("a", F.col("head").alias("b"))
+    member = components(inside.unionByName(across)).select(F.col("node").alias("set_a"), F.col("component").alias("cluster"))
+    return member.join(lists.select("set_a", "n").distinct(), "set_a")
 
 
 def block_links(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -250,45 +287,44 @@ def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
         "known", F.coalesce("_c", "set_a")).drop("_c")
 
 
-def set_links(matrix: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def set_links(matrix: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Links a, b between sets whose components are those of all pairs at or above the threshold."""
-    member = materialise(loose_clusters(matrix, threshold), "clusters")
-    sizes = materialise(member.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    member = member.join(sizes, "cluster").withColumn("known", F.col("set_a"))
+    member = materialise(loose_clusters(matrix, threshold).withColumn("known", F.col("set_a")), "clusters")
+    columns = ["set_a", "cluster", "block", "known"]
 
-    def blocked(rows: DataFrame, size: str) -> DataFrame:
-        # Rows fall to blocks by a digest of their own; a block holds about half of block_rows.
-        return rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col(size) * 2 / block_rows)).cast("long")).withColumn(
-            "block", F.when(F.col(size) <= block_rows, 0).otherwise(F.pmod(F.xxhash64("set_a"), "blocks")))
+    def blocked(rows: DataFrame) -> DataFrame:
+        """Rows of a cluster fall to blocks by a digest of their own; a block is about half full."""
+        size = rows.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
+        need = F.greatest(F.col("rows") / block_rows, F.col("cells") / block_cells)
+        size = materialise(size.select("cluster", F.when(need <= 1, 1).otherwise(F.ceil(need * 2)).cast("long").alias("blocks")), "sizes")
+        return rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("set_a"), "blocks"))
 
     def products(rows: DataFrame) -> DataFrame:
-        return materialise(_links(rows.join(matrix, "set_a"), threshold), "links")
+        return materialise(_links(rows.select(*columns).join(matrix, "set_a"), threshold), "links")
 
-    found = products(blocked(member, "size").select("set_a", "cluster", "block", "known"))
-    large = member.filter(F.col("size") > block_rows)
+    first = materialise(blocked(member), "blocks")
+    found = products(first)
+    large = first.filter("blocks > 1").select("set_a", "n", "cluster", "known")
     n_large = left = large.count()
     while left:
-        # One representative per component and block; blocks of representatives until they stop shrinking.
+        # One representative per component; blocks of representatives until they stop shrinking.
         now = _joined(large, found)
-        heads = materialise(now.groupBy("cluster", "known").agg(F.min("set_a").alias("set_a")), "heads")
-        per = heads.groupBy("cluster").agg(F.count("*").alias("heads"))
-        open_ = heads.join(per.filter("heads > 1"), "cluster")
+        heads = materialise(now.groupBy("cluster", "known").agg(F.min_by(F.struct("set_a", "n"), "set_a").alias("_h")).select("cluster", "known", "_h.*"), "heads")
+        several = heads.groupBy("cluster").agg(F.count("*").alias("heads")).filter("heads > 1").select("cluster")
+        open_ = heads.join(several, "cluster", "left_semi")
         count = open_.count()
         if count == 0 or count > 0.9 * left:
             break
         left = count
-        more = products(blocked(open_, "heads").select("set_a", "cluster", "block", "known"))
-        found = materialise(found.unionByName(more), "links")
+        found = materialise(found.unionByName(products(blocked(open_))), "links")
     if n_large:
-        now = materialise(blocked(_joined(large, found), "size"), "joined")
-        comps = now.groupBy("cluster", "known").agg(F.count("*").alias("n"))
-        top = comps.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        now = now.join(top, "cluster")
+        now = materialise(blocked(_joined(large, found)), "joined")
+        comps = now.groupBy("cluster", "known").agg(F.count("*").alias("rows"))
+        top = comps.groupBy("cluster").agg(F.max_by("known", F.struct("rows", "known")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+        # Every row outside the largest component visits all blocks of its cluster, which hold the rest.
+        now = now.join(top.select("cluster", "top"), "cluster")
         guests = now.filter("known <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cols = ["set_a", "cluster", "block", "known"]
-        # Blocks without a guest hold one component only.
-        home = now.join(top.select("cluster"), "cluster", "left_semi")
-        found = found.unionByName(products(home.select(*cols).unionByName(guests.select(*cols)).distinct()))
+        found = found.unionByName(products(now.select(*columns).unionByName(guests.select(*columns)).distinct()))
     return found
 
 
