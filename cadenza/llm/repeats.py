@@ -289,7 +289,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _documents(docs, id_col, text_col)
     segs = materialise(segment_table(rows.filter(F.octet_length("text") >= length), length), "segments")
     # Anchors that occur again; the others leave here.
-    again = segs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg_a") != F.max("seg_a")).alias("mixed")).filter("n > 1").select("anchor", "mixed")
+    again = segs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg_a") != F.max("seg_a")).alias("mixed")).filter("n > 1")
+    # Written first: with plain exchanges on both sides, Spark can split the join on a hot anchor.
+    again = materialise(again.select("anchor", "mixed"), "again")
     live = materialise(segs.join(again, "anchor"), "live")
     kinds = live.groupBy("anchor", "seg_a", "seg_b").agg(F.count("*").alias("times"), F.max("mixed").alias("mixed"),
                                                          F.min(F.struct("doc_id", "th", "first", "last", "place")).alias("one"))
