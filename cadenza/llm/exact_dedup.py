@@ -46,12 +46,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per input row."""
     verify_chunks(docs, text_col)
-    # A recipe is compared whole; its digest and length only route it, so that long lists move once.
-    rows = materialise(recipes(docs, id_col, text_col), "recipes")
-    groups = materialise(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    # Recipes are compared whole; their digest only routes them, so that long lists move once.
+    rows = materialise(recipes(docs, id_col, text_col).withColumn("route", F.sha2(F.array_join(F.transform("recipe", F.hex), ""), 256)), "recipes")
+    groups = rows.groupBy("route", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Groups of one need no join; the rest is the part of the corpus that has copies.
-    many = groups.filter("group_size > 1")
-    out = rows.join(lookup(many, many.count()), "recipe", "left")
+    many = materialise(groups.filter("group_size > 1").select("route", "keep_id", "group_size"), "groups")
+    out = rows.select("doc_id", "route", "text_sha256").join(many, "route", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
@@ -59,6 +59,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, all columns unchanged."""
-    gone = materialise(exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
-    match = F.col("_gone").eqNullSafe(docs[id_col].cast("long")) & (F.col("_sha") == F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = materialise(gone, "gone")
+    match = F.col("_gone").eqNullSafe(docs[id_col].cast("long")) & (F.col("_sha") == F.sha2(text, 256))
     return docs.join(lookup(gone, gone.count()), match, "left_anti")
