@@ -6,6 +6,8 @@ follows SLICE_BYTES and the longest single text, never the table.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +19,7 @@ from pyspark import cloudpickle
 # Functions of this module travel inside the pickled task, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 # Separators are \x20 and \x09-\x0D.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -59,6 +61,16 @@ _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers outlive their tasks and would keep it beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass                            # another C library; nothing to trim
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a piece stay near ``limit`` bytes; a longer text is a piece of its own."""
     for batch in batches:
@@ -71,6 +83,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    _POWERS.clear()
+    release()
 
 
 @dataclass

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.common import LOOKUP_ROWS, lookup
 from cadenza.core.session import materialise, parallelism
-from cadenza.llm.arrow_text import Texts, mix, slices, window_hashes
+from cadenza.llm.arrow_text import Texts, mix, release, slices, window_hashes
 from cadenza.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -147,6 +147,8 @@ def shared_columns(docs: DataFrame, text_col: str, blocks: int, buckets: int) ->
         stop = np.append(edge[1:], len(bucket)) if len(edge) else edge
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array([who[i:j].tobytes() for i, j in zip(edge, stop)], pa.binary()),
                                           pa.array([n[i:j].tobytes() for i, j in zip(edge, stop)], pa.binary())], ["bucket", "sets", "counts"])
+        del key, sets, same, order, bucket, who, n
+        release()
 
     def total(batches):
         who, n, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
@@ -164,6 +166,8 @@ def shared_columns(docs: DataFrame, text_col: str, blocks: int, buckets: int) ->
         who, n = merged()
         for lo in range(0, len(who), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(who[lo:lo + 100_000]), pa.array(n[lo:lo + 100_000])], ["set_a", "shared"])
+        del who, n
+        release()
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(entries, "block int, sets binary, counts binary, hashes binary")
     counted = parts.repartitionById(blocks, F.col("block")).mapInArrow(count, "bucket int, sets binary, counts binary")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.common import lookup
 from cadenza.core.session import materialise
-from cadenza.llm.arrow_text import slices
+from cadenza.llm.arrow_text import release, slices
 from cadenza.llm.tokens import encode_with_end
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,11 +76,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
                     seq, off = divmod(at + start, window)
                     stop = min(len(ids), start + window - off)
                     piece = ids[start:stop].tobytes()
-                    for column, v in zip(rows, (doc, start, stop - start, zlib.crc32(piece), len(ids), seq, off, piece)):
+                    for column, v in zip(rows, (doc, start, stop - start, zlib.crc32(piece), len(ids), seq, off, piece if with_ids else None)):
                         column.append(v)
                     start = stop
             kinds = [pa.int64()] * 7 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)][:8 if with_ids else 7], names[:8 if with_ids else 7])
+        release()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = ", ".join(f"`{c}` long" for c in names[:7]) + (", ids binary" if with_ids else "")

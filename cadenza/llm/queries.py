@@ -9,7 +9,7 @@ from cadenza.core.session import scratch_path, tune
 from cadenza.llm import exact_dedup, jaccard_join, line_rules, mixing, packing, pii, repeats, secrets, token_file, url_filter
 
 # Bytes of a batch that Spark hands to Python; rows hold whole texts or file segments.
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 # Fixed values of the URL contract.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))

@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public tokenizer file.
 
-Most words of a corpus repeat, so a worker encodes each distinct word once and keeps its ids. That is exact only where
-the tokenizer never joins characters across white space; other tokenizers get whole texts.
+Most words of a corpus repeat, so a worker encodes each distinct word once and keeps its ids under a 64-bit hash of the
+word. Cutting at words is exact only where the tokenizer never joins characters across white space; other tokenizers
+get whole texts.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from cadenza.llm.arrow_text import Texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Distinct words a worker remembers; further words are encoded each time they come.
-CACHE_WORDS = 700_000
+# Distinct words a worker remembers (about 25 bytes each); further words are encoded each time they come.
+CACHE_WORDS = 2_000_000
+# Longer pieces are not worth remembering.
+CACHE_BYTES = 64
 
 # Split patterns under which no token spans the start of a run of white space.
 WORD_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -56,8 +59,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
+        # Remembered words: sorted hashes, and where the ids of each lie in ``pool``.
+        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, self.dtype)
 
     def _cuts(self, texts: Texts) -> np.ndarray:
         """Piece borders: every text border, and every start of white space after a character that is surely none."""
@@ -78,20 +83,34 @@ class Encoder:
         cuts = self._cuts(texts)
         if len(cuts) < 2:
             return np.empty(0, self.dtype), np.zeros(len(texts), np.int64)
-        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(texts.data))
-        coded = pieces.dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = [self.cache.get(w) for w in words]
-        new = [i for i, k in enumerate(known) if k is None]
+        start, end = cuts[:-1], cuts[1:]
+        words, example, which = np.unique(texts.hasher()(start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, words)
+        known = np.zeros(len(words), bool)
+        inside = np.flatnonzero(place < len(self.keys))
+        known[inside] = self.keys[place[inside]] == words[inside]
+        new = np.flatnonzero(~known)
+        start, end = start[example[new]], end[example[new]]
+        # Short words first, as only those are remembered.
+        order = np.argsort(end - start > CACHE_BYTES, kind="stable")
+        new, start, end = new[order], start[order], end[order]
+        raw, found = texts.data, []
         for lo in range(0, len(new), 4096):
-            some = new[lo:lo + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                known[i] = ids = np.array(e.ids, self.dtype).tobytes()
-                if len(self.cache) < self.cache_words and len(words[i]) <= 64:
-                    self.cache[words[i]] = ids
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(known), self.dtype)
-        offset = np.cumsum(sizes) - sizes
+            some = [raw[i:j].tobytes().decode() for i, j in zip(start[lo:lo + 4096], end[lo:lo + 4096])]
+            found += [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        offset, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        offset[known], sizes[known] = self.at[place[known]], self.size[place[known]]
+        sizes[new] = [len(x) for x in found]
+        offset[new] = len(self.pool) + np.cumsum(sizes[new]) - sizes[new]
+        flat = np.concatenate([self.pool, *found])
+        short = new[:int((end - start <= CACHE_BYTES).sum())]
+        if len(short) and len(self.keys) + len(short) <= self.cache_words:
+            self.pool = flat[:len(self.pool) + int(sizes[short].sum())].copy()
+            self.keys = np.concatenate([self.keys, words[short]])
+            order = np.argsort(self.keys, kind="stable")
+            self.keys = self.keys[order]
+            self.at = np.concatenate([self.at, offset[short]])[order]
+            self.size = np.concatenate([self.size, sizes[short]])[order]
         n = sizes[which]
         before = np.cumsum(n) - n
         ids = flat[np.repeat(offset[which] - before, n) + np.arange(int(n.sum()))]
