@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from cadenza.core.common import LOOKUP_ROWS
 from cadenza.core.session import scratch_path
 
 
@@ -96,10 +95,10 @@ def scan_new(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_co
     todo_path = scratch_path(spark, "todo")
     pairs.groupBy("blob", "path").agg(F.collect_set(F.struct("rule", "version")).alias("todo")).write.parquet(todo_path)
     todo = spark.read.parquet(todo_path)
-    # One copy of a blob is read: the one at its smallest path. Later runs have few new blobs and need no shuffle of texts.
+    # One copy of a blob is read: the one at its smallest path. Spark broadcasts the list by itself while it is small, as
+    # in later runs that bring few new blobs.
     text = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = todo.count()
-    copies = text.join(F.broadcast(todo) if n <= LOOKUP_ROWS // 10 else todo, text["path"].eqNullSafe(todo["path"])).filter(
+    copies = text.join(todo, text["path"].eqNullSafe(todo["path"])).filter(
         F.sha2("text", 256) == F.col("blob"))
     hits = copies.select("blob", *(F.when(F.array_contains("todo.rule", r.name), spans(F.col("text"), r)).alias(r.name) for r in rules))
     flat = F.flatten(F.array(*(_named(r) for r in rules)))
