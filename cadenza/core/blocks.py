@@ -7,16 +7,21 @@ bounded by the block size however large a cell is.
 
 from __future__ import annotations
 
+import sys
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.ordered import top_per_group
 from cadenza.core.session import materialise, parallelism
 
+# Block functions travel inside the task, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2048
 DIGITS = 9  # similarities are rounded before ranking so that ties fall to the smaller id
 

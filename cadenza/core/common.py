@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     return df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which NULL keys meet; the key columns of ``left`` are kept."""
+    named = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    match = reduce(lambda x, y: x & y, [left[k].eqNullSafe(named[f"_j_{k}"]) for k in keys])
+    return left.join(named, match, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -15,6 +15,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cadenza.core.common import null_safe_join
 from cadenza.core.session import group_rows, materialise
 
 _FIRST, _CUR = Window.unboundedPreceding, Window.currentRow
@@ -116,7 +117,7 @@ class Ordered:
         # Only groups spanning several slices are kept: at most two rows per slice.
         carry = summary.select(*keys, *carries, spans.alias("_spans")).filter("_spans > 1").drop("_spans")
         scanned = posed.select("*", *[local[k](F.col(f"_v_{n}")).alias(f"_l_{n}") for n, (k, _) in ops.items()])
-        joined = scanned.join(F.broadcast(carry), keys, "left")
+        joined = null_safe_join(scanned, F.broadcast(carry), keys, "left")
         out = []
         for n, (k, _) in ops.items():
             mine, kept = F.col(f"_l_{n}"), F.col(f"_k_{n}")
@@ -154,7 +155,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float],
     counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
     ranked = Ordered(counts, group, ["_v"], limit).add(_cum=("sum", F.col("_n"))).result()
     if group:
-        joined = ranked.join(counts.groupBy(*group).agg(F.sum("_n").alias("_total")), group)
+        joined = null_safe_join(ranked, counts.groupBy(*group).agg(F.sum("_n").alias("_total")), group, "inner")
     else:
         joined = ranked.withColumn("_total", F.lit(rows.count()))
     aggs, outs = [], []

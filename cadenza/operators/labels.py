@@ -123,10 +123,12 @@ def top_bottom(counts: DataFrame, n_tracks: int, k: int = 15) -> DataFrame:
     return top.unionByName(bottom)
 
 
-def norm_stats(frames: DataFrame, max_tracks: int = 500, seed: int = 0) -> DataFrame:
-    """Mean and population standard deviation (+1e-8) over a hashed sample of training tracks."""
-    ids = frames.select("track_id").distinct().orderBy(md5_int(seed, F.col("track_id")), "track_id").limit(max_tracks)
-    values = frames.join(ids, "track_id", "left_semi").select(F.explode("vec").alias("v"))
+def norm_stats(frames: DataFrame, max_tracks: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean and population standard deviation (+1e-8) over all training tracks, or over a hashed sample of them if asked for."""
+    if max_tracks is not None:
+        ids = frames.select("track_id").distinct().orderBy(md5_int(seed, F.col("track_id")), "track_id").limit(max_tracks)
+        frames = frames.join(ids, "track_id", "left_semi")
+    values = frames.select(F.explode("vec").alias("v"))
     return values.agg(F.avg("v").alias("mean"), (F.stddev_pop("v") + 1e-8).alias("std"))
 
 

@@ -40,3 +40,16 @@ def test_quantiles_both_ways(spark, group):
     assert [x[:-3] for x in a] == [x[:-3] for x in b]
     for x, y in zip(a, b, strict=True):
         assert x[-3:] == pytest.approx(y[-3:])
+
+
+def test_null_group_survives_slicing(spark):
+    """A NULL group gives the same row numbers and quantiles whether or not the plan is sliced."""
+    from pyspark.sql import functions as F
+
+    from cadenza.core.ordered import Ordered, quantiles
+
+    df = spark.createDataFrame([(None if i % 2 else "a", i, float(i % 17)) for i in range(300)], "g string, i int, v double")
+    rows = lambda limit: sorted(map(str, Ordered(df, ["g"], ["i"], limit).add(k=("row", F.lit(1))).result().select("g", "i", "k").collect()))
+    assert rows(40) == rows(10_000)
+    cuts = lambda limit: sorted(map(str, quantiles(df, ["g"], "v", {"m": 0.5}, limit).select("g", "m").collect()))
+    assert cuts(40) == cuts(10_000) and len(cuts(40)) == 2
