@@ -23,6 +23,7 @@ from cadenza.core.session import materialise, parallelism
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 2048
+STRIP = 4_000_000  # differences held at once
 DIGITS = 9  # similarities are rounded before ranking so that ties fall to the smaller id
 
 
@@ -30,6 +31,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _distance(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances from exact differences, a strip of rows at a time so that memory stays bounded."""
+    out = np.empty((len(q), len(c)))
+    step = max(1, STRIP // max(c.size, 1))
+    for i in range(0, len(q), step):
+        out[i:i + step] = np.sqrt(((q[i:i + step, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best scores per row, ids ascending within ties."""
     k = min(k, score.shape[1])
@@ -82,8 +92,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
         if metric == "cosine":
             score = _unit(qv) @ _unit(cv).T
         else:
-            score = -np.sqrt(((qv[:, None, :] - cv[None, :, :]) ** 2).sum(axis=2)) if len(qv) * len(cv) * qv.shape[1] < 2e7 \
-                else -np.sqrt(np.maximum((qv**2).sum(1)[:, None] + (cv**2).sum(1)[None, :] - 2 * qv @ cv.T, 0))
+            score = -_distance(qv, cv)
         score = np.round(score, DIGITS) + 0.0
         qid, cid = left["q"].to_numpy(), right["id"].to_numpy()
         if exclude_self:

@@ -25,9 +25,9 @@ def l2_normalise(df: DataFrame, vec: str = "vec", eps: float = 1e-12) -> DataFra
         vec, F.transform(vec, lambda x: x / F.col("_norm"))).drop("_norm")
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of ``corpus(id, vec)`` for each ``queries(id, vec)``; the query itself is left out."""
-    return blocked_topk(queries.select(F.col("id").alias("q"), "vec"), corpus.select("id", "vec"), k)
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """Cosine top-k of ``corpus(id, vec)`` for each ``queries(id, vec)``; ``exclude_self`` leaves out the query's own row."""
+    return blocked_topk(queries.select(F.col("id").alias("q"), "vec"), corpus.select("id", "vec"), k, exclude_self=exclude_self)
 
 
 # ---------------------------------------------------------------- shared tags
@@ -170,8 +170,11 @@ def jaccard_at_k(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: in
 
 # ---------------------------------------------------------------- inverted lists
 
-def ivf_build(corpus: DataFrame, n_lists: int = 64, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(lists(id, vec, list_id), centroids(list_id, vec)) from k-means on unit vectors; both are written."""
+def ivf_build(corpus: DataFrame, n_lists: int = 64, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(lists(id, vec, list_id), centroids(list_id, vec, n_iter)) from k-means on unit vectors; both are written.
+
+    ``n_iter`` below ``max_iter`` tells that the centres had settled.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -181,13 +184,15 @@ def ivf_build(corpus: DataFrame, n_lists: int = 64, seed: int = 0) -> tuple[Data
     if k == 1:
         mean = unit.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()
         centres = [[r["v"] for r in mean]]
-        lists = unit.withColumn("list_id", F.lit(0))
+        lists, n_iter = unit.withColumn("list_id", F.lit(0)), 0
     else:
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(feats)
+        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
+        n_iter = model.summary.numIter
         centres = [[float(x) for x in c] for c in model.clusterCenters()]
         lists = model.transform(feats).select("id", "vec", F.col("prediction").alias("list_id"))
     cent = corpus.sparkSession.createDataFrame(list(enumerate(centres)), "list_id int, vec array<double>")
-    return materialise(lists, "lists"), materialise(l2_normalise(cent), "centroids")
+    cent = l2_normalise(cent).withColumn("n_iter", F.lit(n_iter))
+    return materialise(lists, "lists"), materialise(cent, "centroids")
 
 
 def list_centroids(lists: DataFrame) -> DataFrame:
@@ -204,10 +209,10 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFr
     return blocked_topk(q, c, n_probe, exclude_self=False).select("q", F.col("item").alias("list_id"))
 
 
-def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Top-k among the probed lists only. A hot list is split into blocks like any other cell."""
     q = queries.select(F.col("id").alias("q"), "vec").join(probes, "q")
-    return blocked_topk(q, lists.select("id", "vec", "list_id"), k, cell=["list_id"])
+    return blocked_topk(q, lists.select("id", "vec", "list_id"), k, cell=["list_id"], exclude_self=exclude_self)
 
 
 def index_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

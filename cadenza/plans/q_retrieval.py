@@ -112,6 +112,15 @@ def r11(spark, d):
     return rounded(R.ivf_search(e, lists, R.ivf_probes(e, centroids, 4), 10), "score")
 
 
+@query("R11_all_lists", sql("SELECT q, item, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10", "ranked"))
+def r11_all(spark, d):
+    """The same lists with every list probed: exact search, whatever k-means found."""
+    e = corpus(spark, d)
+    lists, centroids = R.ivf_build(e, 16)
+    every = R.ivf_probes(e, centroids, centroids.count())
+    return rounded(R.ivf_search(e, lists, every, 10).select("q", "item", "rank", "score"), "score")
+
+
 # Lists given by the label column: the same search with an assignment SQL can repeat.
 view("centroids", """SELECT label AS list_id, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-12)) AS vec FROM (
   SELECT label, list(a ORDER BY i) AS m FROM (SELECT label, i, avg(vec[i]) AS a FROM (SELECT label, vec, unnest(range(1, 65)) AS i FROM unit) GROUP BY ALL) GROUP BY label)""", "unit")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,41 @@ def test_jaccard_of_empty_sets_is_zero(spark):
     e = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, [])], "id long, tags array<string>")
     ranked = spark.createDataFrame([(1, 2, 1), (2, 3, 1)], "q long, item long, rank int")
     assert R.jaccard_at_k(ranked, e, e, 1).first()["jaccard"] == 0
+
+
+def test_distances_do_not_depend_on_block_size(spark):
+    rng = np.random.default_rng(5)
+    close = 1000.0 + rng.normal(size=(120, 8)) * 1e-6
+    far = rng.normal(size=(90, 8)) * 1e4
+    table = lambda v: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<double>")
+    few, all_ = table(close), table(np.vstack([close, far]))
+    near = lambda c, b: [tuple(r) for r in blocked_topk(few.withColumnRenamed("id", "q"), c, 3, metric="euclid", block=b).orderBy("q", "rank").collect()]
+    want = near(few, 2048)
+    assert near(all_, 2048) == want and near(all_, 37) == want
+    assert min(-r[2] for r in want) > 0
+
+
+def test_block_search_needs_no_package_on_workers(tmp_path):
+    """The driver alone knows where the package lies."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from cadenza.core.session import get_session
+from cadenza.operators import retrieval as R
+s = get_session("away", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1"}})
+c = s.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, vec array<double>")
+print("rows", R.exact_topk(c, c, 2).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 12" in out.stdout, out.stderr[-2000:]
+
+
+def test_search_may_include_the_query(spark):
+    c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, vec array<double>")
+    assert {r["item"] for r in R.exact_topk(c, c, 1, exclude_self=False).filter("q = item").collect()} == set(range(6))
