@@ -71,6 +71,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+# Array elements that one row of a split document may hold.
+PART = 50_000
+
+
 def explode_range(df: DataFrame, stop, name: str, start=0, chunk: int = 8192) -> DataFrame:
     """Repeat each row for ``name`` in [start, stop). Long ranges are built in two steps, never as one long array."""
     start = start if isinstance(start, Column) else F.lit(start)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.common import never_broadcast
+from cadenza.core.common import explode_range, never_broadcast
 from cadenza.core.ordered import Ordered
 
 EPS = 1e-6
@@ -21,9 +21,9 @@ def interval_overlap(ref: DataFrame, est: DataFrame, by: tuple[str, ...] = ("tra
     each overlap is reported only in the bucket where it begins.
     """
     def spread(d: DataFrame, p: str) -> DataFrame:
-        cells = F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))
-        return d.select(*by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("label").alias(f"{p}_label"),
-                        F.explode(cells).alias("_b"))
+        named = d.select(*by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("label").alias(f"{p}_label"))
+        cell = lambda c: F.floor(F.col(f"{p}_{c}") / bucket)
+        return explode_range(named, cell("end") + 1, "_b", start=cell("start"))
 
     j = spread(ref, "ref").join(never_broadcast(spread(est, "est")), [*by, "_b"])
     lo, hi = F.greatest("ref_start", "est_start"), F.least("ref_end", "est_end")

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.core.blocks import blocked_topk
-from cadenza.core.common import explode_range
+from cadenza.core.common import PART, explode_range
 from cadenza.core.ordered import Ordered, quantiles
 from cadenza.functions import music as U
 from cadenza.operators.joins import interval_overlap, match_within
 
 HOP = 512
 LETTERS = "ABCDEFGH"
-PART = 50_000  # array elements per document part
 
 
 def _pitch_array(df: DataFrame, by: tuple[str, ...], agg) -> DataFrame:
@@ -104,12 +103,24 @@ def merge_runs(df: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
                                         F.avg("confidence").alias("confidence"), F.count("*").alias("n_beats"))
 
 
+def fill_gaps(d: DataFrame, label: str = "N") -> DataFrame:
+    """Intervals of a track plus one of ``label`` wherever time between two of them is uncovered."""
+    cols = ["track_id", "start", "end", "label"]
+    o = Ordered(d.select(*cols), ["track_id"], ["start", "end", "label"])
+    o = o.add(_reach=("max_before", F.col("end"))).result()
+    none = o.filter("start > _reach").select("track_id", F.col("_reach").alias("start"), F.col("start").alias("end"), F.lit(label).alias("label"))
+    return d.select(*cols).unionByName(none)
+
+
 def weighted_accuracy(ref: DataFrame, est: DataFrame, bucket: float = 60.0) -> DataFrame:
-    """Share of the common time in which both label the same chord; 0 without common time."""
+    """Share of the common time in which both label the same chord; 0 without common time.
+
+    Time inside the common span that a side leaves uncovered counts as its 'no chord'.
+    """
     span = lambda d, p: d.groupBy("track_id").agg(F.min("start").alias(f"{p}_lo"), F.max("end").alias(f"{p}_hi"))
     s = span(ref, "r").join(span(est, "e"), "track_id")
     s = s.select("track_id", F.greatest("r_lo", "e_lo").alias("lo"), F.least("r_hi", "e_hi").alias("hi"))
-    j = interval_overlap(ref, est, bucket=bucket)
+    j = interval_overlap(fill_gaps(ref), fill_gaps(est), bucket=bucket)
     same = (U.to_eval_label(F.col("ref_label")) == U.to_eval_label(F.col("est_label"))).cast("int")
     a = j.groupBy("track_id").agg(F.sum(F.col("duration") * same).alias("_hit"), F.sum("duration").alias("_all"))
     ok = F.col("hi") > F.col("lo")
@@ -226,7 +237,8 @@ def analysis_document(head: DataFrame, beats: DataFrame, downbeats_: DataFrame,
     """Rounded analysis documents ``(track_id, part, bpm, …, beats, downbeats, chords, segments)``.
 
     Arrays hold at most PART elements: a longer track continues in part 1, 2, … so no task
-    and no row ever holds an unbounded track.
+    and no row ever holds an unbounded track. Positions are gapless from 0, so element i of
+    part p has position p * PART + i.
     """
     r = lambda c, n: F.round(c, n).alias(c)
     span = [r("start", 3), r("end", 3), F.col("label")]

@@ -128,11 +128,18 @@ view("chord_ref", """SELECT track_id, start, "end", (['Am','F','C','G','Dm','N']
 view("chord_est", """SELECT track_id, start, "end", (['Am','F','C','G','Dm','N'])[CAST(event_id % 4 + 1 AS INTEGER)] AS label FROM intervals2""", "intervals2")
 
 
-@query("T10", sql("""o AS (SELECT a.track_id, least(a."end", b."end") - greatest(a.start, b.start) AS dur, a.label = b.label AS same
-  FROM chord_ref a JOIN chord_est b ON a.track_id = b.track_id AND a.start < b."end" AND b.start < a."end"),
+for _c in ("chord_ref", "chord_est"):
+    view(f"{_c}_full", f"""SELECT track_id, start, "end", label FROM {_c} UNION ALL SELECT track_id, reach, start, 'N' FROM (
+  SELECT *, max("end") OVER (PARTITION BY track_id ORDER BY start, "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_c}) WHERE start > reach""", _c)
+
+
+@query("T10", sql("""o AS (SELECT track_id, sum(dur) AS total, coalesce(sum(dur) FILTER (same), 0) AS hit FROM (
+  SELECT a.track_id, least(a."end", b."end") - greatest(a.start, b.start) AS dur, a.label = b.label AS same
+  FROM chord_ref_full a JOIN chord_est_full b ON a.track_id = b.track_id AND a.start < b."end" AND b.start < a."end") GROUP BY track_id),
 s AS (SELECT track_id, greatest(rl, el) AS lo, least(rh, eh) AS hi FROM (SELECT track_id, min(start) AS rl, max("end") AS rh FROM chord_ref GROUP BY 1)
   JOIN (SELECT track_id, min(start) AS el, max("end") AS eh FROM chord_est GROUP BY 1) USING (track_id))
-SELECT track_id, round(coalesce(sum(dur) FILTER (same), 0) / sum(dur), 6) AS weighted_accuracy, round(any_value(hi - lo), 6) AS overlap_seconds FROM s JOIN o USING (track_id) GROUP BY track_id""", "chord_ref", "chord_est"))
+SELECT track_id, CASE WHEN hi > lo THEN round(hit / total, 6) ELSE 0 END AS weighted_accuracy, CASE WHEN hi > lo THEN round(hi - lo, 6) ELSE 0 END AS overlap_seconds
+  FROM s LEFT JOIN o USING (track_id)""", "chord_ref_full", "chord_est_full"))
 def t10(spark, d):
     ref, est = chord_sets(spark, d)
     # Interval lengths here are hours, so the join buckets are days.

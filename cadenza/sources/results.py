@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.core.common import require_columns
+from cadenza.core.common import PART, require_columns
 
 SCORES = ["roc_auc", "map", "macro_f1_default", "macro_f1_tuned", "micro_f1_default", "micro_f1_tuned"]
 _scores = [T.StructField(c, T.DoubleType()) for c in SCORES] + [T.StructField(c, T.LongType()) for c in ("n_tags", "n_valid_tags")]
@@ -56,12 +56,18 @@ def read_analysis(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(ANALYSIS).json(path)
 
 
+def _elements(docs: DataFrame, field: str, name: str) -> DataFrame:
+    """One row per array element; ``pos`` continues over the parts of a split document."""
+    rows = docs.select("source", "part", F.posexplode(field).alias("_i", name))
+    return rows.withColumn("pos", F.coalesce("part", F.lit(0)).cast("long") * PART + F.col("_i")).drop("_i")
+
+
 def analysis_beats(docs: DataFrame, field: str = "beats") -> DataFrame:
-    return docs.select("source", "part", F.posexplode(field).alias("pos", "t"))
+    return _elements(docs, field, "t").select("source", "part", "pos", "t")
 
 
 def analysis_spans(docs: DataFrame, field: str = "chords") -> DataFrame:
-    return docs.select("source", "part", F.inline(field))
+    return _elements(docs, field, "x").select("source", "part", "pos", "x.*")
 
 
 # ---------------------------------------------------------------- sinks

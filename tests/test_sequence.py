@@ -83,7 +83,10 @@ def test_weighted_accuracy(spark):
     ref = spans(spark, [(0, 2, "Am"), (2, 4, "F"), (100, 300, "C")])
     est = spans(spark, [(1, 3, "Am"), (3, 4, "F"), (100, 200, "C"), (200, 300, "N")])
     r = Q.weighted_accuracy(ref, est).first()
-    assert r["weighted_accuracy"] == pytest.approx((1 + 0 + 1 + 100) / 203) and r["overlap_seconds"] == 299
+    # Both leave 4..100 uncovered, which counts as "no chord" on both sides.
+    assert r["weighted_accuracy"] == pytest.approx((1 + 0 + 1 + 96 + 100) / 299) and r["overlap_seconds"] == 299
+    half = Q.weighted_accuracy(spans(spark, [(0, 8, "C")]), spans(spark, [(0, 2, "C"), (6, 8, "C")])).first()
+    assert half["weighted_accuracy"] == 0.5 and half["overlap_seconds"] == 8
     assert Q.weighted_accuracy(ref, spans(spark, [(400, 500, "C")])).first()["weighted_accuracy"] == 0
 
 
