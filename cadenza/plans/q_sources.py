@@ -72,19 +72,20 @@ def s04(spark, d):
 v AS (SELECT tag, count(*) AS n FROM labels_l JOIN t USING (track_id) WHERE split = 'train' GROUP BY tag HAVING count(*) >= 50)
 SELECT t.split, l.tag, count(*) AS n FROM t JOIN labels_l l USING (track_id) WHERE l.tag IN (SELECT tag FROM v) GROUP BY ALL""", "tracks", "chunks", "labels_l"))
 def s05(spark, d):
-    t = C.tracks(spark, d)
-    parts = {s: t.filter(F.col("split") == s).drop("split") for s in M.SPLITS}
-    rows, voc = M.load_split(parts, M.available_chunks(files(spark, d)), 50)
+    rows, voc = M.load_split(C.tracks(spark, d), M.available_chunks(files(spark, d)), 50)
     long = rows.select("split", F.explode("tags").alias("tag"))
     return long.join(voc.select("tag"), "tag", "left_semi").groupBy("split", "tag").agg(F.count("*").alias("n"))
 
 
-@query("S06", sql("""SELECT track_id, 'data/audio/' || path AS audio_path, 'data/audio-low/' || replace(path, '.mp3', '.low.mp3') AS audio_low_path,
-  'data/features/mel96_sr16000_hop256_30s/' || replace(path, '.mp3', '.npy') AS mel_path, 'data/features/base_L6_s5_30s_x4/' || replace(path, '.mp3', '.npy') AS frame_path,
-  'data/features/base_layermeans_30s_x4/' || replace(path, '.mp3', '.npy') AS layer_path, 'data/features/base_L6_s5_30s_x4_stem-vocals/' || replace(path, '.mp3', '.npy') AS vocals_path FROM tracks""", "tracks"))
+@query("S06", sql("""f AS (SELECT track_id, path, replace(path, '.mp3', '.npy') AS npy, 'model=base/layer=6/stride=5/seconds=30/segments=4/' AS cfg FROM tracks)
+SELECT track_id, 'data/audio/' || path AS audio_path, 'data/audio-low/' || replace(path, '.mp3', '.low.mp3') AS audio_low_path,
+  'data/features/kind=mel/n_mels=96/sr=16000/hop=256/seconds=30/' || npy AS mel_path, 'data/features/kind=frame/' || cfg || npy AS frame_path,
+  'data/features/kind=layer/model=base/seconds=30/segments=4/' || npy AS layer_path, 'data/features/kind=frame/' || cfg || 'stem=vocals/' || npy AS vocals_path FROM f""", "tracks"))
 def s06(spark, d):
     t = C.track_rows(spark, d).select("track_id", "path")
-    return M.with_paths(t, "data", "org/base", 6, 5, 30.0, 4, M.mel_tag(96, 16000, 256, 30.0), ("vocals",)).drop("path")
+    mel = {"n_mels": 96, "sr": 16000, "hop": 256, "seconds": 30.0}
+    probe = {"model": "base", "layer": 6, "stride": 5, "seconds": 30.0, "segments": 4}
+    return M.with_paths(t, "data", mel, probe, ("vocals",)).drop("path")
 
 
 STEM_SQL = "(['mixture','vocals','drums','bass','other'])[CAST(l_linenumber % 5 + 1 AS INTEGER)]"
@@ -171,7 +172,7 @@ def s11(spark, d):
         doc.withColumn("source", F.col("track_id").cast("string")).drop("track_id").write.json(path)
     docs = R.read_analysis(spark, C.stored_files(spark, d, "analysis-json", write))
     n = R.analysis_beats(docs).groupBy("source").agg(F.count("*").alias("n_beats"))
-    spans = docs.select("source", F.posexplode("chords").alias("pos", "c")).select("source", "pos", F.round("c.start", 3).alias("start"), F.round("c.end", 3).alias("end"), "c.label")
+    spans = R.analysis_spans(docs).select("source", "pos", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "label")
     return spans.join(n, "source")
 
 
@@ -282,10 +283,11 @@ def s20(spark, d):
 view("uploads", """SELECT page_id, url AS path, CASE WHEN page_id % 29 = 0 THEN '' ELSE replace(replace(url, '?', '%3F'), '#', '/') END AS filename,
   CASE WHEN page_id % 37 = 0 THEN 0 WHEN page_id % 41 = 0 THEN 300000000 ELSE strlen(html) END AS bytes,
   CASE WHEN page_id % 7 = 0 THEN 'unknown' WHEN page_id % 7 = 1 THEN '' ELSE 'htdemucs_ft' END AS model, html FROM pages""")
-ADMIT_SQL = """SELECT page_id, name, slug, model, reason FROM (SELECT *, CASE WHEN cut = '' THEN 'untitled' ELSE cut END AS slug FROM (
-  SELECT *, substr(regexp_replace(regexp_replace(CASE WHEN length(name) > 1 AND regexp_matches(name, '.\\.[^.]+$') THEN regexp_replace(name, '\\.[^.]+$', '') ELSE name END, '[/\\\\:*?"<>|]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 60) AS cut,
+ADMIT_SQL = """SELECT page_id, name, slug, slug || '-' || substr(sha256(stem), 1, 16) AS id, model, reason FROM (SELECT *, CASE WHEN cut = '' THEN 'untitled' ELSE cut END AS slug FROM (
+  SELECT *, substr(regexp_replace(regexp_replace(stem, '[^\\p{L}\\p{N} .-]+', '_', 'g'), '^[ ._-]+|[ ._-]+$', '', 'g'), 1, 60) AS cut,
     CASE WHEN bytes <= 0 THEN 'empty' WHEN bytes > 209715200 THEN 'too large' WHEN model NOT IN ('htdemucs', 'htdemucs_ft', 'mdx_extra') THEN 'unsupported model' ELSE '' END AS reason FROM (
-  SELECT page_id, bytes, html, CASE WHEN model = '' THEN 'htdemucs' ELSE model END AS model, regexp_extract(replace(CASE WHEN filename = '' THEN 'upload.mp3' ELSE filename END, '%3F', '?'), '([^/]*)/*$', 1) AS name FROM uploads)))"""
+  SELECT *, CASE WHEN length(name) > 1 AND regexp_matches(name, '.\\.[^.]+$') THEN regexp_replace(name, '\\.[^.]+$', '') ELSE name END AS stem FROM (
+  SELECT page_id, bytes, html, CASE WHEN model = '' THEN 'htdemucs' ELSE model END AS model, regexp_extract(replace(CASE WHEN filename = '' THEN 'upload.mp3' ELSE filename END, '%3F', '?'), '([^/]*)/*$', 1) AS name FROM uploads))))"""
 
 
 def upload_rows(p):
@@ -299,4 +301,4 @@ def upload_rows(p):
 
 @query("S21", sql(ADMIT_SQL, "uploads"))
 def s21(spark, d):
-    return U.admit_uploads(upload_rows(C.table(spark, d, "pages"))).select("page_id", "name", "slug", "model", "reason")
+    return U.admit_uploads(upload_rows(C.table(spark, d, "pages"))).select("page_id", "name", "slug", "id", "model", "reason")

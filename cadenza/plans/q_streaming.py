@@ -29,12 +29,16 @@ def w01(spark, d):
     return J.read_job_state(spark, f"{out}/table").select("job_id", "status", "stage", "warning", "error", "elapsed")
 
 
-@query("W02", sql(f"a AS ({ADMIT_SQL}) SELECT slug AS id, max(page_id) AS page_id, arg_max(sha256(html), page_id) AS sha256 FROM a JOIN uploads USING (page_id) WHERE reason = '' GROUP BY slug", "uploads"))
+@query("W02", sql(f"""a AS ({ADMIT_SQL}), c AS (SELECT page_id, id, sha256(CASE WHEN page_id % 5 = 0 THEN substr(html, 1, 40) ELSE html END) AS sha256 FROM a JOIN uploads USING (page_id) WHERE reason = ''),
+f AS (SELECT sha256, min(page_id) AS page_id, arg_min(id, page_id) AS id FROM c GROUP BY sha256)
+SELECT id, max(page_id) AS page_id, arg_max(sha256, page_id) AS sha256 FROM f GROUP BY id""", "uploads"))
 def w02(spark, d):
     rows = upload_rows(C.stream_table(spark, d, "pages")).withColumn("ts", F.timestamp_seconds(F.col("page_id") + 1_700_000_000))
+    # Every fifth page keeps only its first characters, which many pages share.
+    rows = rows.withColumn("content", F.when(F.col("page_id") % 5 == 0, F.substring("content", 1, 40)).otherwise(F.col("content")))
     out = scratch_path(spark, "uploads")
     J.start_uploads(rows, f"{out}/manifest", f"{out}/checkpoint").awaitTermination()
-    return J.read_manifest_version(spark, f"{out}/manifest").select("id", "page_id", "sha256")
+    return J.read_uploads(spark, f"{out}/manifest").select("id", "page_id", "sha256")
 
 
 @query("W03", sql("SELECT job_id, status FROM jobs ORDER BY created DESC, job_id DESC LIMIT 10", "jobs"))

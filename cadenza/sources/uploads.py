@@ -23,15 +23,22 @@ def stem(name: Column) -> Column:
 
 
 def slugify(name: Column) -> Column:
-    safe = F.regexp_replace(name, r'[/\\:*?"<>|\x00-\x1f]', "_")
-    cut = F.substring(F.regexp_replace(safe, r"^[ .]+|[ .]+$", ""), 1, NAME_LENGTH)
+    """Name to show: letters, digits, blanks, dots, dashes; each other run becomes one underscore. Not unique."""
+    kept = F.regexp_replace(name, r"[^\p{L}\p{N} .-]+", "_")
+    cut = F.substring(F.regexp_replace(kept, r"^[ ._-]+|[ ._-]+$", ""), 1, NAME_LENGTH)
     return F.when(cut == "", "untitled").otherwise(cut)
 
 
+def upload_key(name: Column) -> Column:
+    """Key of a file name: equal only for equal names, however long they are."""
+    return F.concat_ws("-", slugify(name), F.substring(F.sha2(name, 256), 1, 16))
+
+
 def admit_uploads(df: DataFrame) -> DataFrame:
-    """Add name, slug, model and the reason of a rejection ('' when admitted)."""
+    """Add name, slug, id, model and the reason of a rejection ('' when admitted)."""
     name = base_name(F.coalesce(F.when(F.col("filename") != "", F.col("filename")), F.lit("upload.mp3")))
     model = F.coalesce(F.when(F.col("model") != "", F.col("model")), F.lit(MODELS[0]))
     reason = (F.when(F.col("bytes").isNull() | (F.col("bytes") <= 0), "empty").when(F.col("bytes") > MAX_UPLOAD_BYTES, "too large")
               .when(~model.isin(*MODELS), "unsupported model").otherwise(""))
-    return df.select("*", name.alias("name")).withColumn("model", model).withColumn("slug", slugify(stem(F.col("name")))).withColumn("reason", reason)
+    d = df.select("*", name.alias("name")).withColumn("_stem", stem(F.col("name"))).withColumn("model", model)
+    return d.withColumn("slug", slugify(F.col("_stem"))).withColumn("id", upload_key(F.col("_stem"))).withColumn("reason", reason).drop("_stem")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cadenza.sources.audit import content_hash
-from cadenza.sources.results import upsert_manifest
 from cadenza.sources.uploads import admit_uploads
 
 
@@ -44,30 +43,29 @@ def read_job_state(spark, path: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("job_id", "r.*")
 
 
-def upload_stream(uploads: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Admitted uploads of a stream ``(path, filename, bytes, model, content, ts)`` with repeated content dropped.
+def upload_stream(uploads: DataFrame) -> DataFrame:
+    """Admitted rows of ``(path, filename, bytes, model, content, ts)``, a table or a stream, with the digest of their content."""
+    return admit_uploads(uploads).withColumn("sha256", content_hash("content")).drop("content").filter("reason = ''")
 
-    The watermark bounds how long a digest is remembered.
-    """
-    hashed = admit_uploads(uploads).withColumn("sha256", content_hash("content")).drop("content")
-    if not uploads.isStreaming:
-        return hashed.filter("reason = ''").dropDuplicates(["sha256"])
-    return hashed.filter("reason = ''").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["sha256"])
+
+def first_copies(uploads: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The earliest upload (ts, then path) of each content that ``known`` does not hold yet."""
+    if known is not None:
+        uploads = uploads.join(known.select("sha256"), "sha256", "left_anti")
+    cols = [c for c in uploads.columns if c != "sha256"]
+    return uploads.groupBy("sha256").agg(F.min_by(F.struct(*cols), F.struct("ts", "path")).alias("r")).select("sha256", "r.*")
 
 
 def start_uploads(uploads: DataFrame, manifest: str, checkpoint: str, process=None, **trigger) -> StreamingQuery:
-    """Hand each batch of new uploads to ``process`` (a DataFrame function) and upsert the manifest.
+    """Hand each batch of new uploads to ``process`` (a DataFrame function) and add its rows to the manifest.
 
-    A manifest version is written per batch and never modified, so a repeated batch
-    rewrites the same folder and readers see the version before it meanwhile.
+    A batch writes only its own rows, so work per batch grows with the batch and not with the manifest;
+    the digests of all earlier batches, one narrow column, tell which contents are new. A repeated batch
+    rewrites the same folder.
     """
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = (process(batch) if process else batch).withColumn("id", F.col("slug"))
-        versions = list_versions(spark, manifest)
-        before = max((v for v in versions if v < number), default=None)
-        old = spark.read.parquet(f"{manifest}/v={before}") if before is not None else rows.limit(0)
-        upsert_manifest(old, rows).write.mode("overwrite").parquet(f"{manifest}/v={number}")
+        rows = first_copies(batch, _deltas(batch.sparkSession, manifest, number))
+        (process(rows) if process else rows).write.mode("overwrite").parquet(f"{manifest}/v={number}")
 
     return upload_stream(uploads).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -81,5 +79,16 @@ def list_versions(spark, manifest: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{manifest}/{n}/_SUCCESS")))
 
 
-def read_manifest_version(spark, manifest: str) -> DataFrame:
-    return spark.read.parquet(f"{manifest}/v={list_versions(spark, manifest)[-1]}")
+def _deltas(spark, manifest: str, before: int | None = None) -> DataFrame | None:
+    """Rows of all batches, or of those before one, with their batch number ``v``."""
+    paths = [f"{manifest}/v={v}" for v in list_versions(spark, manifest) if before is None or v < before]
+    return spark.read.option("basePath", manifest).option("mergeSchema", True).parquet(*paths) if paths else None
+
+
+def read_uploads(spark, manifest: str) -> DataFrame:
+    """Manifest of uploads: the newest row per id, by batch, then ts, then path."""
+    rows = _deltas(spark, manifest)
+    if rows is None:
+        raise FileNotFoundError(f"no batch in {manifest}")
+    cols = [c for c in rows.columns if c not in ("id", "v")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("v", "ts", "path")).alias("r")).select("id", "r.*")

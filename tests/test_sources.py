@@ -52,7 +52,10 @@ def test_chunks_and_splits(spark, tmp_path):
 
 
 def test_paths_change_with_parameters():
-    assert M.config_tag("org/m", 6, 5, 30.0) == "m_L6_s5_30s" and M.config_tag("org/m", 6, 5, 30.0, 4) == "m_L6_s5_30s_x4"
+    base = {"model": "m", "layer": 6, "stride": 5, "seconds": 30.0}
+    assert M.partition_path("frame", base) == "kind=frame/model=m/layer=6/stride=5/seconds=30"
+    paths = {M.partition_path("frame", {**base, **x}) for x in ({}, {"segments": 4}, {"layer": 7}, {"seconds": 7.5}, {"model": "org/m"})}
+    assert len(paths) == 5 and all(p.count("/") <= 6 for p in paths)
 
 
 def stems(spark, rows):
@@ -130,7 +133,8 @@ def test_runs_are_named_by_config_and_seed(spark, tmp_path):
 def test_analysis_documents(spark, tmp_path):
     p = put(tmp_path / "a.json", '{"source": "s", "bpm": 96.0, "beats": [0.0, 0.625], "chords": [{"start": 0, "end": 2.5, "label": "Am", "confidence": 0.9}], "segments": []}')
     d = R.read_analysis(spark, p)
-    assert R.analysis_beats(d).count() == 2 and R.analysis_spans(d).first()["label"] == "Am" and R.analysis_spans(d, "segments").count() == 0
+    assert [(r["pos"], r["t"]) for r in R.analysis_beats(d).orderBy("pos").collect()] == [(0, 0.0), (1, 0.625)]
+    assert R.analysis_spans(d).first()["label"] == "Am" and R.analysis_spans(d, "segments").count() == 0
 
 
 def test_upload_admission(spark):
@@ -138,10 +142,30 @@ def test_upload_admission(spark):
             (None, 5, None), ("  .. ", 5, None), ("e" * 80 + ".wav", 5, None), (".hidden", 5, None), ('q:"1".mp3', 5, None)]
     got = U.admit_uploads(spark.createDataFrame(rows, "filename string, bytes long, model string")).collect()
     assert [r["reason"] for r in got] == ["", "empty", "too large", "unsupported model", "", "", "", "", ""]
-    assert [r["slug"] for r in got][:1] + [r["slug"] for r in got][4:] == ["My Song.v2", "upload", "untitled", "e" * 60, "hidden", "q__1_"]
+    assert [r["slug"] for r in got][:1] + [r["slug"] for r in got][4:] == ["My Song.v2", "upload", "untitled", "e" * 60, "hidden", "q_1"]
+    assert len({r["id"] for r in got if r["reason"] == ""}) == 6
     assert got[0]["name"] == "My Song.v2.mp3" and got[4]["model"] == "htdemucs"
 
 
+def test_long_names_keep_separate_keys(spark):
+    rows = [("e" * 70 + x + ".mp3", 5, None) for x in ("1", "2")] + [("a:b.mp3", 5, None), ("a?b.mp3", 5, None)]
+    got = U.admit_uploads(spark.createDataFrame(rows, "filename string, bytes long, model string")).collect()
+    assert len({r["slug"] for r in got}) == 2 and len({r["id"] for r in got}) == 4
+
+
+def test_beats_of_split_documents_keep_their_positions(spark):
+    from cadenza.core.common import PART
+    from cadenza.operators import sequence as Q
+
+    n = 2 * PART + 1
+    b = spark.range(n).select(F.lit(1).alias("track_id"), F.col("id").alias("pos"), (F.col("id") * 0.5).alias("t"))
+    span = b.limit(0).select("track_id", "pos", F.col("t").alias("start"), F.col("t").alias("end"), F.lit("A").alias("label"), F.lit(0.5).alias("confidence"), F.lit(0).alias("cluster"))
+    head = spark.createDataFrame([(1, 96.0, "C major", 10.0)], "track_id int, bpm double, key string, duration double")
+    doc = Q.analysis_document(head, b, b.limit(0), span, span).withColumn("source", F.col("track_id").cast("string"))
+    got = R.analysis_beats(doc)
+    assert doc.count() == 3 and got.select("pos").distinct().count() == n and got.filter("t <> round(pos * 0.5, 4)").count() == 0
+
+
 def test_content_copies(spark):
     d = A.dedupe_content(spark.createDataFrame([("p2", b"x"), ("p1", b"x"), ("p3", b"y")], "path string, content binary"))
     assert {(r["path"], r["n_copies"]) for r in d.collect()} == {("p1", 2), ("p3", 1)}
