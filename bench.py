@@ -26,12 +26,14 @@ def main() -> None:
         "spark.driver.memory": "16g", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
     queries = load().QUERIES
-    # Derived input tables (catalogue, scores, samples, beats) are written before the clock starts.
+    # Derived input tables (catalogue, scores, samples, beats) are shared by many queries, so they have a line of their own.
     from cadenza.plans import canonical as C
 
+    times: dict[str, float] = {}
+    start = time.perf_counter()
     for build in (C.tracks, C.vocab, C.scores_a, C.sample_rows, C.beats):
         build(spark, sf_dir)
-    times: dict[str, float] = {}
+    times["tables"] = round(time.perf_counter() - start, 3)
     for key in HEADLINE:
         start = time.perf_counter()
         queries[key](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -61,10 +61,10 @@ def p11(spark, d):
     return G.use_segments(f, 5, (3, 0, 4))
 
 
-@query("P17", sql(f"""s AS (SELECT t AS trial, tag, y, {md5_sql("'0'", "t", "id", "tag")} / 4294967296.0::DOUBLE AS score FROM doc_scores, range(0, 10) g(t)),
+@query("P17", sql(f"""s AS (SELECT t AS trial, tag, y, {md5_sql("'0'", "t", "id", "tag")} / 4294967296.0::DOUBLE AS score FROM doc_scores, range(0, 20) g(t)),
 c AS (SELECT *, sum(y) OVER w AS ctp, count(*) OVER w AS cm FROM s WINDOW w AS (PARTITION BY trial, tag ORDER BY score DESC)),
 a AS (SELECT trial, tag, sum(y * (ctp / cm::DOUBLE)) / sum(y) AS ap FROM c GROUP BY ALL),
 m AS (SELECT trial, avg(ap) AS map, count(*) AS v FROM a GROUP BY trial)
 SELECT round(avg(map), 6) AS map, count(*) AS n_trials, max(v) AS n_valid_tags FROM m""", "doc_scores"))
 def p17(spark, d):
-    return rounded(S.random_baseline(C.doc_scores(spark, d), 10, 0, "id"), "map")
+    return rounded(S.random_baseline(C.doc_scores(spark, d), 20, 0, "id"), "map")

@@ -10,7 +10,7 @@ from cadenza.plans.q_separation import TYPES
 from cadenza.plans.q_tagging import REPORT_COLS, rounded, test_scores, thresholds
 from cadenza.plans.registry import query, sql, view
 
-BOOT = 200
+BOOT = 10_000
 view("pairs_m", """SELECT a.track_id, a.stem, b.value - a.value AS diff, a.value AS a, b.value AS b FROM track_metric a JOIN track_metric b
   ON a.track_id = b.track_id AND a.stem = b.stem AND a.model = 'base' AND b.model = 'variant'""", "track_metric")
 view("diffs", """SELECT stem, track_id, diff FROM pairs_m UNION ALL SELECT 'mean', track_id, avg(b) - avg(a) FROM pairs_m GROUP BY track_id""", "pairs_m")
