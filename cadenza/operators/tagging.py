@@ -182,9 +182,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
-def spearman_test(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(rho, n, p_value): the one row of ``spearman`` with its two-sided Student-t probability."""
     r = spearman(df, x, y).first()
-    return r["rho"], correlation_p_value(r["rho"], r["n"])
+    p = float("nan") if r["rho"] is None else correlation_p_value(r["rho"], r["n"])
+    return df.sparkSession.createDataFrame([(r["rho"], r["n"], p)], "rho double, n long, p_value double")
 
 
 def frequency_residuals(per_tag: DataFrame) -> DataFrame:

@@ -159,6 +159,17 @@ def t11(spark, d):
     return rounded(ph.join(n, "track_id"), "confidence")
 
 
+@query("T11_strength", sql("""o AS (SELECT track_id, CAST(floor(t / 64) AS BIGINT) AS frame, round(sum(strength), 6) AS strength FROM beats GROUP BY ALL),
+e AS (SELECT track_id, max(frame) AS last FROM o GROUP BY 1),
+b AS (SELECT track_id, pos, least(greatest(CAST(round_even(t / 64, 0) AS BIGINT), 0), last) AS frame FROM beats JOIN e USING (track_id))
+SELECT track_id, pos, frame, strength FROM b JOIN o USING (track_id, frame)""", "beats"))
+def t11_strength(spark, d):
+    """Onset frames of 64 s: at 8 samples a second a hop of 512 samples."""
+    b = C.beats(spark, d)
+    onset = b.groupBy("track_id", F.floor(F.col("t") / 64).alias("frame")).agg(F.round(F.sum("strength"), 6).alias("strength"))
+    return Q.beat_strength(b.select("track_id", "pos", "t"), onset, 8).select("track_id", "pos", "frame", "strength")
+
+
 @query("T12", sql("""x AS (SELECT track_id, t + 100000 AS t FROM beats),
 p AS (SELECT track_id, median(g) AS p, min(t) AS f, max(t) AS l FROM (SELECT track_id, t, lead(t) OVER (PARTITION BY track_id ORDER BY t) - t AS g FROM x) GROUP BY 1),
 a AS (SELECT track_id, greatest(f - m * p, 0) AS t, true AS added FROM p, range(1, 100000) r(m) WHERE p > 0 AND m <= floor(f / p + 1e-9)

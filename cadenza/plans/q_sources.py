@@ -217,12 +217,26 @@ def s14(spark, d):
     return r.groupBy("run").agg(F.count("*").alias("n"), F.max("epoch").alias("last_epoch"))
 
 
-@query("S15", """WITH o AS (SELECT user_id AS id, event_id AS ts, event_type AS tag, 0 AS new FROM events WHERE event_id % 2 = 0),
-n AS (SELECT user_id, event_id, 'new-' || event_type, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0)
-SELECT id, ts, tag FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new DESC, ts DESC) AS r FROM (SELECT * FROM o UNION ALL SELECT * FROM n)) WHERE r = 1""")
+view("upserted", """SELECT id, ts, tag FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new DESC, ts DESC) AS r FROM (
+  SELECT user_id AS id, event_id AS ts, event_type AS tag, 0 AS new FROM events WHERE NOT (event_id % 2 = 1 AND user_id % 3 = 0)
+  UNION ALL SELECT user_id, event_id, 'new-' || event_type, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0)) WHERE r = 1""")
+
+
+@query("S15", sql("SELECT id, ts, tag FROM upserted", "upserted"))
 def s15(spark, d):
+    """Odd events of every third user arrive as new rows; all others are there before."""
     e = C.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("tag"))
-    return R.upsert_manifest(e.filter("ts % 2 = 0"), e.filter("ts % 2 = 1 AND id % 3 = 0").withColumn("tag", F.concat(F.lit("new-"), "tag")))
+    fresh = F.expr("ts % 2 = 1 AND id % 3 = 0")
+    return R.upsert_manifest(e.filter(~fresh), e.filter(fresh).withColumn("tag", F.concat(F.lit("new-"), "tag")))
+
+
+@query("S15_patch", sql("""p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS tag, s_nationkey AS nation FROM supplier)
+SELECT u.id, u.ts, coalesce(p.tag, u.tag) AS tag, p.nation FROM upserted u LEFT JOIN p USING (id)""", "upserted"))
+def s15_patch(spark, d):
+    """One field overwritten where the patch has a value, one field added."""
+    k = F.col("s_suppkey")
+    patch = C.table(spark, d, "supplier").select(k.alias("id"), F.when(k % 4 != 0, F.col("s_name")).alias("tag"), F.col("s_nationkey").alias("nation"))
+    return R.patch_manifest(s15(spark, d), patch)
 
 
 @query("S16", sql("""o AS (SELECT DISTINCT l_orderkey::VARCHAR AS track_id, l_returnflag AS output FROM lineitem),

@@ -32,6 +32,14 @@ def j01(spark, d):
     return rounded(X.paired(metric(spark, d, "base"), metric(spark, d, "variant"), ("track_id", "stem")), "a", "b", "diff")
 
 
+@query("J01_report", """SELECT (SELECT count(DISTINCT user_id) FROM events) AS n_a, (SELECT count(DISTINCT s_suppkey) FROM supplier) AS n_b,
+  (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)) AS n_both""")
+def j01_report(spark, d):
+    """Two result sets that cover different tracks."""
+    a = C.table(spark, d, "events").select(F.col("user_id").alias("track_id"))
+    return X.pairing_report(a, C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("track_id")), ("track_id",))
+
+
 @query("X01", sql("""SELECT stem, round(mean_diff, 6) AS mean_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value, n,
   'paired bootstrap' AS method FROM obs JOIN boot_ci USING (stem) WHERE stem <> 'mean'""", "obs", "boot_ci"))
 def x01(spark, d):

@@ -122,12 +122,16 @@ def lifts(spark, d):
 @query("G12", sql("""r AS (SELECT tag, round(ap, 6) AS ap, round(lift, 6) AS lift, n_train FROM lift_test WHERE valid),
 k AS (SELECT rank() OVER (ORDER BY n_train) + (count(*) OVER (PARTITION BY n_train) - 1) / 2.0::DOUBLE AS rn,
   rank() OVER (ORDER BY ap) + (count(*) OVER (PARTITION BY ap) - 1) / 2.0::DOUBLE AS ra,
-  rank() OVER (ORDER BY lift) + (count(*) OVER (PARTITION BY lift) - 1) / 2.0::DOUBLE AS rl FROM r)
-SELECT 'ap' AS metric, round(corr(rn, ra), 6) AS rho, count(*) AS n FROM k
-UNION ALL SELECT 'lift', round(corr(rn, rl), 6), count(*) FROM k""", "lift_test"))
+  rank() OVER (ORDER BY lift) + (count(*) OVER (PARTITION BY lift) - 1) / 2.0::DOUBLE AS rl FROM r),
+c AS (SELECT 'ap' AS metric, corr(rn, ra) AS rho, count(*) AS n FROM k UNION ALL SELECT 'lift', corr(rn, rl), count(*) FROM k)
+SELECT metric, round(rho, 6) AS rho, n, round(CASE WHEN n % 2 = 0
+  THEN 1 - abs(rho) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(1 - rho * rho, k)))
+  ELSE 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce(list_sum(list_transform(range(0, (n - 2) // 2),
+    lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(1 - rho * rho, k + 0.5))), 0)) END, 6) AS p_value FROM c""", "lift_test"))
 def g12(spark, d):
+    """The SQL sums the Student-t probability for whole degrees of freedom term by term."""
     x = lifts(spark, d)
-    one = lambda m: T.spearman(x, "log_n", m).select(F.lit(m).alias("metric"), F.round("rho", 6).alias("rho"), "n")
+    one = lambda m: rounded(T.spearman_test(x, "log_n", m).select(F.lit(m).alias("metric"), "rho", "n", "p_value"), "rho", "p_value")
     return one("ap").unionByName(one("lift"))
 
 
