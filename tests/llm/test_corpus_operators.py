@@ -18,7 +18,10 @@ WORD_FILE, BYTE_FILE = Q.tokenizer_path("word_bpe_49k.json"), Q.tokenizer_path("
 def plain_ids(path, text):
     from tokenizers import Tokenizer
 
-    t = plain_ids.__dict__.setdefault(path, Tokenizer.from_file(path))
+    known = plain_ids.__dict__
+    if path not in known:
+        known[path] = Tokenizer.from_file(path)
+    t = known[path]
     t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
