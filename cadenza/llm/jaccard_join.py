@@ -14,7 +14,8 @@ The incidence matrix has a row per distinct shingle set and a column per shingle
    accumulate along the postings of a pivot row. A pair inside one component cannot change the result, so rows already
    joined need no pivot of their own and a group of n near copies costs about n overlaps, not n * n. Larger clusters
    first join within blocks, then through representatives, and at last every row outside its cluster's largest
-   component meets all blocks of the cluster. Only spanning links leave a task.
+   component meets all rows of the cluster: these rows are cut into blocks too, and a task holds one pair of blocks, each
+   about half full. Only spanning links leave a task.
 
 Texts: null counts as empty; empty sets link with nothing and keep their own id. Repeated ids are treated as copies; a
 null id never names a component.
@@ -232,10 +233,11 @@ def loose_clusters(matrix: DataFrame, threshold: int) -> DataFrame:
     return member.join(lists.select("set_a", "n").distinct(), "set_a")
 
 
-def block_links(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def block_links(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, threshold: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links of the rows of one block of the product.
 
-    ``known`` holds a component number per row; pairs inside a component are not looked at.
+    ``known`` holds a component number per row; pairs inside a component are not looked at. With ``side`` (0 or 1 per row)
+    only pairs of different sides are.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -243,19 +245,28 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, thr
     row = np.repeat(np.arange(m), sizes)
     order = np.argsort(column, kind="stable")
     postings = row[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(columns)))])
+    if side is not None:
+        order = order[side[postings] == 1]      # the other side's rows are pivots only
+        postings = row[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(column[order], minlength=len(columns)))])
     at = np.concatenate([[0], np.cumsum(sizes)])
     comp = np.unique(known, return_inverse=True)[1]
-    waiting = np.ones(m, bool)
+    waiting = np.ones(m, bool) if side is None else side == 0
     links = []
     while True:
         rest = np.flatnonzero(waiting)
-        if len(rest) < 2:
-            return links
-        counts = np.bincount(comp[rest])
-        if len(rest) == counts.max():
-            return links                        # all that is left is one component
-        small = rest[comp[rest] != counts.argmax()] if counts.max() > 1 else rest
+        if side is None:
+            if len(rest) < 2:
+                return links
+            counts = np.bincount(comp[rest])
+            if len(rest) == counts.max():
+                return links                        # all that is left is one component
+            small = rest[comp[rest] != counts.argmax()] if counts.max() > 1 else rest
+        else:
+            facing = np.unique(comp[side == 1])
+            small = rest[comp[rest] != facing[0]] if len(facing) == 1 else rest
+            if len(small) == 0:
+                return links
         pivot = small[0]
         waiting[pivot] = False
         cols = column[at[pivot]:at[pivot + 1]]
@@ -273,15 +284,15 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], known: np.ndarray, thr
 
 
 def _links(blocks: DataFrame, threshold: int) -> DataFrame:
-    """blocks(key, set_a, known, hashes) -> links a, b found inside each key."""
+    """blocks(cluster, block, against, side, set_a, known, hashes) -> links a, b found inside each block, or between two (side 0 and 1)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One row may be sent to a block twice, as its own and as a guest.
-        pdf = pdf.drop_duplicates("set_a")
-        found = block_links(pdf["set_a"].to_numpy(), [np.asarray(x) for x in pdf["hashes"]], pdf["known"].to_numpy(), threshold) if len(pdf) > 1 else []
+        side = pdf["side"].to_numpy()
+        side = None if pdf["block"].iloc[0] == pdf["against"].iloc[0] else side
+        found = block_links(pdf["set_a"].to_numpy(), [np.asarray(x) for x in pdf["hashes"]], pdf["known"].to_numpy(), threshold, side) if len(pdf) > 1 else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return blocks.groupBy("cluster", "block").applyInPandas(run, "a long, b long")
+    return blocks.groupBy("cluster", "block", "against").applyInPandas(run, "a long, b long")
 
 
 def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,23 +302,47 @@ def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
         "known", F.coalesce("_c", "set_a")).drop("_c")
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Repeat ``rows`` (guest, block, blocks, numbered within cluster and guest) for all pairs of blocks that hold a guest.
+
+    A guest is a row outside its cluster's largest component. Guest blocks are numbered from 0, the others -1, -2, ... A
+    pair is (block, against), block being a guest block and side 0, and no pair of guest blocks comes in both orders.
+    """
+    span = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    wide = rows.groupBy("cluster").agg(F.max(F.when(F.col("guest"), F.col("blocks"))).alias("_g"), F.max(F.when(~F.col("guest"), F.col("blocks"))).alias("_t"))
+    d = rows.join(wide, "cluster")
+    keep = [c for c in rows.columns if c != "block"]
+    guests, top = d.filter("guest"), d.filter("NOT guest")
+    ahead = guests.withColumn("against", F.explode(F.concat(span(-F.col("_t"), -one), span(F.col("block"), F.col("_g") - 1)))).select(
+        *keep, "block", "against", F.lit(0).alias("side"))
+    behind = guests.withColumnRenamed("block", "against").withColumn("block", F.explode(span(zero, F.col("against") - 1))).select(
+        *keep, "block", "against", F.lit(1).alias("side"))
+    rest = top.withColumn("against", -one - F.col("block")).withColumn("block", F.explode(span(zero, F.col("_g") - 1))).select(
+        *keep, "block", "against", F.lit(1).alias("side"))
+    return ahead.unionByName(behind).unionByName(rest)
+
+
 def set_links(matrix: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Links a, b between sets whose components are those of all pairs at or above the threshold."""
     member = materialise(loose_clusters(matrix, threshold).withColumn("known", F.col("set_a")), "clusters")
-    columns = ["set_a", "cluster", "block", "known"]
+    columns = ["set_a", "cluster", "block", "against", "side", "known"]
 
-    def blocked(rows: DataFrame) -> DataFrame:
+    def blocked(rows: DataFrame, by: tuple[str, ...] = ("cluster",)) -> DataFrame:
         """Rows of a cluster fall to blocks by a digest of their own; a block is about half full."""
-        size = rows.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
+        size = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
         need = F.greatest(F.col("rows") / block_rows, F.col("cells") / block_cells)
-        size = materialise(size.select("cluster", F.when(need <= 1, 1).otherwise(F.ceil(need * 2)).cast("long").alias("blocks")), "sizes")
-        return rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("set_a"), "blocks"))
+        size = materialise(size.select(*by, F.when(need <= 1, 1).otherwise(F.ceil(need * 2)).cast("long").alias("blocks")), "sizes")
+        return rows.join(size, list(by)).withColumn("block", F.pmod(F.xxhash64("set_a"), "blocks"))
 
     def products(rows: DataFrame) -> DataFrame:
         return materialise(_links(rows.select(*columns).join(matrix, "set_a"), threshold), "links")
 
+    def alone(rows: DataFrame) -> DataFrame:
+        return products(rows.withColumns({"against": F.col("block"), "side": F.lit(0)}))
+
     first = materialise(blocked(member), "blocks")
-    found = products(first)
+    found = alone(first)
     large = first.filter("blocks > 1").select("set_a", "n", "cluster", "known")
     n_large = left = large.count()
     while left:
@@ -320,15 +355,13 @@ def set_links(matrix: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, b
         if count == 0 or count > 0.9 * left:
             break
         left = count
-        found = materialise(found.unionByName(products(blocked(open_))), "links")
+        found = materialise(found.unionByName(alone(blocked(open_))), "links")
     if n_large:
-        now = materialise(blocked(_joined(large, found)), "joined")
+        now = materialise(_joined(large, found), "joined")
         comps = now.groupBy("cluster", "known").agg(F.count("*").alias("rows"))
         top = comps.groupBy("cluster").agg(F.max_by("known", F.struct("rows", "known")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        # Every row outside the largest component visits all blocks of its cluster, which hold the rest.
-        now = now.join(top.select("cluster", "top"), "cluster")
-        guests = now.filter("known <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        found = found.unionByName(products(now.select(*columns).unionByName(guests.select(*columns)).distinct()))
+        now = now.join(top.select("cluster", "top"), "cluster").withColumn("guest", F.col("known") != F.col("top"))
+        found = found.unionByName(products(block_pairs(materialise(blocked(now, ("cluster", "guest")), "sides"))))
     return found
 
 

@@ -76,6 +76,27 @@ def test_jaccard(sample, documents, block_rows):
     assert same(got, brute.jaccard(rows))
 
 
+def test_jaccard_tasks_stay_bounded_in_a_loose_cluster(documents, monkeypatch):
+    """Pages of frequent passages: one cluster, hardly a link, so nearly every row meets every other one."""
+    import random
+
+    r, most, block_rows = random.Random(1), [], 16
+    passages = [" ".join(f"p{p}x{i}" for i in range(24)) for p in range(60)]
+    rows = [(k, " ".join(r.sample(passages, 5))) for k in range(300)]
+    rows += [(1000 + k, rows[k * 7][1] + f" tail{k} more words here") for k in range(20)]
+    plain = jaccard_join._links
+
+    def watched(blocks, *args):
+        group = [c for c in ("cluster", "block", "against") if c in blocks.columns]
+        most.append(max(x["count"] for x in blocks.groupBy(*group).count().collect()))
+        return plain(blocks, *args)
+
+    monkeypatch.setattr(jaccard_join, "_links", watched)
+    got = jaccard_join.jaccard_components(documents(rows), block_rows=block_rows).collect()
+    assert same(got, brute.jaccard(rows))
+    assert len(most) > 1 and max(most) <= 2 * block_rows          # each of two blocks holds block_rows at most
+
+
 def test_jaccard_keeps_one(documents):
     rows = odd_texts()
     comp = brute.jaccard(rows)
