@@ -85,6 +85,12 @@ def a09(spark, d):
     return L.norm_stats(C.frames(spark, d), 30).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("A09_all_tracks", sql("SELECT round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-8, 6) AS std FROM frame_dims", "frame_dims"))
+def a09_all_tracks(spark, d):
+    """A09 draws a sample of 30 tracks; this is the whole table."""
+    return L.norm_stats(C.frames(spark, d)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("A10", sql("""st AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS std FROM frame_dims WHERE track_id % 5 < 4 GROUP BY i)
 SELECT f.track_id, f.frame, f.i, round((v - mean) / std, 6) AS z FROM frame_dims f JOIN st USING (i)""", "frame_dims"))
 def a10(spark, d):

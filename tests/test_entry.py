@@ -46,3 +46,10 @@ def test_query_matches_sql(spark, duck, key):
 def test_flagship(spark):
     r = entry.entry(spark).first()
     assert 0 < r["map"] < 1 and r["macro_f1_tuned"] >= r["macro_f1_default"] - .05
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not present")
+@pytest.mark.parametrize("key", ["A09_all_tracks"])
+def test_whole_table_query_matches_sql(spark, duck, key):
+    test_query_matches_sql(spark, duck, key)
+    assert entry.queries()[key](spark, SF).collect() != entry.queries()[key[:3]](spark, SF).collect()
