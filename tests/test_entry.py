@@ -49,7 +49,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not present")
-@pytest.mark.parametrize("key", ["A09_all_tracks"])
+@pytest.mark.parametrize("key", ["A09_all_tracks", "P17_all_tags"])
 def test_whole_table_query_matches_sql(spark, duck, key):
     test_query_matches_sql(spark, duck, key)
     assert entry.queries()[key](spark, SF).collect() != entry.queries()[key[:3]](spark, SF).collect()
