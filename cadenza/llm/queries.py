@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.core.session import scratch_path, tune
-from cadenza.llm import exact_dedup, jaccard_join, line_rules, mixing, packing, pii, repeats, secrets, token_file, url_filter
+from cadenza.llm import (bit_planes, exact_dedup, jaccard_join, line_rules, max_score, mixing, packing, pii, prefix_trie, repeats, secrets, token_file,
+                         url_filter)
 
 # Bytes of a batch that Spark hands to Python; rows hold whole texts or file segments.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -20,6 +21,8 @@ LANGUAGES = {"en": 5, "fr": 2, "de": 2, "es": 1}
 WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, lang): w for d in DOMAINS for lang, w in LANGUAGES.items()}
 SEED, EPOCHS, SHARE = 17, 2, (3, 4)
 PACK_END, FILE_END = 1, 0
+CENTROIDS, ROUNDS, CENTROID_SEED = 8, 10, 3
+BEST, QUERY_EVERY = 20, 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -96,6 +99,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.cluster_report(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, CENTROID_SEED)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.max_score(table(spark, sf_dir, "embeddings"), BEST, QUERY_EVERY)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_rules, op3_jaccard_join, op4_url_aliases, op5_packing, op6_mixing, op7_token_file,
-                                   op8_repeats, op9_secrets, op10_exact_dedup, pipeline)}
+                                   op8_repeats, op9_secrets, op10_exact_dedup, op11_bit_planes, op12_prefix_trie, op13_max_score, pipeline)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -192,7 +207,57 @@ per AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || b, ',' OR
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secrets.RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN per USING (doc_id)"""
 
 
+def _centroids_sql() -> str:
+    far = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    assign = lambda r: f"a{r} AS MATERIALIZED (SELECT rid, min(struct_pack(d := {far}, c := c.cluster)) AS best FROM v, c{r} c GROUP BY rid)"
+    move = lambda r: f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+  SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (SELECT best.c AS cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+    FROM (SELECT a.best, unnest(v.v) AS x, unnest(range(64)) AS i FROM a{r} a JOIN v ON v.rid = a.rid) GROUP BY ALL) GROUP BY cluster) m ON m.cluster = c.cluster)"""
+    rounds = ",\n".join(f"{assign(r)},\n{move(r)}" for r in range(ROUNDS))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{CENTROID_SEED}:' || vec_id), v) - 1 AS cluster, v FROM v QUALIFY cluster < {CENTROIDS}),
+{rounds},
+{assign(ROUNDS)},
+done AS (SELECT v.vec_id, best.c AS cluster, best.d AS distance FROM a{ROUNDS} a JOIN v ON v.rid = a.rid)
+SELECT d.vec_id, d.cluster::INTEGER AS cluster, d.distance, (sum(d.distance) OVER (PARTITION BY d.cluster))::BIGINT AS cluster_inertia, (sum(d.distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM done d JOIN c{ROUNDS} c ON c.cluster = d.cluster"""
+
+
+def _trie_sql() -> str:
+    bits = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, {})"
+    crc = f"xor(list_reduce(list_transform(string_split(c.conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda a, b: {bits.format('xor(a, b)')}, 4294967295), 4294967295)"
+    return f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+h AS (SELECT c.conv_id, c.own, c.conv_id - c.conv_id % 5 AS base, {crc} % 9 AS h FROM c),
+w AS (SELECT h.*, least(h.h, coalesce(b.own, 0)) AS taken FROM h LEFT JOIN c b ON b.conv_id = h.base),
+r AS (SELECT w.conv_id, t.pos AS d, t.role, t.text FROM w JOIN t ON t.conv_id = w.base AND t.pos <= w.h
+  UNION ALL SELECT w.conv_id, w.taken + t.pos - w.h, t.role, t.text FROM w JOIN t ON t.conv_id = w.conv_id AND t.pos > w.h),
+p AS (SELECT conv_id, d, list(struct_pack(role, text)) OVER (PARTITION BY conv_id ORDER BY d) AS seq, strlen(text) AS bytes FROM r UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+node AS (SELECT d, seq, min(conv_id) AS id, count(*) AS n_convs, min(bytes) AS bytes FROM p GROUP BY d, seq),
+place AS MATERIALIZED (SELECT p.conv_id, p.d, n.id FROM p JOIN node n ON n.d = p.d AND n.seq = p.seq),
+flat AS (SELECT n.id, n.d, n.n_convs, n.bytes, u.id AS up FROM node n LEFT JOIN place u ON u.conv_id = n.id AND u.d = n.d - 1),
+kids AS (SELECT up AS id, d - 1 AS d, count(*) AS n FROM flat WHERE d > 0 GROUP BY ALL),
+total AS (SELECT a.id, a.d, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((f.n_convs - 1) * f.bytes)::BIGINT AS saved
+  FROM flat f JOIN place a ON a.conv_id = f.id AND a.d <= f.d LEFT JOIN kids k ON k.id = f.id AND k.d = f.d GROUP BY ALL),
+last AS (SELECT id, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS top FROM place) WHERE d = top GROUP BY ALL)
+SELECT f.id AS conv_id, f.d AS depth, f.up AS parent_conv_id, f.n_convs, coalesce(k.n, 0) AS n_children, t.n_leaves, t.saved AS saved_tokens, sha256(coalesce(l.ends, '')) AS ends_sha256
+FROM flat f JOIN total t ON t.id = f.id AND t.d = f.d LEFT JOIN kids k ON k.id = f.id AND k.d = f.d LEFT JOIN last l ON l.id = f.id AND l.d = f.d"""
+
+
+def _search_sql() -> str:
+    return f"""WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+  FROM v q JOIN v c ON c.rid <> q.rid WHERE q.vec_id % {QUERY_EVERY} = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= {BEST}"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_bit_planes": _centroids_sql(),
+    "op12_prefix_trie": _trie_sql(),
+    "op13_max_score": _search_sql(),
     "op3_jaccard_join": _jaccard_sql(),
     "op4_url_aliases": _urls_sql(),
     "op6_mixing": _mixing_sql(),

@@ -120,3 +120,64 @@ def secrets(text):
     hits += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
     hits += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
     return sorted(hits)
+
+
+def trie(rows):
+    """rows: (conv_id, turn, role, text) -> set of node rows as the conversation trie lists them."""
+    own = defaultdict(list)
+    for c, n, r, t in rows:
+        if c is not None:
+            own[c].append((n is not None, n or 0, r or "", t or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    nodes, ends = defaultdict(set), defaultdict(list)
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        seq = tuple(own.get(c - c % 5, [])[:h] + v[h:])
+        for d in range(len(seq) + 1):
+            nodes[seq[:d]].add(c)
+        ends[seq].append(c)
+    kids = defaultdict(list)
+    for p in nodes:
+        if p:
+            kids[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(nodes, key=len, reverse=True):
+        leaves[p] = sum(leaves[q] for q in kids[p]) or 1
+        saved[p] = sum(saved[q] for q in kids[p]) + ((len(nodes[p]) - 1) * len(p[-1][1].encode()) if p else 0)
+    return {(min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p], sha(",".join(map(str, sorted(ends[p])))))
+            for p, m in nodes.items()}
+
+
+def nearest_centroids(rows, k=8, rounds=10, seed=3):
+    """rows: (vec_id, vector) -> list of (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)."""
+    import math
+
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted((sha(f"{seed}:{i}") if i is not None else "~", v) for i, v in kept)
+    cents = [v for _, v in order[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda: [min((far(v, c), j) for j, c in enumerate(cents)) for _, v in kept]
+    for _ in range(rounds):
+        of = [j for _, j in assign()]
+        for j in range(len(cents)):
+            mine = [v for (_, v), o in zip(kept, of) if o == j]
+            if mine:
+                cents[j] = [sum(x) // len(mine) for x in zip(*mine)]
+    done = assign()
+    per = Counter()
+    for d, j in done:
+        per[j] += d
+    return [(i, j, d, per[j], sum(per.values()), sha(",".join(map(str, cents[j])))) for (i, _), (d, j) in zip(kept, done)]
+
+
+def best_products(rows, k=20, every=20):
+    """rows: (vec_id, vector) -> list of (query_id, rank, vec_id, score)."""
+    import math
+
+    kept = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v) in enumerate(kept):
+        if i is not None and i % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), j is None, j or 0) for b, (j, w) in enumerate(kept) if b != a)[:k]
+            out += [(i, n + 1, None if null else j, -s) for n, (s, null, j) in enumerate(found)]
+    return out
