@@ -6,7 +6,8 @@ naming two contents is seen, and fails the job, before the digest serves as a ve
 compared by their ordered lists of identifiers; after the chunk pass only lists and ids move, long documents do not.
 
 A null text is empty; empty texts are equal. Of equal texts the largest id stays (a null id only if all are null).
-Repeated rows with the same id and text cannot be told apart, so all of them count and all are kept.
+Repeated rows with the same id and text cannot be told apart: ``exact_groups`` counts each and calls all of them kept, and
+``keep_last`` lets one of them stay.
 """
 
 from __future__ import annotations
@@ -57,10 +58,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def _matched(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_sha256").alias("_key_sha"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.join(lookup(keys, keys.count()), F.col("_key_id").eqNullSafe(docs[id_col].cast("long")) & (F.col("_key_sha") == F.sha2(text, 256)), how)
+
+
+def without(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows named in ``rows(doc_id, text_sha256, gone, n)`` as gone; of n equal ones that stay, one stays.
+
+    A row is named by its id and the digest of its text, so another text under the same id is not touched. All columns
+    are unchanged; rows that agree in id and text count as one, whatever else they hold.
+    """
+    rows = materialise(rows.filter("gone OR n > 1"), "named")
+    out = _matched(docs, rows.filter("gone"), id_col, text_col, "left_anti")
+    twice = rows.filter("NOT gone")
+    if twice.isEmpty():
+        return out
+    names = docs.columns
+    many = _matched(out, twice, id_col, text_col, "left_semi").withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return _matched(out, twice, id_col, text_col, "left_anti").unionByName(many.dropDuplicates([id_col, "_sha"]).select(*names))
+
+
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, all columns unchanged."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    gone = materialise(gone, "gone")
-    match = F.col("_gone").eqNullSafe(docs[id_col].cast("long")) & (F.col("_sha") == F.sha2(text, 256))
-    return docs.join(lookup(gone, gone.count()), match, "left_anti")
+    """Rows of ``docs`` that stay, all columns unchanged: of equal texts the one with the largest id, once."""
+    rows = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg((~F.bool_and("kept")).alias("gone"), F.count("*").alias("n"))
+    return without(docs, rows, id_col, text_col)

@@ -17,8 +17,9 @@ The incidence matrix has a row per distinct shingle set and a column per shingle
    component meets all rows of the cluster: these rows are cut into blocks too, and a task holds one pair of blocks, each
    about half full. Only spanning links leave a task.
 
-Texts: null counts as empty; empty sets link with nothing and keep their own id. Repeated ids are treated as copies; a
-null id never names a component.
+Texts: null counts as empty; empty sets link with nothing and keep their own id. Rows are documents of their own, so an id
+that names two texts may lie in two components; a null id never names a component. ``keep_one`` lets one row of each component
+stay, however often it is repeated.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from cadenza.core.common import LOOKUP_ROWS, lookup
 from cadenza.core.session import materialise, parallelism
 from cadenza.llm.arrow_text import Texts, mix, release, slices, window_hashes
 from cadenza.llm.components import components
+from cadenza.llm.exact_dedup import without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,17 +86,20 @@ def _identities(own: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return sizes, out[0], out[1]
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b: equal sets have equal (set_a, set_b)."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, with_digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set_a, set_b: equal sets have equal (set_a, set_b). ``with_digest`` adds text_sha256."""
+    more = ["text_sha256"] if with_digest else []
 
     def run(batches):
         for b in slices(batches, 1):
             own, h = distinct_shingles(b.column(1))
             n, a, c = _identities(own, h, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(a), pa.array(c)], ["doc_id", "n_shingles", "set_a", "set_b"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(a), pa.array(c), *b.columns[2:]],
+                                             ["doc_id", "n_shingles", "set_a", "set_b", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(c) for c in more))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long" + "".join(f", {c} string" for c in more))
 
 
 # ---------------------------------------------------------------- bound by shared columns
@@ -365,16 +370,21 @@ def set_links(matrix: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, b
     return found
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links); one row per input row."""
-    sets = materialise(shingle_sets(docs, id_col, text_col), "sets")
+def _components_of_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, threshold: int, block_rows: int) -> DataFrame:
+    """set_a, set_b, rep (smallest id that has the set), component (null without a link) of every set that is not empty."""
     kept = survivors(docs, sets, text_col, threshold)
     matrix = materialise(matrix_rows(docs, kept, id_col, text_col), "matrix")
     links = set_links(matrix, threshold, block_rows)
     reps = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     linked = components(links).select(F.col("node").alias("set_a"), "component")
-    named = reps.join(linked, "set_a", "left")
+    return reps.join(linked, "set_a", "left")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
+                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links); one row per input row."""
+    sets = materialise(shingle_sets(docs, id_col, text_col), "sets")
+    named = _components_of_sets(docs, sets, id_col, text_col, threshold, block_rows)
     lowest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("lowest"))
     names = named.join(lowest, "component", "left").select("set_a", "set_b", F.coalesce("lowest", "rep").alias("component_id"))
     return sets.join(names, ["set_a", "set_b"], "left").select(
@@ -382,7 +392,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` with the smallest id of their component, all columns unchanged. Rows without an id stay."""
-    comp = materialise(jaccard_components(docs, id_col, text_col, threshold), "components")
-    gone = comp.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(lookup(gone, gone.count()), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each component, all columns unchanged: the one with the smallest id, and of several texts under
+    it the one with the smallest digest. A component without any id keeps one row as well. Rows without words link with
+    nothing, so of them only repeated rows go."""
+    sets = materialise(shingle_sets(docs, id_col, text_col, with_digest=True), "sets")
+    named = _components_of_sets(docs, sets, id_col, text_col, threshold, BLOCK_ROWS)
+    named = named.select("set_a", "set_b", F.coalesce("component", "set_a").alias("g"), F.when(F.col("component").isNull(), F.col("set_b")).alias("alone"))
+    rows = sets.groupBy("doc_id", "text_sha256", "set_a", "set_b", "n_shingles").agg(F.count("*").alias("n"))
+    rows = materialise(rows.join(named.withColumnsRenamed({"set_a": "_a", "set_b": "_b"}), (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b"))
+                                 & (F.col("n_shingles") > 0), "left").select("doc_id", "text_sha256", "g", "alone", "n"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")).alias("first")
+    stays = rows.filter("g IS NOT NULL").groupBy("g", "alone").agg(first, F.count("*").alias("size")).filter("size > 1")
+    stays = stays.select(F.col("g").alias("_g"), F.col("alone").alias("_alone"), "first")
+    met = rows.join(stays, (F.col("g") == F.col("_g")) & F.col("alone").eqNullSafe(F.col("_alone")), "left")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_sha256") == F.col("first.text_sha256")))
+    return without(docs, met.select("doc_id", "text_sha256", (F.col("first").isNotNull() & other).alias("gone"), "n"), id_col, text_col)

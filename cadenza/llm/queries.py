@@ -175,22 +175,29 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id FROM s JOIN re
 
 def _urls_sql() -> str:
     rules = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{a}')" for r, a in URL_RULES)
-    links = ", ".join("nullif(regexp_extract(html, '{}', 1), '')".format(p.replace("'", "''")) for p in url_filter.LINKS)
-    split = lambda url, pre="": (f"CASE WHEN instr({url}, '://') > 0 THEN translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE '' END AS host, "
-                                 f"CASE WHEN instr({url}, '://') > 0 THEN regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path")
-    best = "(SELECT {} FROM rules r WHERE (t.host = r.rhost OR ends_with(t.host, '.' || r.rhost)) AND starts_with(t.path, r.rpath) ORDER BY length(r.rule) DESC, r.rule LIMIT 1)"
+    host = lambda u: f"CASE WHEN instr({u}, '://') > 0 THEN lower(regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*')) ELSE '' END"
+    path = lambda u: f"CASE WHEN instr({u}, '://') > 0 THEN regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+    node = lambda u: f"lower(regexp_extract({u}, '^[^/?#]*://[^/?#]*')) || regexp_replace(regexp_replace({u}, '^[^/?#]*://[^/?#]*', ''), '#.*$', '', 's')"
+    best = lambda what, t: f"(SELECT r.{what} FROM rules r WHERE ({t}.host = r.rhost OR ends_with({t}.host, '.' || r.rhost)) AND starts_with({t}.path, r.rpath) ORDER BY length(r.rule) DESC, r.rule LIMIT 1)"
+    # A reference is cut into scheme, authority, path and query and put together with the parts of the page that it lacks.
     return f"""WITH RECURSIVE rules(rule, rhost, rpath, action) AS (VALUES {rules}),
-t AS (SELECT page_id, url, {split("url")}, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '^[^#]*') END AS key FROM pages),
-found AS (SELECT url, unnest(list_filter([{links}], lambda x: x IS NOT NULL)) AS raw_to FROM pages WHERE instr(url, '://') > 0),
-target AS (SELECT url, replace(raw_to, '&amp;', '&') AS link_to FROM found),
-edge AS (SELECT regexp_extract(url, '^[^#]*') AS a, regexp_extract(CASE WHEN instr(link_to, '://') > 0 THEN link_to WHEN starts_with(link_to, '//') THEN regexp_extract(url, '^[^/?#]*') || link_to
-    WHEN starts_with(link_to, '/') THEN regexp_extract(url, '^[^/?#]*://[^/?#]*') || link_to END, '^[^#]*') AS b FROM target),
-sides AS (SELECT a, b FROM edge WHERE b IS NOT NULL UNION SELECT b, a FROM edge WHERE b IS NOT NULL),
+t AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path, CASE WHEN instr(url, '://') > 0 THEN {node("url")} END AS key FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\s[^>]*>')) AS tag FROM pages WHERE instr(url, '://') > 0),
+refs AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\srel\\s*=\\s*["'']?\\s*canonical["''\\s/>]') THEN regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\\shttp-equiv\\s*=\\s*["'']?\\s*refresh["''\\s/>]') THEN regexp_extract(tag, '(?i)[\\s;,"''=]url\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) ELSE '' END, '&amp;', '&') AS ref FROM tags),
+cut AS (SELECT url, regexp_extract(ref, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, ref, regexp_extract(ref, '^[^?#]*') AS rpath, regexp_extract(ref, '\\?[^#]*') AS rquery,
+  regexp_extract(url, '^[^/?#]*://[^/?#]*') AS origin, {path("url")} AS upath FROM refs WHERE ref <> '' AND NOT starts_with(ref, '#')),
+joined AS (SELECT *, CASE WHEN starts_with(rpath, '/') THEN rpath WHEN instr(upath, '/') = 0 THEN '/' || rpath ELSE regexp_extract(upath, '^.*/') || rpath END AS whole FROM cut),
+folded AS (SELECT *, list_reduce(list_transform(string_split(substr(whole, 2), '/'), lambda s: list_value(s)), lambda acc, s: CASE WHEN s[1] = '.' THEN acc WHEN s[1] = '..' THEN list_slice(acc, 1, len(acc) - 1) ELSE list_concat(acc, s) END, CAST([] AS VARCHAR[])) AS segs FROM joined),
+target AS (SELECT url, CASE WHEN scheme <> '' AND starts_with(ref, scheme || '://') THEN ref WHEN scheme <> '' THEN NULL WHEN starts_with(ref, '//') THEN regexp_extract(url, '^[^/?#]*') || ref
+  WHEN starts_with(ref, '?') THEN origin || upath || rquery ELSE origin || CASE WHEN instr(whole, '/.') = 0 THEN whole
+    ELSE '/' || array_to_string(segs, '/') || CASE WHEN regexp_matches(whole, '/[.][.]?$') AND len(segs) > 0 THEN '/' ELSE '' END END || rquery END AS link_to FROM folded),
+edge AS (SELECT {node("url")} AS a, {node("link_to")} AS b FROM target WHERE link_to IS NOT NULL),
+sides AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach AS (SELECT a AS x, a AS y FROM sides UNION SELECT r.x, e.b FROM reach r JOIN sides e ON e.a = r.y),
-ruled AS (SELECT x, (SELECT r.action FROM rules r WHERE (q.host = r.rhost OR ends_with(q.host, '.' || r.rhost)) AND starts_with(q.path, r.rpath) ORDER BY length(r.rule) DESC, r.rule LIMIT 1) AS action
-  FROM (SELECT x, {split("y")} FROM reach) q),
+ruled AS (SELECT x, {best("action", "q")} AS action FROM (SELECT x, {host("y")} AS host, {path("y")} AS path FROM reach) q),
 said AS (SELECT x, min(action) AS inherited FROM ruled WHERE action IS NOT NULL GROUP BY x)
-SELECT page_id, host, path, {best.format("r.rule")} AS rule, coalesce({best.format("r.action")}, s.inherited, 'allow') AS verdict FROM t LEFT JOIN said s ON s.x = t.key"""
+SELECT page_id, host, path, {best("rule", "t")} AS rule, coalesce({best("action", "t")}, s.inherited, 'allow') AS verdict FROM t LEFT JOIN said s ON s.x = t.key"""
 
 
 def _secrets_sql() -> str:

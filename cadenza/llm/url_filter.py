@@ -2,8 +2,12 @@
 
 A rule names a host and a path start and fits that host with its subdomains; the longest fitting rule decides. URLs tied
 together by canonical links or redirects are aliases: they form the components of a graph whose nodes are URLs without
-fragment. A URL under a rule keeps the rule's action. Any other URL takes the decisions of its component, where an
-explicit allow precedes a block; without either it is allowed.
+fragment, scheme and host in lower case. A URL under a rule keeps the rule's action. Any other URL takes the decisions of its
+component, where an explicit allow precedes a block; without either it is allowed.
+
+All canonical links and refresh redirects of a page count, with their attributes in any order. Their targets may be relative to
+the page, to its directory or query, and are resolved against its URL; ``<base>`` is not looked at, and targets of
+schemes without ``//`` (mailto, javascript) name no page.
 
 A null URL, or one without ``://``, has an empty host and path, no rule and no aliases, and is allowed. Repeated rows get
 the same verdict. Targets that no row names still carry rules into their component.
@@ -24,10 +28,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A rule list is code or configuration, so its size does not follow the data; beyond this many it becomes a joined table.
 LITERAL_RULES = 64
 
-# Links by which a page states where it really lives; attributes may come in either order.
-LINKS = (r"""(?i)<link\s[^>]*?rel\s*=\s*["']?canonical["']?[^>]*?\shref\s*=\s*["']?([^"'\s>]+)""",
-         r"""(?i)<link\s[^>]*?href\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\srel\s*=\s*["']?canonical""",
-         r"""(?i)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*?url\s*=\s*["']?([^"'\s>]+)""")
+# Tags by which a page states where it really lives: (tag, what it must hold, where its target stands).
+LINKS = ((r"(?i)<link\s[^>]*>", r"""(?i)\srel\s*=\s*["']?\s*canonical["'\s/>]""", r"""(?i)\shref\s*=\s*["']?\s*([^"'\s>]+)"""),
+         (r"(?i)<meta\s[^>]*>", r"""(?i)\shttp-equiv\s*=\s*["']?\s*refresh["'\s/>]""", r"""(?i)[\s;,"'=]url\s*=\s*["']?\s*([^"'\s>]+)"""))
 
 
 def _rest(url: Column) -> Column:
@@ -47,6 +50,38 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^#]*", 0)
 
 
+def node_of(url: Column) -> Column:
+    """The URL as a node: without fragment, scheme and host in lower case."""
+    head = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
+    return F.concat(F.translate(head, UPPER, LOWER), F.substr(without_fragment(url), F.length(head) + 1, F.length(url)))
+
+
+def plain_path(path: Column) -> Column:
+    """A path that starts with a slash without its ``.`` and ``..`` segments."""
+    none = F.array().cast("array<string>")
+    parts = F.split(F.substr(path, F.lit(2), F.length(path)), "/")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(none)
+    kept = F.aggregate(parts, none, lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    # A path that ends in such a segment ends in a slash.
+    tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The absolute URL that the reference ``to`` on the page ``url`` names; null if it names no other page."""
+    scheme, origin = F.regexp_extract(url, r"^[^/?#]*", 0), F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
+    path = path_of(url)
+    folder = F.regexp_extract(path, r"^.*/", 0)
+    ref, query = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*(\?[^#]*)?", 1)
+    full = F.when(F.startswith(ref, F.lit("/")), ref).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref))
+    return (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(F.startswith(to, F.lit("//")), F.concat(scheme, to))
+            .when(F.startswith(to, F.lit("#")), F.lit(None))
+            .when(F.startswith(to, F.lit("?")), F.concat(origin, path, query))
+            .otherwise(F.concat(origin, plain_path(full), query)))
+
+
 def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Add rule and action of the longest rule that fits (host, path); both null without one."""
     split = sorted(((r, *r.partition("/")[::2], a) for r, a in rules), key=lambda x: (-len(x[0]), x[0]))
@@ -68,16 +103,15 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """a, b: a page's URL and the URL that its canonical link or refresh redirect names, both without fragment."""
-    url = F.col("url")
-    found = F.array(*(F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in LINKS))
+    """a, b: a page and the pages that its canonical links and refresh redirects name, as nodes."""
+    def named(tag: str, needs: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.rlike(t, F.lit(needs)))
+        return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).filter("instr(url, '://') > 0")
-    rows = rows.select("url", F.explode(F.array_distinct(F.array_compact(found))).alias("to"))
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
-    to = F.when(F.instr(to, "://") > 0, to).when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(url, r"^[^/?#]*", 0), to)).when(
-        F.startswith(to, F.lit("/")), F.concat(origin, to))
-    return rows.select(without_fragment(url).alias("a"), without_fragment(to).alias("b")).filter("b IS NOT NULL")
+    rows = rows.select("url", F.explode(F.array_distinct(F.concat(*(named(*link) for link in LINKS)))).alias("to")).filter("to <> ''")
+    rows = rows.select("url", resolved(F.col("url"), F.replace("to", F.lit("&amp;"), F.lit("&"))).alias("to")).filter("to IS NOT NULL")
+    return rows.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
@@ -85,7 +119,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
     """page_id, host, path, rule, verdict. ``links(a, b)`` adds redirects known from elsewhere, such as a crawl log."""
     edges = page_links(pages, url_col, html_col) if html_col else None
     if links is not None:
-        more = links.select(without_fragment(F.col("a")).alias("a"), without_fragment(F.col("b")).alias("b"))
+        more = links.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = with_rules(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
@@ -95,6 +129,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
     ruled = with_rules(member.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     said = ruled.filter("action IS NOT NULL").groupBy("component").agg(F.min("action").alias("inherited"))      # allow < block
     aliases = member.join(said, "component").select(F.col("node").alias("key"), "inherited")
-    rows = rows.withColumn("key", F.when(F.instr("url", "://") > 0, without_fragment(F.col("url"))))
+    rows = rows.withColumn("key", F.when(F.instr("url", "://") > 0, node_of(F.col("url"))))
     return rows.join(aliases, "key", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", "inherited", F.lit("allow")).alias("verdict"))

@@ -83,6 +83,33 @@ def jaccard(rows):
     return [(d, len(s), low.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
+def exact_kept(rows):
+    """Texts that stay after exact copies went, as a set of (doc_id, text)."""
+    return {(d, t) for (d, t), x in zip(rows, exact(rows)) if x[3] or x[1] is None}
+
+
+def near_kept(rows):
+    """Rows that stay after near copies went, as a set of (doc_id, text)."""
+    sets = [shingles(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        o = len(sets[i] & sets[j])
+        if o and 100 * o >= 80 * len(sets[i] | sets[j]):
+            top[root(i)] = root(j)
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0, sha(rows[i][1] or ""))
+    first = {}
+    for i in range(len(rows)):
+        if sets[i]:
+            first[root(i)] = min(first.get(root(i), i), i, key=order)
+    return {rows[i] for i in range(len(rows)) if not sets[i] or order(first[root(i)]) == order(i)}
+
+
 def repeats(rows, length):
     count = Counter()
     raw = [(t or "").encode() for _, t in rows]

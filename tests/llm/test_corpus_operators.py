@@ -22,7 +22,6 @@ def plain_ids(path, text):
     if path not in known:
         known[path] = Tokenizer.from_file(path)
     t = known[path]
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,7 +31,7 @@ def test_word_cache_equals_whole_texts(sample, path):
 
     r = random.Random(3)
     odd = ["".join(r.choice(" \n\t\r\x0b\x0c\x85\xa0 　aA'sé́漢😀ß1,.#Σ\x1c") for _ in range(r.randrange(60))) for _ in range(400)]
-    texts = [t for _, t in odd_texts()[:-4]] + odd + [t for _, t in sample[:60]] + ["<|endoftext|> it's I'll  two   three "]
+    texts = [t for _, t in odd_texts()[:-4]] + odd + [t for _, t in sample[:60]] + ["<|endoftext|> it's I'll  two   three ", "a <|endoftext|> b", "a<|endoftext|>b <|startoftext|>\n<|endoftext|>"]
     e = tokens.Encoder(path, cache_words=50)
     assert e.by_words
     for _ in range(2):
@@ -42,7 +41,7 @@ def test_word_cache_equals_whole_texts(sample, path):
 
 
 def test_packing(sample, documents):
-    rows = sample[:60] + odd_texts()[:12]
+    rows = sample[:60] + odd_texts()[:12] + [(70, "a <|endoftext|> b <|startoftext|>c")]
     got = packing.pack(documents(rows), WORD_FILE, 1).collect()
     at = {}
     for p in sorted(got, key=lambda p: (p["sequence_id"], p["offset"])):
@@ -66,7 +65,7 @@ def test_packing(sample, documents):
 
 
 def test_token_file(spark, sample, documents, tmp_path):
-    rows = sample[:80] + odd_texts()[:12]
+    rows = sample[:80] + odd_texts()[:12] + [(70, "a <|endoftext|> b<|endoftext|>")]
     path = str(tmp_path / "file")
     token_file.write_token_file(documents(rows), path, BYTE_FILE, 0, shard_rows=20, segment_tokens=5000)
     assert spark.read.parquet(path).count() > 5
@@ -135,6 +134,51 @@ def test_url_aliases(spark, many):
     assert verdicts(spark, []) == {}
 
 
+LINKED = [
+    ("http://s.example/dir/page?x=1", '<meta content="0; URL=http://bad.net/1" http-equiv="Refresh">', "http://bad.net/1"),
+    ("http://s.example/dir/page?x=1", '<META HTTP-EQUIV=refresh CONTENT=5;url=other.html>', "http://s.example/dir/other.html"),
+    ("http://s.example/dir/page?x=1", "<link rel='canonical' href='?id=3&amp;y=2#top'/>", "http://s.example/dir/page?id=3&y=2"),
+    ("HTTP://S.Example/dir/page", '<link href="../up/./A.html" rel="canonical">', "http://s.example/up/A.html"),
+    ("http://s.example/dir/page", '<link rel=canonical href=/../../a/..>', "http://s.example/"),
+    ("http://s.example/a/b/", '<link rel="canonical" href="..">', "http://s.example/a/"),
+    ("http://s.example", '<link rel="canonical" href="x?y">', "http://s.example/x?y"),
+    ("https://s.example/p", '<link rel="canonical" href="//O.Example/Q">', "https://o.example/Q"),
+    ("http://s.example/p", '<link rel="canonical" href="HTTPS://O.Example/Q?u=http://x/">', "https://o.example/Q?u=http://x/"),
+    ("http://s.example/p", '<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="#x"><link rel="canonical" href="">', None),
+    ("http://s.example/p", '<link rel="stylesheet" href="/c.css"><meta name="x" content="url=/d"><a href="/e">', None),
+]
+
+
+def test_page_links(spark):
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(LINKED)]
+    got = url_filter.page_links(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    lower = lambda u: u.replace("HTTP://S.Example", "http://s.example")
+    assert sorted(map(tuple, got.collect())) == sorted((lower(u), t) for u, _, t in LINKED if t)
+    two = spark.createDataFrame([(1, "http://a.example/", LINKED[0][1] + '<link rel="canonical" href="b"> x <link href="c" rel="canonical">')], "page_id long, url string, html string")
+    assert {r["b"] for r in url_filter.page_links(two).collect()} == {"http://bad.net/1", "http://a.example/b", "http://a.example/c"}
+
+
+def test_linked_pages_match_sql(spark, tmp_path):
+    """Links of every kind planted into a table of pages, against the SQL of op4_url_aliases."""
+    import duckdb
+    from check_queries import table_rows
+
+    r = random.Random(4)
+    hosts = ["a.example", "B.Example", "c.org", "example.net", "x.net"]
+    paths = ["/", "", "/fr/1", "/en/2?q=1", "/de/../fr/x", "/a/b/c.html"]
+    url = lambda: "http://" + r.choice(hosts) + r.choice(paths) + r.choice(["", "#f"])
+    ref = lambda: r.choice([url(), "z.html", "../fr/y", "?k=2", "/en/3", "//c.org/fr/9", "mailto:x@y", "./", "..", "#s"])
+    tag = lambda: r.choice(['<link rel="canonical" href="{}">', "<link href='{}' rel='canonical'>", '<meta http-equiv="refresh" content="1; url={}">',
+                            '<META content="0;URL={}" http-equiv=refresh />', '<link rel="icon" href="{}">']).format(ref())
+    pages = [(i, url(), " text ".join(tag() for _ in range(r.randrange(0, 3)))) for i in range(60)] + [(100, None, tag()), (101, "none", None), (101, "none", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = Q.op4_url_aliases(spark, str(tmp_path))
+    cur = con.execute(Q.ORACLES["op4_url_aliases"])
+    assert table_rows(df.columns, df.collect()) == table_rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(280)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(1, 300)] + [(None, 3), (7, 7)]
@@ -236,9 +280,9 @@ def test_pipeline_stages(spark, documents, sample):
             assert {d for d, _ in got} <= {d for d, t in rows if not brute.quality_base(t)["base_failed"]}
             assert len(got) > 0.7 * len(sample)
         elif name == "exact_dedup":
-            assert sorted(map(str, got)) == sorted(str(r) for r, x in zip(rows, brute.exact(rows)) if x[3])
+            assert sorted(map(str, got)) == sorted(map(str, brute.exact_kept(rows)))
         elif name == "ngram_jaccard_join":
-            assert sorted(map(str, got)) == sorted(str(r) for r, (d, _, c) in zip(rows, brute.jaccard(rows)) if d is None or d == c)
+            assert sorted(map(str, got)) == sorted(map(str, brute.near_kept(rows)))
         elif name == "mixing":
             assert set(got) <= set(rows) and 0 < sum(len(brute.words(t)) for _, t in got) <= sum(len(brute.words(t)) for _, t in rows) * 3 // 4
         else:

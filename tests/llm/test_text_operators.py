@@ -98,10 +98,13 @@ def test_jaccard_tasks_stay_bounded_in_a_loose_cluster(documents, monkeypatch):
 
 
 def test_jaccard_keeps_one(documents):
-    rows = odd_texts()
-    comp = brute.jaccard(rows)
-    kept = jaccard_join.keep_one(documents(rows)).collect()
-    assert same([(r["doc_id"], r["text"]) for r in kept], [r for r, (d, _, c) in zip(rows, comp) if d is None or d == c])
+    base = odd_texts()[3][1]
+    lone = " ".join(f"z{i}" for i in range(90))
+    # One id for two texts: one a near copy of another text, the other first of its own group; and near copies without an id.
+    rows = odd_texts() + [(6, lone), (145, lone + " end"), (0, base + " x"), (None, lone.replace("z3 ", "y3 "))] + [(None, "n " * 9 + f"null {i} " + lone[::-1]) for i in range(3)]
+    for twice in (rows, rows + rows):
+        kept = jaccard_join.keep_one(documents(twice)).collect()
+        assert same([(r["doc_id"], r["text"]) for r in kept], brute.near_kept(rows))
     assert jaccard_join.jaccard_components(documents(rows).limit(0)).count() == 0
 
 
@@ -157,8 +160,9 @@ def test_exact_groups(sample, documents, odd):
     rows = odd_texts() + [(50, "a" * 9000), (51, "a" * 9001), (52, "a" * 9000)] if odd else sample
     assert same(exact_dedup.exact_groups(documents(rows)).collect(), brute.exact(rows))
     if odd:
-        kept = exact_dedup.keep_last(documents(rows)).collect()
-        assert same([(r["doc_id"], r["text"]) for r in kept], [r for r, x in zip(rows, brute.exact(rows)) if x[3]])
+        for twice in (rows, rows + rows):
+            kept = exact_dedup.keep_last(documents(twice)).collect()
+            assert same([(r["doc_id"], r["text"]) for r in kept], brute.exact_kept(rows))
         assert exact_dedup.exact_groups(documents(rows).limit(0)).count() == 0
 
 
