@@ -76,19 +76,29 @@ def x04(spark, d):
     return rounded(X.ablation_table(metric(spark, d, "base"), variants, rtf, TYPES, BOOT), *TYPES, "mean", "delta_mean")
 
 
-MAP_BOOT = 60
-
-
-@query("X05", sql(f"""ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM doc_scores)),
+MAP_BOOT = 1000
+MAP_SQL = f"""ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM s)),
 w AS (SELECT b, x.id, count(*) AS w FROM (SELECT b, {md5_sql("'0'", "b", "idx")} % n AS pick FROM ids, range(0, {MAP_BOOT}) r(b)) p JOIN ids x ON x.idx = p.pick GROUP BY ALL),
-s AS (SELECT 'a' AS side, id, tag, y, score FROM doc_scores UNION ALL SELECT 'b', id, tag, y, ((id * 37) % 101 / 101.0::DOUBLE + y * 0.3::DOUBLE) / 1.3::DOUBLE FROM doc_scores),
 g AS (SELECT b, side, tag, score, sum(y * w) AS tp, sum(w) AS m FROM s JOIN w USING (id) GROUP BY ALL),
 c AS (SELECT *, sum(tp) OVER q AS ctp, sum(m) OVER q AS cm FROM g WINDOW q AS (PARTITION BY b, side, tag ORDER BY score DESC)),
 a AS (SELECT b, side, tag, sum(tp * (ctp / cm::DOUBLE)) / sum(tp) AS ap FROM c GROUP BY ALL HAVING sum(tp) > 0 AND sum(tp) < sum(m)),
 d AS (SELECT b, avg(ap) FILTER (side = 'b') - avg(ap) FILTER (side = 'a') AS d FROM a GROUP BY b)
 SELECT round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high,
-  round(avg(CASE WHEN round(d, 12) > 0 THEN 1 ELSE 0 END), 6) AS positive_rate, count(*) AS n_boot FROM d""", "doc_scores"))
+  round(avg(CASE WHEN round(d, 12) > 0 THEN 1 ELSE 0 END), 6) AS positive_rate, count(*) AS n_boot FROM d"""
+
+
+@query("X05", sql(f"""s AS MATERIALIZED (SELECT 'a' AS side, track_id AS id, tag, y, score FROM scores_a WHERE split = 'test'
+  UNION ALL SELECT 'b', track_id, tag, y, score FROM scores_b WHERE split = 'test'), {MAP_SQL}""", "scores_a", "scores_b"))
 def x05(spark, d):
+    """All tags of the test split, as both models score them."""
+    r = X.bootstrap_map_diff(C.scores(spark, d, "a", "test"), C.scores(spark, d, "b", "test"), MAP_BOOT)
+    return rounded(r, "mean_diff", "ci_low", "ci_high", "positive_rate")
+
+
+@query("X05_two_tags", sql(f"""s AS (SELECT 'a' AS side, id, tag, y, score FROM doc_scores
+  UNION ALL SELECT 'b', id, tag, y, ((id * 37) % 101 / 101.0::DOUBLE + y * 0.3::DOUBLE) / 1.3::DOUBLE FROM doc_scores), {MAP_SQL}""", "doc_scores"))
+def x05_two_tags(spark, d):
+    """The same comparison over the labelled documents."""
     a = C.doc_scores(spark, d)
     b = a.withColumn("score", ((F.col("id") * 37) % 101 / F.lit(101.0) + F.col("y") * 0.3) / 1.3)
     return rounded(X.bootstrap_map_diff(a, b, MAP_BOOT, key="id"), "mean_diff", "ci_low", "ci_high", "positive_rate")
