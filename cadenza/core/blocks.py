@@ -1,21 +1,22 @@
 """Exact nearest neighbours by blocks: no pair of rows is ever shuffled.
 
-Both sides of a cell are hashed into blocks of bounded size. A task receives one query block
-and one corpus block, multiplies them and returns only its best k per query, so memory is
-bounded by the block size however large a cell is.
+``streamed_topk`` searches a whole corpus: its partitions stream past broadcast blocks of queries. ``nearest_of_table`` scores a small
+table, such as centroids, without any shuffle. ``blocked_topk`` searches inside cells: both sides of a cell are hashed into blocks of
+bounded size, and a task multiplies one query block by one corpus block and returns only its best k per query. Memory is bounded
+by the block size everywhere.
 """
 
 from __future__ import annotations
 
 import sys
-from math import isqrt
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.core.common import union_all
 from cadenza.core.ordered import top_per_group
 from cadenza.core.session import materialise, parallelism
 
@@ -23,6 +24,8 @@ from cadenza.core.session import materialise, parallelism
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 2048
+MIN_ROWS = 256              # corpus rows a task should have at least
+GROUP_BYTES = 64 << 20      # of query blocks, or of a small table, that are broadcast at once
 STRIP = 4_000_000  # differences held at once
 DIGITS = 9  # similarities are rounded before ranking so that ties fall to the smaller id
 
@@ -52,6 +55,112 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[keep], col[keep]
 
 
+def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(part, ids, width, values): the rows (id, vec) of each partition in blocks of at most ``most``, one row a block."""
+    id_type = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            for lo in range(0, len(b), most):
+                cut = b.slice(lo, most)
+                flat = cut.column("vec").flatten()
+                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), one(cut.column(id_col)), pa.array([len(flat) // len(cut)], pa.int32()), one(flat)],
+                                                 ["part", "ids", "width", "vals"])
+
+    return rows.select(id_col, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"part int, ids array<{id_type}>, width int, vals array<double>")
+
+
+def _matrix(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = batch.column(prefix + "ids")[i].values.to_numpy(zero_copy_only=False)
+    return ids, batch.column(prefix + "vals")[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    return np.round(_unit(q) @ _unit(c).T if metric == "cosine" else -_distance(q, c), DIGITS) + 0.0
+
+
+def streamed_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, block: int = BLOCK,
+                  group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(q, item, score, rank): best ``k`` of ``corpus(id, vec)`` per row of ``queries(q, vec)``.
+
+    The queries are packed into blocks. A group of blocks of bounded size is broadcast and every corpus partition streams past it
+    where it lies, keeping the k best of each query of the group, so no vector is copied for an opposite block and only
+    k rows per query and task are merged.
+    """
+    spark = queries.sparkSession
+    types = queries.schema["q"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
+    n_q, n_c = queries.count(), corpus.count()
+    parts = max(-(-n_q // block), 1)
+    q = _packed(queries.repartition(parts), "q", block)
+    q = materialise(q.withColumnsRenamed({c: f"q_{c}" for c in q.columns if c != "part"}), "query-blocks")
+    tasks = max(min(parallelism(spark), -(-n_c // MIN_ROWS)), 1)
+    c = _packed(corpus.select("id", "vec").repartition(tasks), "id", block).drop("part")
+    size = (F.size("q_vals") * 8).cast("long")
+    share = max(int(group_bytes * parts // max(q.agg(F.sum(size)).first()[0] or 1, 1)), 1)
+
+    def run(batches):
+        state: dict = {}
+        for b in batches:
+            for i in range(len(b)):
+                cid, cv = _matrix(b, i, "")
+                qid, qv = _matrix(b, i, "q_")
+                score = _scores(qv, cv, metric)
+                if exclude_self:
+                    score[qid[:, None] == cid[None, :]] = -np.inf
+                row, col = _best(score, cid, k)
+                # The best so far of this block of queries, and those of this block of the corpus.
+                held = state.get((qid[0], len(qid)))
+                r, ids, s = (row, cid[col], score[row, col]) if held is None else (np.concatenate([held[1], row]), np.concatenate([held[2], cid[col]]), np.concatenate([held[3], score[row, col]]))
+                order = np.lexsort((ids, -s, r))
+                r, ids, s = r[order], ids[order], s[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                state[qid[0], len(qid)] = qid, r[keep], ids[keep], s[keep]
+        for qid, r, ids, s in state.values():
+            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids), pa.array(s)], ["q", "item", "score"])
+
+    found = []
+    for lo in range(0, parts, share):
+        hi = min(lo + share, parts)
+        some = q.filter(F.col("part").between(lo, hi - 1))
+        pairs = c.withColumn("part", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).join(F.broadcast(some), "part").drop("part")
+        best = pairs.mapInArrow(run, f"q {types[0]}, item {types[1]}, score double")
+        found.append(best if share >= parts else materialise(best, "best"))
+    return top_per_group(union_all(found), ["q"], [F.desc("score"), F.col("item")], k)
+
+
+def nearest_of_table(queries: DataFrame, table: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """(q, item, score, rank): best ``k`` of a small ``table(id, vec)`` per row of ``queries(q, vec)``, scored where the queries lie.
+
+    The table is counted: up to GROUP_BYTES it is one broadcast row, beyond that the search is a streamed one.
+    """
+    n = table.count()
+    width = table.select(F.max(F.size("vec"))).first()[0] or 1
+    if n * width * 8 > GROUP_BYTES:
+        return streamed_topk(queries, table, k, metric, exclude_self=False)
+    types = queries.schema["q"].dataType.simpleString(), table.schema["id"].dataType.simpleString()
+    one = table.select(F.struct("id", F.col("vec").cast("array<double>").alias("vec")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("r"))   # bounded above
+    one = one.select(F.col("r.id").alias("ids"), F.flatten("r.vec").alias("vals"), F.lit(0).alias("_k"))
+    q = _packed(queries, "q", BLOCK).select(F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.lit(0).alias("_k"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                cid, cv = _matrix(b, i, "")
+                qid, qv = _matrix(b, i, "q_")
+                if len(cid) == 0:
+                    continue
+                score = _scores(qv, cv, metric)
+                row, col = _best(score, cid, k)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(cid[col]), pa.array(score[row, col]), pa.array(rank, pa.int32())], ["q", "item", "score", "rank"])
+
+    return q.join(F.broadcast(one), "_k").mapInArrow(run, f"q {types[0]}, item {types[1]}, score double, rank int")
+
+
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str] | None = None,
                  merge_on: list[str] | None = None, metric: str = "cosine", exclude_self: bool = True,
                  block: int = BLOCK) -> DataFrame:
@@ -60,51 +169,36 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str]
     ``cell`` columns restrict comparison to equal cells. ``cosine`` scales both sides to
     unit length inside the task; ``euclid`` scores by negative distance.
     """
+    if not cell:
+        return streamed_topk(queries, corpus, k, metric, exclude_self, block)
     queries = queries.select(*[F.col(x).alias(x) for x in queries.columns])  # both sides may be one table
-    cell, pairs = cell or [], 0
     merge_on = [*(merge_on or []), "q"]
-    if cell:
-        nq = queries.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_nq"))
-        nc = corpus.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_nc"))
-        cells = materialise(nq.join(nc, cell), "cells")
-        q, c = queries.join(cells, cell), corpus.join(cells, cell)
-    else:
-        spread = isqrt(queries.sparkSession.sparkContext.defaultParallelism) + 1  # enough block pairs to keep every core busy
-        blocks = lambda n: max(-(-n // block), min(spread, n // 256), 1)
-        nq, nc = blocks(queries.count()), blocks(corpus.count())
-        pairs = nq * nc
-        cell = ["_cell"]
-        one = lambda df: df.select("*", F.lit(0).alias("_cell"), F.lit(nq).alias("_nq"), F.lit(nc).alias("_nc"))
-        q, c = one(queries), one(corpus)
+    nq = queries.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_nq"))
+    nc = corpus.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_nc"))
+    cells = materialise(nq.join(nc, cell), "cells")
+    q, c = queries.join(cells, cell), corpus.join(cells, cell)
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = q.select(*cell, "q", "vec", mine("q", "_nq").alias("_qb"), every("_nc").alias("_cb"))
     c = c.select(*cell, "id", "vec", mine("id", "_nc").alias("_cb"), every("_nq").alias("_qb"))
     types = {f.name: f.dataType.simpleString() for f in [*q.schema, *c.schema]}
-    out_cell = [x for x in cell if x != "_cell"]
-    schema = ", ".join([f"{x} {types[x]}" for x in out_cell] + [f"q {types['q']}", f"item {types['id']}", "score double"])
+    schema = ", ".join([f"{x} {types[x]}" for x in cell] + [f"q {types['q']}", f"item {types['id']}", "score double"])
 
     def best_of_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*out_cell, "q", "item", "score"]
+        names = [*cell, "q", "item", "score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         qv, cv = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        if metric == "cosine":
-            score = _unit(qv) @ _unit(cv).T
-        else:
-            score = -_distance(qv, cv)
-        score = np.round(score, DIGITS) + 0.0
+        score = _scores(qv, cv, metric)
         qid, cid = left["q"].to_numpy(), right["id"].to_numpy()
         if exclude_self:
             score[qid[:, None] == cid[None, :]] = -np.inf
         row, col = _best(score, cid, k)
-        out = {x: np.repeat(left[x].iloc[0], len(row)) for x in out_cell}
+        out = {x: np.repeat(left[x].iloc[0], len(row)) for x in cell}
         return pd.DataFrame({**out, "q": qid[row], "item": cid[col], "score": score[row, col]})[names]
 
     keys = [*cell, "_qb", "_cb"]
     n = parallelism(queries.sparkSession)
-    if pairs:
-        n = min(n, 4 * pairs)
     q, c = q.repartition(n, *keys), c.repartition(n, *keys)
     partial = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(best_of_blocks, schema)
     return top_per_group(partial, merge_on, [F.desc("score"), F.col("item")], k)

@@ -6,22 +6,19 @@ shuffles one vector per group and task instead of one row per component.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.common import require, union_all
+from cadenza.core.common import require
 from cadenza.core.session import materialise
-from cadenza.operators import labels as L
 from cadenza.operators import tagging
+from cadenza.operators.probes import probe_scores
 
 # Segment combinations of the ablation, by name.
 COMBOS = {"s0": (0,), "s1": (1,), "s2": (2,), "s3": (3,), "s0+s1": (0, 1), "s1+s2": (1, 2), "s0+s3": (0, 3),
           "s0+s2": (0, 2), "all4": (0, 1, 2, 3)}
-FITS = 4  # feature sets fitted at the same time
 # Pairs in order of growing span.
 SPAN_ORDER = ("s1+s2", "s0+s2", "s0+s3")
 
@@ -92,40 +89,9 @@ def fuse(sources: DataFrame, mode: str, order: tuple[str, ...], logits: dict[str
 
 # ---------------------------------------------------------------- linear probes
 
-def fit_scores(features: DataFrame, labels: DataFrame, max_iter: int = 200) -> DataFrame:
-    """(track_id, tag, y, score) on validation from one logistic regression per tag.
-
-    ``features(split, track_id, vec)`` are standardised with training statistics; tags
-    without both classes in training are skipped. ``labels(track_id, tag)`` are positives.
-    """
-    from pyspark.ml.classification import LogisticRegression
-
-    train = features.filter("split = 'train'")
-    z = L.standardise_by_dimension(features, L.dimension_stats(train))
-    z = materialise(z.select("split", "track_id", "vec"), "probe")
-    train, val = z.filter("split = 'train'"), z.filter("split = 'validation'")
-    n = train.count()
-    lab = materialise(labels.select("track_id", "tag").distinct(), "probe-labels")
-    tags = train.join(lab, "track_id").groupBy("tag").count().filter((F.col("count") > 0) & (F.col("count") < n)).orderBy("tag").collect()
-    outs = []
-    for row in tags:
-        hits = lab.filter(F.col("tag") == row["tag"]).select("track_id", F.lit(1.0).alias("y"))
-        data = lambda d: d.join(hits, "track_id", "left").na.fill(0.0, ["y"]).withColumn("features", array_to_vector("vec"))  # noqa: B023, E731
-        # regParam 1/n and no elastic net equal an inverse penalty strength of 1.
-        lr = LogisticRegression(labelCol="y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
-        p = lr.fit(data(train)).transform(data(val))
-        outs.append(p.select("track_id", F.lit(row["tag"]).alias("tag"), F.col("y").cast("int").alias("y"),
-                             vector_to_array("probability")[1].alias("score")))
-    if not outs:
-        raise ValueError("no tag has both classes in training")
-    return union_all(outs)
-
-
-def probe(features: DataFrame, key: str, names: list, labels: DataFrame) -> DataFrame:
-    """(key, map, roc_auc, n_valid) for each feature set named in ``names``."""
-    one = lambda v: fit_scores(features.filter(F.col(key) == v), labels).withColumn(key, F.lit(v))
-    with ThreadPoolExecutor(FITS) as pool:                      # independent fits share the cluster
-        scores = materialise(union_all(list(pool.map(one, names))), "probe-scores")
+def probe(features: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """(key, map, roc_auc, n_valid) for each feature set; all sets and tags are fitted together."""
+    scores = materialise(probe_scores(features, key, labels), "probe-scores")
     per = tagging.ranking(scores, (key, "tag"))
     ok = F.col("valid")
     return per.groupBy(key).agg(F.avg(F.when(ok, F.col("ap"))).alias("map"), F.avg(F.when(ok, F.col("auc"))).alias("roc_auc"),
@@ -134,11 +100,10 @@ def probe(features: DataFrame, key: str, names: list, labels: DataFrame) -> Data
 
 def layer_probe(layer_means: DataFrame, labels: DataFrame) -> DataFrame:
     """Validation mAP and AUC per layer with marks for the best, worst and last one."""
-    layers = [r[0] for r in layer_means.select("layer").distinct().orderBy("layer").collect()]
-    r = materialise(probe(layer_means, "layer", layers, labels), "layers")
-    e = r.agg(F.max_by("layer", "map").alias("b"), F.min_by("layer", "map").alias("w"), F.max("map").alias("m")).first()
+    r = materialise(probe(layer_means, "layer", labels), "layers")
+    e = r.agg(F.max_by("layer", "map").alias("b"), F.min_by("layer", "map").alias("w"), F.max("map").alias("m"), F.max("layer").alias("l")).first()
     return r.withColumn("mark", F.concat_ws(",", F.when(F.col("layer") == e["b"], "best"), F.when(F.col("layer") == e["w"], "worst"),
-                                            F.when(F.col("layer") == max(layers), "last"))).withColumn(
+                                            F.when(F.col("layer") == e["l"], "last"))).withColumn(
         "below_best_pct", (F.lit(e["m"]) - F.col("map")) / F.lit(e["m"]) * 100)
 
 
@@ -146,11 +111,9 @@ def segment_ablation(frames: DataFrame, labels: DataFrame, center: DataFrame | N
     """Probe every segment combination (and the centre window): map, mean of its single parts and the gain over it."""
     means = segment_means(frames, n_segments, ("split", "track_id"))
     feats = materialise(combine_segments(means, COMBOS, ("split", "track_id")), "combos")
-    names = list(COMBOS)
     if center is not None:
         feats = feats.unionByName(center.select(F.lit("center").alias("combo"), "split", "track_id", "vec"))
-        names.append("center")
-    r = materialise(probe(feats, "combo", names, labels), "ablation")
+    r = materialise(probe(feats, "combo", labels), "ablation")
     parts = F.create_map(*[x for n, s in COMBOS.items() for x in (F.lit(n), F.lit([f"s{i}" for i in s]))])
     single = r.select(F.col("combo").alias("part"), F.col("map").alias("part_map"))
     need = r.withColumn("part", F.explode_outer(parts[F.col("combo")])).join(F.broadcast(single), "part", "left")

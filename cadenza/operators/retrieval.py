@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.core.blocks import blocked_topk
+from cadenza.core.blocks import blocked_topk, nearest_of_table
 from cadenza.core.common import md5_int, never_broadcast
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
@@ -17,6 +17,7 @@ NAN = float("nan")
 # Tag sets up to this size are counted through their subsets, larger ones through their tags.
 SUBSET_TAGS = 12
 KS = (1, 5, 10, 50)
+RECALL_SAMPLE = 2000        # queries on which the number of probes is chosen
 
 
 def l2_normalise(df: DataFrame, vec: str = "vec", eps: float = 1e-12) -> DataFrame:
@@ -173,7 +174,7 @@ def jaccard_at_k(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: in
 def ivf_build(corpus: DataFrame, n_lists: int = 64, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """(lists(id, vec, list_id), centroids(list_id, vec, n_iter)) from k-means on unit vectors; both are written.
 
-    ``n_iter`` below ``max_iter`` tells that the centres had settled.
+    Centres are scaled to unit length and an item lies in the list of the one it is most similar to, as queries probe. ``n_iter`` below ``max_iter`` tells that the centres had settled.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -184,15 +185,15 @@ def ivf_build(corpus: DataFrame, n_lists: int = 64, seed: int = 0, max_iter: int
     if k == 1:
         mean = unit.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()
         centres = [[r["v"] for r in mean]]
-        lists, n_iter = unit.withColumn("list_id", F.lit(0)), 0
+        n_iter = 0
     else:
         model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
         n_iter = model.summary.numIter
         centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        lists = model.transform(feats).select("id", "vec", F.col("prediction").alias("list_id"))
     cent = corpus.sparkSession.createDataFrame(list(enumerate(centres)), "list_id int, vec array<double>")
-    cent = l2_normalise(cent).withColumn("n_iter", F.lit(n_iter))
-    return materialise(lists, "lists"), materialise(cent, "centroids")
+    cent = materialise(l2_normalise(cent).withColumn("n_iter", F.lit(n_iter)), "centroids")
+    near = nearest_of_table(unit.select(F.col("id").alias("q"), "vec"), cent.select(F.col("list_id").alias("id"), "vec"), 1)
+    return materialise(unit.join(near.select(F.col("q").alias("id"), F.col("item").alias("list_id")), "id"), "lists"), cent
 
 
 def list_centroids(lists: DataFrame) -> DataFrame:
@@ -203,10 +204,10 @@ def list_centroids(lists: DataFrame) -> DataFrame:
 
 
 def ivf_probes(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
-    """(q, list_id): the n_probe lists nearest to each query(id, vec)."""
+    """(q, list_id): the n_probe lists nearest to each query(id, vec), scored where the queries lie."""
     q = queries.select(F.col("id").alias("q"), "vec")
     c = centroids.select(F.col("list_id").alias("id"), "vec")
-    return blocked_topk(q, c, n_probe, exclude_self=False).select("q", F.col("item").alias("list_id"))
+    return nearest_of_table(q, c, n_probe).select("q", F.col("item").alias("list_id"))
 
 
 def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
@@ -215,6 +216,29 @@ def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int,
     return blocked_topk(q, lists.select("id", "vec", "list_id"), k, cell=["list_id"], exclude_self=exclude_self)
 
 
+def probes_for_recall(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int = 10, target: float = 0.9,
+                      sample: int = RECALL_SAMPLE) -> int:
+    """Fewest lists to probe, doubling from 1, whose recall@k reaches ``target`` on at most ``sample`` queries drawn by hash."""
+    some = materialise(queries.orderBy(md5_int("recall", F.col("id")), "id").limit(sample).select("id", "vec"), "recall-sample")
+    exact = materialise(exact_topk(some, lists, k), "recall-exact")
+    n_lists, n = centroids.count(), 1
+    while n < n_lists:
+        found = index_recall(ivf_search(some, lists, ivf_probes(some, centroids, n), k), exact, k).first()["index_recall"]
+        if found is None or found >= target:
+            return n
+        n *= 2
+    return n_lists
+
+
+def misplaced(lists: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Rows of ``lists`` whose own centroid is less similar than another one. The centroids travel as a literal."""
+    rows = {r["list_id"]: r["vec"] for r in centroids.collect()}
+    dot = lambda c: F.aggregate(F.zip_with("vec", c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    every = F.transform(F.lit([rows[k] for k in sorted(rows)]), dot)
+    own = F.element_at(every, F.array_position(F.lit(sorted(rows)), F.col("list_id")).cast("int"))
+    return lists.filter(own < F.array_max(every) - 1e-8).select("id", "list_id")
+
+
 def index_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Mean over queries of |approx top-k and exact top-k| / k."""
     a, e = approx.filter(F.col("rank") <= k).select("q", "item"), exact.filter(F.col("rank") <= k).select("q", "item")

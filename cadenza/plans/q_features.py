@@ -74,7 +74,49 @@ def layers(spark, d):
     return feats, e.select(t.alias("track_id"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("tag"))
 
 
-@query("E08")
+PROBE_STEPS = 200
+
+
+def probe_sql(rows: str, labels: str, size: int = 64) -> str:
+    """Common tables that fit logistic probes by accelerated gradient steps: a second solver of the same objective.
+
+    ``rows`` is a SELECT of (grp, track_id, val, i, v), ``labels`` one of (track_id, tag). The last table is ``probed(grp, map, auc, n_valid)``.
+    A step is 1/L with L from the rows of the Gram matrix, momentum that of the ridge 1/n.
+    """
+    d = size + 1
+    sums = ", ".join(f"sum(e * z[{i}])" for i in range(1, d + 1))
+    return f"""px AS MATERIALIZED ({rows}), pl AS (SELECT DISTINCT * FROM ({labels})),
+pst AS (SELECT grp, i, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS std FROM px WHERE NOT val GROUP BY ALL),
+pz AS MATERIALIZED (SELECT grp, track_id, val, list_append(list((v - mean) / std ORDER BY i), 1.0::DOUBLE)::DOUBLE[] AS z FROM px JOIN pst USING (grp, i) GROUP BY ALL),
+pn AS (SELECT grp, count(*)::DOUBLE AS n FROM pz WHERE NOT val GROUP BY grp),
+pzi AS (SELECT grp, track_id, unnest(range(1, {d + 1})) AS i, unnest(z) AS v FROM pz WHERE NOT val),
+plip AS (SELECT grp, max(s) / 4 / any_value(n) + 1 / any_value(n) AS lip, any_value(n) AS n FROM (
+  SELECT grp, i, sum(abs(s)) AS s FROM (SELECT a.grp, a.i, b.i AS j, sum(a.v * b.v) AS s FROM pzi a JOIN pzi b USING (grp, track_id) GROUP BY ALL) GROUP BY ALL) JOIN pn USING (grp) GROUP BY grp),
+py AS MATERIALIZED (SELECT z.grp, t.tag, z.val, z.z, CASE WHEN l.tag IS NULL THEN 0 ELSE 1 END AS y FROM pz z CROSS JOIN (SELECT DISTINCT tag FROM pl) t
+  LEFT JOIN pl l ON l.track_id = z.track_id AND l.tag = t.tag),
+pp AS (SELECT grp, tag FROM py WHERE NOT val GROUP BY ALL HAVING min(y) < max(y)),
+pit(k, grp, tag, w, u) AS (SELECT 0, grp, tag, list_transform(range({d}), lambda x: 0.0::DOUBLE), list_transform(range({d}), lambda x: 0.0::DOUBLE) FROM pp
+  UNION ALL SELECT k + 1, grp, tag, wn, list_transform(list_zip(wn, w), lambda q: q[1] + (sqrt(lip * n) - 1) / (sqrt(lip * n) + 1) * (q[1] - q[2])) FROM (
+    SELECT k, grp, tag, w, n, lip, list_transform(list_zip(u, g, range(1, {d + 1})), lambda q: q[1] - (q[2] / n + CASE WHEN q[3] < {d} THEN q[1] / n ELSE 0 END) / lip) AS wn FROM (
+      SELECT k, grp, tag, any_value(w) AS w, any_value(u) AS u, any_value(n) AS n, any_value(lip) AS lip, [{sums}] AS g FROM (
+        SELECT i.k, i.grp, i.tag, i.w, i.u, p.n, p.lip, y.z, 1 / (1 + exp(-list_inner_product(i.u, y.z))) - y.y AS e
+        FROM pit i JOIN py y ON y.grp = i.grp AND y.tag = i.tag AND NOT y.val JOIN plip p ON p.grp = i.grp WHERE i.k < {PROBE_STEPS}) GROUP BY k, grp, tag))),
+ps AS (SELECT y.grp, y.tag, list_inner_product(i.w, y.z) AS score, sum(y.y) AS tp, count(*) AS m FROM pit i JOIN py y ON y.grp = i.grp AND y.tag = i.tag AND y.val
+  WHERE i.k = {PROBE_STEPS} GROUP BY ALL),
+po AS (SELECT *, sum(tp) OVER w AS ctp, sum(m) OVER w AS cm FROM ps WINDOW w AS (PARTITION BY grp, tag ORDER BY score DESC)),
+pr AS (SELECT grp, tag, sum(tp) > 0 AND sum(tp) < sum(m) AS ok, sum(tp * ctp / cm) / sum(tp) AS ap,
+  1 - sum(tp * (cm - ctp - (m - tp) / 2.0::DOUBLE)) / (sum(tp) * (sum(m) - sum(tp))) AS auc FROM po GROUP BY ALL),
+probed AS (SELECT grp, avg(ap) FILTER (ok) AS map, avg(auc) FILTER (ok) AS auc, count(*) FILTER (ok) AS n_valid FROM pr GROUP BY grp)"""
+
+
+LAYER_SQL = probe_sql("SELECT CAST(id % 2 AS INTEGER) AS grp, id // 2 AS track_id, (id // 2) % 4 = 3 AS val, unnest(range(1, 65)) AS i, unnest(vec) AS v FROM emb",
+                      "SELECT id // 2 AS track_id, label % 3 AS tag FROM emb")
+
+
+@query("E08", sql(f"""{LAYER_SQL}
+SELECT grp AS layer, round(map, 6) AS map, round(auc, 6) AS roc_auc, n_valid, concat_ws(',', CASE WHEN map = max(map) OVER () THEN 'best' END,
+  CASE WHEN map = min(map) OVER () THEN 'worst' END, CASE WHEN grp = max(grp) OVER () THEN 'last' END) AS mark,
+  round((max(map) OVER () - map) / max(map) OVER () * 100, 6) AS below_best_pct FROM probed""", "emb"))
 def e08(spark, d):
     return rounded(E.layer_probe(*layers(spark, d)), "map", "roc_auc", "below_best_pct")
 
@@ -96,12 +138,38 @@ def e08_one(spark, d):
     return rounded(out.drop("mark"), "map", "roc_auc", "below_best_pct")
 
 
-@query("E09")
-def e09(spark, d):
+_COMBOS = ", ".join(f"('{n}', {list(c)})" for n, c in E.COMBOS.items())
+ABLATION_SQL = probe_sql(f"""WITH x AS (SELECT id // 8 AS track_id, id % 8 AS frame, unnest(range(1, 65)) AS i, unnest(vec) AS v FROM emb),
+  t AS (SELECT track_id, max(frame) + 1 AS size FROM x GROUP BY track_id),
+  s AS (SELECT track_id, frame // (size // 4) AS segment, i, avg(v) AS v FROM x JOIN t USING (track_id) GROUP BY ALL)
+  SELECT c.combo AS grp, track_id, track_id % 4 = 3 AS val, i, avg(v) AS v FROM s JOIN (VALUES {_COMBOS}) c(combo, segs) ON list_contains(c.segs, s.segment) GROUP BY ALL
+  UNION ALL SELECT 'center', track_id, track_id % 4 = 3, i, avg(v) FROM x WHERE frame BETWEEN 3 AND 4 GROUP BY ALL""",
+                         "SELECT id // 8 AS track_id, 'low' AS tag FROM emb WHERE label < 2")
+ABLATION_SQL += f""",
+parts AS (SELECT combo, unnest(segs) AS seg FROM (VALUES {_COMBOS}) c(combo, segs)),
+means AS (SELECT combo, avg(p.map) AS parts_mean, count(*)::INTEGER AS n_segments FROM parts JOIN probed p ON p.grp = 's' || seg GROUP BY combo),
+ablation AS (SELECT grp AS combo, map, auc AS roc_auc, n_valid, parts_mean, coalesce(n_segments, 0) AS n_segments, map - parts_mean AS gain FROM probed LEFT JOIN means ON combo = grp)"""
+
+
+def ablation(spark, d):
     """Nine combinations of four segments and the centre window, one tag."""
     e = C.embeddings(spark, d)
     t = F.floor(F.col("id") / 8).cast("long")
     f = e.select(_split(t), t.alias("track_id"), (F.col("id") % 8).cast("int").alias("frame"), "vec")
     labels = e.filter("label < 2").select(t.alias("track_id"), F.lit("low").alias("tag"))
     center = E.pool(f.filter("frame BETWEEN 3 AND 4"), "mean", ("split", "track_id"))
-    return rounded(E.segment_ablation(f, labels, center), "map", "roc_auc", "parts_mean", "gain")
+    return E.segment_ablation(f, labels, center)
+
+
+@query("E09", sql(f"""{ABLATION_SQL}
+SELECT combo, round(map, 6) AS map, round(roc_auc, 6) AS roc_auc, n_valid, round(parts_mean, 6) AS parts_mean, n_segments, round(gain, 6) AS gain FROM ablation""", "emb"))
+def e09(spark, d):
+    return rounded(ablation(spark, d), "map", "roc_auc", "parts_mean", "gain")
+
+
+@query("E09_summary", sql(f"""{ABLATION_SQL}, m AS (SELECT avg(map) FILTER (n_segments = 1 AND combo <> 'center') AS a1, avg(map) FILTER (n_segments = 2) AS a2, max(map) FILTER (combo = 'all4') AS a4,
+  max(map) FILTER (combo = 's1+s2') AS x, max(map) FILTER (combo = 's0+s2') AS y, max(map) FILTER (combo = 's0+s3') AS z FROM ablation)
+SELECT round(a2 - a1, 6) AS gain_1_to_2, round(a4 - a2, 6) AS gain_2_to_4, x < y AND y < z AS span_monotone FROM m""", "emb"))
+def e09_summary(spark, d):
+    """What more segments and a wider span add."""
+    return rounded(E.ablation_summary(ablation(spark, d)), "gain_1_to_2", "gain_2_to_4")

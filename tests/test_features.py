@@ -57,6 +57,40 @@ def test_probe_finds_the_informative_layer(spark):
     assert "best" in r[1]["mark"] and "last" in r[1]["mark"] and "worst" in r[0]["mark"] and r[0]["map"] < 1
 
 
+def test_probes_reach_the_optimum_in_few_passes(spark, monkeypatch):
+    """Two feature sets of different width, several tags: the gradient of every problem vanishes, whatever their number."""
+    import numpy as np
+
+    from cadenza.operators import probes as P
+
+    rng = np.random.default_rng(2)
+    feats, labels = [], []
+    for t in range(120):
+        split = "validation" if t % 4 == 3 else "train"
+        feats += [("narrow", split, t, [float(x) for x in rng.normal(size=3)]), ("wide", split, t, [float(x) for x in rng.normal(size=20)] + [1.0])]
+        labels += [(t, f"tag{k}") for k in range(12) if (t * (k + 3)) % 7 < 3] + [(t, "all")]
+    f = spark.createDataFrame(feats, "name string, split string, track_id long, vec array<double>").repartition(3)
+    lab = spark.createDataFrame(labels, "track_id long, tag string")
+    calls = []
+    plain = P._added_up
+    monkeypatch.setattr(P, "_added_up", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(P, "FAN", 1)                                            # also adds up in groups
+    _, sets, solved = P.fit_probes(f, "name", lab)
+    assert len(solved) == 20 and len(calls) < 60 and {s.name for s in sets} == {"narrow", "wide"}
+    positive = set(labels)
+    for p in solved:
+        rows = [(r[2], r[3]) for r in feats if r[0] == p.name and r[1] == "train"]
+        x = np.array([v for _, v in rows])
+        std = x.std(axis=0)
+        x = np.hstack([(x - x.mean(axis=0)) / np.where(std > 0, std, 1), np.ones((len(x), 1))])
+        y = np.array([float((t, p.tag) in positive) for t, _ in rows])
+        g = x.T @ (1 / (1 + np.exp(-x @ p.weights)) - y) / len(x)
+        g[:-1] += p.weights[:-1] / len(x)
+        assert np.abs(g).max() < 1e-6 and p.n == len(x) and p.n_pos == y.sum()
+    scores = P.probe_scores(f, "name", lab)
+    assert scores.count() == 20 * 30 and scores.filter("score <= 0 OR score >= 1").count() == 0
+
+
 def test_windows_and_starts(spark):
     n = spark.createDataFrame([(10,), (100,), (45,)], "n long")
     got = [tuple(r) for r in n.select(*S.pick_window(F.col("n"), 30, 60)).collect()]

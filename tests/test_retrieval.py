@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.core.blocks import blocked_topk
+from cadenza.core.blocks import blocked_topk, nearest_of_table, streamed_topk
 from cadenza.operators import retrieval as R
 
 
@@ -42,6 +42,40 @@ def test_exact_search_blocks_and_ties(spark):
     assert as_lists(R.exact_topk(scaled, c, 5)) == want
 
 
+@pytest.mark.parametrize("block,group_bytes", [(2048, 1 << 26), (7, 1 << 26), (7, 500)])
+def test_streamed_search_in_groups_of_query_blocks(spark, block, group_bytes):
+    rows, c = corpus(spark, 90)
+    rows = rows + [(300 + i, rows[4][1], [], 0) for i in range(40)]             # a third of all rows are one vector
+    c = spark.createDataFrame(rows, c.schema).repartition(5)
+    got = streamed_topk(c.select(F.col("id").alias("q"), "vec"), c, 6, block=block, group_bytes=group_bytes)
+    assert as_lists(got) == brute(rows, 6)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_small_table_is_scored_without_a_shuffle(spark, monkeypatch):
+    from cadenza.core import blocks
+
+    rows, c = corpus(spark, 60)
+    table = spark.createDataFrame([r[:2] for r in rows[:9]], "id long, vec array<double>")
+    q = c.select(F.col("id").alias("q"), "vec")
+    one = nearest_of_table(q, table, 3)
+    assert "hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
+    want = as_lists(streamed_topk(q, table, 3, exclude_self=False))
+    assert as_lists(one) == want and len(want) == 60
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 10)
+    assert as_lists(nearest_of_table(q, table, 3)) == want
+
+
+def test_probes_are_chosen_for_a_recall(spark):
+    _, c = corpus(spark, 200)
+    lists, cent = R.ivf_build(c, 16)
+    assert R.misplaced(lists, cent).count() == 0
+    assert R.misplaced(lists.withColumn("list_id", (F.col("list_id") + 1) % cent.count()), cent).count() > 100
+    exact, n = R.exact_topk(c, c, 10), R.probes_for_recall(c, lists, cent, 10, 0.9)
+    recall = lambda p: R.index_recall(R.ivf_search(c, lists, R.ivf_probes(c, cent, p), 10), exact, 10).first()["index_recall"]
+    assert 1 < n <= 16 and recall(n) >= 0.9 > recall(n // 2)
+
+
 def test_zero_vector_is_safe(spark):
     z = spark.createDataFrame([(1, [0.0, 0.0])], "id long, vec array<double>")
     assert R.l2_normalise(z).first()["vec"] == [0.0, 0.0]
