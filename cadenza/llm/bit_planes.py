@@ -88,8 +88,8 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = rows.filter((F.size(v) == DIMENSIONS) & F.forall(v, finite))
     scaled = lambda x: F.floor(x.cast("double") * scale)
-    too_large = F.exists(v, lambda x: F.coalesce(finite(x) & (F.abs(x.cast("double") * scale) > LARGEST), F.lit(False)))
-    rows = require(rows, ~too_large, "a component is too large for exact distances")
+    too_large = F.exists(v, lambda x: finite(x) & (F.abs(x.cast("double") * scale) > LARGEST))
+    rows = require(rows, ~F.coalesce(too_large, F.lit(False)), "a component is too large for exact distances")
     return rows.select("vec_id", F.transform(v, scaled).alias("v"))
 
 

@@ -6,11 +6,16 @@ disguises). Each keeps, for every character it writes, the source range that it
 the rewritten text; a hit that covers something rewritten is mapped back and added unless it overlaps a plain hit of its
 kind. Texts without a trigger skip the second pass, and triggers are found by Arrow's regex engine on whole batches.
 
-A null text is empty. Every pattern works in time linear in the text, however long its runs are.
+Without brackets a mail address counts as disguised only where both the at and the dots are spelled and its ending is a
+known one or two letters that are no short word; ``at`` before a real dot is left alone, as prose says "look at example.com".
+
+A null text is empty; an empty table gives an empty result. Repeated rows are judged one by one, null ids are kept, and other
+columns are not looked at. Every pattern works in time linear in the text, however long its runs are.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import sys
@@ -39,8 +44,11 @@ SPELLED = {w: str(d) for words in (
     "null eins zwei drei vier fünf sechs sieben acht neun",
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve") for d, w in enumerate(words.split())}
-# Without brackets, "at ... dot ..." is a disguise only before one of these endings.
-ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|co|uk|de|fr|es|eu|us|ca|au|ch|nl|it|ru|jp|cn|br|mx"
+# Without brackets, "at ... dot ..." is a disguise before one of these endings,
+ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|co|uk|de|fr|es|eu|us|ca|au|ch|nl|it|ru|jp|cn|br|mx|dev|app|xyz|online|site|tech|cloud|shop|blog"
+# and before any other two letters that are no short word of the corpus' languages.
+SHORT_WORDS = "a[lmnst]|b[ey]|d[aou]|e[nrstu]|g[o]|h[aei]|i[fhlmns]|j[ae]|l[aeo]|m[aeiy]|n[eio]|o[fhnrux]|s[aiou]|t[aeou]|u[mnp]|w[eo]|y[ao]|z[u]"
+ANY_ENDING = rf"(?:{ENDINGS}|(?!(?:{SHORT_WORDS})(?![A-Za-z]))[a-z]{{2}})"
 AT_WORDS, DOT_WORDS = "at|arobase|arroba", "dot|punkt|point|punto"
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -154,7 +162,7 @@ _ENTITY = re.compile(r"&#0*64;|&#x0*40;|&commat;|&#0*46;|&#x0*2e;|&period;", re.
 _BRACKET = re.compile(r"\s?\s?[\[({<]\s?(?:(" + AT_WORDS + r")|" + DOT_WORDS + r"|@|\.)\s?[\])}>]\s?\s?", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,3}@\s{0,3}(?=[A-Za-z0-9])")
 _BARE_AT_DOT = re.compile(r"(?<=[A-Za-z0-9])[\s_]{1,3}(?:" + AT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}[A-Za-z0-9-]{1,63}){0,3}"
-                          r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}(?:" + ENDINGS + r")(?![A-Za-z0-9]))", re.I)
+                          r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}" + ANY_ENDING + r"(?![A-Za-z0-9]))", re.I)
 _BARE_DOT = re.compile(r"[\s_]{1,3}(?:" + DOT_WORDS + r")[\s_]{1,3}(?=[A-Za-z0-9])|\s{1,2}\.\s{0,2}(?=[A-Za-z0-9])|\.\s{1,2}(?=(?:" + ENDINGS + r")\b)", re.I)
 _LABELS_LEFT = re.compile(r"[A-Za-z0-9_%+-]{1,64}\Z")
 _LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
@@ -239,11 +247,15 @@ def disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, l
         return {}
     found: dict[str, list[tuple[int, int]]] = {}
     for kind, finder in FINDERS.items():
+        taken, done = plain[kind], 0            # plain hits in order; later hits of the tape lie further right in the source
         for a, b in finder(tape.text):
             if any(tape.new[a:b]):
                 start, end = tape.lo[a], max(tape.hi[a:b])
-                if all(end <= s or e <= start for s, e in plain[kind] + found.get(kind, [])):
+                i = bisect.bisect_left(taken, (start, start))
+                apart = (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0])
+                if apart and start >= done:
                     found.setdefault(kind, []).append((start, end))
+                    done = end
     return found
 
 

@@ -42,6 +42,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
+RUN = 512           # matches folded at a time
 PAIRS = "blob string, rule string, version int"
 FINDINGS = PAIRS + ", span_start long, span_end long"
 
@@ -53,13 +54,21 @@ def spans(text: Column, rule: Rule) -> Column:
     rows = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
     empty = F.expr("cast(array() as array<struct<span_start: bigint, span_end: bigint>>)")
 
+    # Long lists are folded in runs, each from the place that the lengths before it give, so no array grows hit by hit.
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
         hit = F.array(F.struct(start.cast("long").alias("span_start"), end.cast("long").alias("span_end")))
         return F.struct(end.cast("long").alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def fold(some, at):
+        return F.aggregate(some, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int")), lambda k: F.slice(rows, k * RUN + 1, F.lit(RUN)))
+    length = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, x: n + F.length(x["gap"]) + F.length(x["whole"]))
+    starts = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, some: F.concat(acc, F.array(F.element_at(acc, -1) + length(some))))
+    many = F.flatten(F.zip_with(runs, F.slice(starts, 1, F.size(starts) - 1), fold))
+    found = F.when(F.size(whole) <= RUN, fold(rows, F.lit(0).cast("long"))).otherwise(many)
     return F.when(F.rlike(text, F.lit(rule.hint or rule.pattern)), found).otherwise(empty)
 
 

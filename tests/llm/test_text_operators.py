@@ -21,6 +21,10 @@ def test_pii_base(sample, documents, odd):
 @pytest.mark.parametrize("text,hit", [
     ("write to jane.doe [at] mail (dot) example [dot] org now", "email:jane.doe [at] mail (dot) example [dot] org"),
     ("write to jane dot doe at example dot org now", "email:jane dot doe at example dot org"),
+    ("ask jane at firma dot pl please", "email:jane at firma dot pl"),
+    ("ask jane_at_shop_dot_firma_dot_se please", "email:jane_at_shop_dot_firma_dot_se"),
+    ("ask jane arobase firma point dev or", "email:jane arobase firma point dev"),
+    ("ask jane at firma dot up or dot in between", "none"),
     ("mail jane@example​.org ok", "email:jane@example​.org"),
     ("mail jаne@exаmple.org ok", "email:jаne@exаmple.org"),
     ("jane @ example.org", "email:jane @ example.org"),
@@ -28,16 +32,47 @@ def test_pii_base(sample, documents, odd):
     ("call +1 five five five one two three four five six seven today", "phone:+1 five five five one two three four five six seven"),
     ("call +１ ５５５ 123 4567 today", "phone:+１ ５５５ 123 4567"),
     ("card four one one one one one one one one one one one one one one one end", "card:four one one one one one one one one one one one one one one one"),
-    ("host 192 dot 168 dot one dot seven up one two", None),
+    ("host 192 dot 168 dot one dot seven up one two", None),                   # one dash too few: too short a run of spelled digits
     ("host one nine two dot one six eight dot one dot seven up", "ip:one nine two dot one six eight dot one dot seven"),
 ])
 def test_pii_disguises(documents, text, hit):
     r = pii.find_pii(documents([(1, text)])).first()
     found = [f"{k}:{text[int(a):int(b)]}" for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
-    assert (hit in found) if hit else True
+    assert found == [] if hit == "none" else hit in found if hit else not any(f.startswith("ip:") for f in found)
     assert r["base_spans"] == brute.listed(brute.pii_base(text))
 
 
+def test_pii_added_spans_by_plain_rules(documents):
+    """Disguises planted into prose, and many of them in one text: every one is found at its place and nothing else."""
+    import random
+    import time
+
+    r = random.Random(6)
+    hide = [lambda u, h, e: f"{u} [at] {h} [dot] {e}", lambda u, h, e: f"{u} (at) {h}.{e}", lambda u, h, e: f"{u} at {h} dot {e}", lambda u, h, e: f"{u}&#64;{h}.{e}", lambda u, h, e: f"{u}\u200b@{h}.{e}"]
+    filler = "the birds sang over the quiet river while nobody was looking and".split()
+
+    def planted(n):
+        out, spans = "", []
+        for _ in range(n):
+            out += " ".join(r.choice(filler) for _ in range(6)) + "; "
+            mail = r.choice(hide)(f"user{r.randrange(99)}", f"host{r.randrange(99)}", r.choice(["org", "pl", "se", "dev"]))
+            spans.append((len(out), len(out) + len(mail)))
+            out += mail + "; "
+        return out, spans
+
+    texts = [planted(n) for n in (0, 1, 3, 10, 40)]
+    got = {x["doc_id"]: (x["n_added"], x["spans"]) for x in pii.find_pii(documents(list(enumerate(t for t, _ in texts)))).collect()}
+    assert got == {i: (len(s), brute.listed({"email": s})) for i, (_, s) in enumerate(texts)}
+    cost = []
+    for n in (1500, 6000):
+        text, spans = planted(n)
+        start = time.perf_counter()
+        assert len(pii.disguised(text, {k: [] for k in pii.KINDS})["email"]) == n
+        cost.append(time.perf_counter() - start)
+    assert cost[1] < 10 * cost[0]                      # four times the hits; sixteen would be quadratic
+    assert pii.find_pii(documents([(1, "a@b.co")]).limit(0)).count() == 0
+
+
 def test_pii_leaves_prose_alone(documents):
     texts = ["Look at the dot on the map at noon.", "one two three go", "Meet at example. Dot com is a boom.", "a point at point zero", "null eins zwei",
              "It is at 5. Then at 6. un deux trois quatre cinq", "Тест на кириллице", "ΑΒΓ δε"]
@@ -58,7 +93,7 @@ def test_line_rules(documents):
     rows = [(1, prose), (2, f"{menu}\n{prose}"), (3, f"{menu}\n{menu} | More | Again\n{menu}| x\nShort text ends here."), (4, f"{prose}\nAll rights reserved."),
             (5, " ".join(f"word{i}$$$" for i in range(40))), (6, " ".join(f"SHOUT{'ABCDEFG'[i % 7]}{'HIJKLMN'[i // 7]}!!" for i in range(40))), (7, None)]
     out = {r["doc_id"]: r for r in line_rules.line_quality(documents(rows)).collect()}
-    assert [d for d in out if out[d]["kept"]] == sorted(d for d in out if out[d]["kept"]) or True
+    assert line_rules.line_quality(documents(rows + rows)).filter("kept").count() == 6             # repeated rows are judged alike
     assert {d: out[d]["kept"] for d in out} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False}
     assert out[2]["clean_text"] == prose and out[4]["clean_text"] == prose + "\n" and out[1]["clean_text"] == prose
     kept = line_rules.keep_clean(documents(rows)).collect()
@@ -180,6 +215,8 @@ def test_chunks_restore_the_text_and_collisions_fail(spark, documents):
 def test_secrets(spark, sample, documents, tmp_path, odd):
     tricky = ["password=secret:12345678 token = 'abcdefgh'", "api_key: short API-KEY=longenough1 apikey=\"A/b+c_d.e=f-g\"", "AKIAAKIA12345678 AKIA123", "deadbeef" * 4 + "G" + "0" * 31,
               "é" * 50 + "SeCrEt=ééé token=12345678é", "token=token=abcdefgh"]
+    many = "é ".join(f"x token={i:09d} é y" for i in range(secrets.RUN * 2 + 7))                        # several runs of matches
+    tricky += [many, "token=" + "a" * 9 + " ", " ".join(["token=12345678"] * secrets.RUN)]
     rows = odd_texts() + list(enumerate(tricky, 60)) if odd else sample
     got = secrets.scan_versions(documents(rows), str(tmp_path / "ledger")).collect()
     want = [(d, [(a, k, n, b) for a, k, n, b in brute.secrets(t)]) for d, t in rows]
