@@ -12,9 +12,10 @@ from cadenza.core.blocks import blocked_topk, nearest_of_table
 from cadenza.core.common import md5_int, never_broadcast
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
+from cadenza.operators.tagbits import shared_histograms
 
 NAN = float("nan")
-# Tag sets up to this size are counted through their subsets, larger ones through their tags.
+# Tag sets up to this size are counted through their subsets, larger ones by popcounts of blocks.
 SUBSET_TAGS = 12
 KS = (1, 5, 10, 50)
 RECALL_SAMPLE = 2000        # queries on which the number of probes is chosen
@@ -51,7 +52,8 @@ def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool =
     This is the query-by-corpus shared-tag matrix summed per row. It is computed from
     distinct tag sets: N(S), the number of items whose tags contain S, is counted once per
     subset, and inclusion-exclusion over the query's subsets gives the exact counts. Popular
-    tags therefore never produce item pairs.
+    tags therefore never produce item pairs, and the work is linear in the sets. Sets of more than
+    SUBSET_TAGS tags have too many subsets; they meet the others as bit-packed blocks.
     """
     qs = _tag_sets(queries, "q")
     q_sets = qs.select("s").distinct()
@@ -65,11 +67,9 @@ def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool =
     parts = [small]
     big_c, big_q = c_sets.filter(F.size("s") > SUBSET_TAGS), q_sets.filter(F.size("s") > SUBSET_TAGS)
     for left, right in ((q_sets.filter(F.size("s") <= SUBSET_TAGS), big_c), (big_q, c_sets)):
-        if left.limit(1).count() and right.limit(1).count():
-            l_tags = left.select("s", F.explode("s").alias("tag"))
-            r_tags = right.select(F.col("s").alias("cs"), "w", F.explode("s").alias("tag"))
-            shared = l_tags.join(r_tags, "tag").groupBy("s", "cs").agg(F.count("*").cast("int").alias("shared"), F.first("w").alias("w"))
-            parts.append(shared.groupBy("s", "shared").agg(F.sum("w").alias("n_items")))
+        if not left.isEmpty() and not right.isEmpty():
+            numbered = materialise(left.withColumn("sid", F.monotonically_increasing_id()), "numbered-sets")
+            parts.append(shared_histograms(numbered, right).join(numbered, "sid").select("s", "shared", "n_items"))
     hist = parts[0]
     for p in parts[1:]:
         hist = hist.unionByName(p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import scratch_path
+from cadenza.functions.music import PITCHES
 from cadenza.operators import labels as L
 from cadenza.plans.registry import view
 
@@ -264,9 +265,6 @@ def downbeats(spark, d) -> DataFrame:
         "track_id", "pos", (F.lit(240.0) / F.col("bpm") * F.col("pos") + (F.col("pos") % 3) / 100.0).alias("t"))
 
 
-# The twelve pitch names in semitone order.
-PITCHES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
-
 view("ev", """SELECT user_id AS track_id, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE AS t,
   value AS strength, event_type AS label FROM events""")
 view("beats", """SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t, event_id) - 1 AS pos, t, strength, label, event_id

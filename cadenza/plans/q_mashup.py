@@ -138,14 +138,16 @@ view("acc", """SELECT track_id, i, sum(ref) AS v FROM samples s JOIN (SELECT tra
   WHERE stem <> 'R' AND i < n GROUP BY ALL""", "samples")
 
 
-@query("M11", sql("""m AS (SELECT b.track_id, b.i, b.ref / 200 + coalesce(d.ref, 0) / 400 * pow(10.0::DOUBLE, -3.0 / 20) AS v FROM samples b LEFT JOIN samples d ON d.track_id = b.track_id AND d.i = b.i AND d.stem = 'R' WHERE b.stem = 'A'),
-p AS (SELECT track_id, max(abs(v)) AS peak FROM m GROUP BY 1)
-SELECT track_id, i, round(CASE WHEN peak > 1 THEN v / peak ELSE v END, 6) AS v FROM m JOIN p USING (track_id)""", "samples"))
+@query("M11", sql("""m AS (SELECT b.stem, b.track_id, b.i, b.ref / 200 + coalesce(d.ref, 0) / 400 * pow(10.0::DOUBLE, -3.0 / 20) AS v FROM samples b
+  LEFT JOIN samples d ON d.track_id = b.track_id AND d.i = b.i AND d.stem = 'R' WHERE b.stem <> 'R'),
+p AS (SELECT stem, track_id, max(abs(v)) AS peak FROM m GROUP BY ALL)
+SELECT stem, track_id, i, round(CASE WHEN peak > 1 THEN v / peak ELSE v END, 6) AS v FROM m JOIN p USING (stem, track_id)""", "samples"))
 def m11(spark, d):
+    """The returned lines as donor of both other stems."""
     s = mono(spark, d)
-    base = s.filter("stem = 'A'").select("track_id", "i", (F.col("v") / 200).alias("v"))
     donor = s.filter("stem = 'R'").select("track_id", "i", (F.col("v") / 400).alias("v"))
-    return rounded(M.mix(base, donor, -3.0), "v")
+    one = lambda x: M.mix(s.filter(F.col("stem") == x).select("track_id", "i", (F.col("v") / 200).alias("v")), donor, -3.0).withColumn("stem", F.lit(x))
+    return rounded(one("A").unionByName(one("N")).select("stem", "track_id", "i", "v"), "v")
 
 
 @query("M12", sql("SELECT track_id, i, round(v, 6) AS v FROM acc", "acc"))

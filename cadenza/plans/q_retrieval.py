@@ -57,6 +57,18 @@ def r02(spark, d):
     return R.gain_histogram(e, e)
 
 
+@query("R02_orders", sql("""v AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS i FROM (SELECT DISTINCT tag FROM labels_l)),
+m AS MATERIALIZED (SELECT track_id, (sum(CASE WHEN i < 60 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS x, (sum(CASE WHEN i BETWEEN 60 AND 119 THEN 1::BIGINT << (i - 60) ELSE 0 END))::BIGINT AS y,
+  (sum(CASE WHEN i BETWEEN 120 AND 179 THEN 1::BIGINT << (i - 120) ELSE 0 END))::BIGINT AS z, list(tag) FILTER (i >= 180) AS more FROM labels_l JOIN v USING (tag) GROUP BY track_id),
+s AS (SELECT a.track_id AS q, (bit_count(a.x & b.x) + bit_count(a.y & b.y) + bit_count(a.z & b.z) + coalesce(len(list_intersect(a.more, b.more)), 0))::INTEGER AS shared
+  FROM m a JOIN m b ON a.track_id <> b.track_id)
+SELECT q, shared, count(*) AS n_items FROM s WHERE shared > 0 GROUP BY ALL""", "labels_l"))
+def r02_orders(spark, d):
+    """The tag sets of all orders, some of them larger than a list of subsets can be."""
+    t = C.tracks(spark, d).select(F.col("track_id").alias("id"), "tags")
+    return R.gain_histogram(t, t)
+
+
 @query("R03", sql("SELECT q, item, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10", "ranked"))
 def r03(spark, d):
     e = corpus(spark, d)

@@ -81,13 +81,16 @@ def d07(spark, d):
     return S.missing_stems(li.select(*key), li.filter("l_tax > 0.07 AND l_quantity > 45").select(*key))
 
 
+def run_times(spark, d):
+    return C.table(spark, d, "events").select(F.col("value").alias("seconds"), F.when(F.col("event_id") % 10 == 0, 0).otherwise(10 + F.col("event_id") % 90).alias("audio_seconds"))
+
+
 @query("D08", """WITH r AS (SELECT value / (10 + event_id % 90) AS rtf, row_number() OVER (ORDER BY value / (10 + event_id % 90)) - 1 AS i
   FROM events WHERE event_id % 10 <> 0)
 SELECT round(rtf, 6) AS rtf_median, (SELECT sum(CASE WHEN event_id % 10 = 0 THEN 0 ELSE 10 + event_id % 90 END)::DOUBLE FROM events) AS total_audio, round(1 / rtf, 6) AS speedup
   FROM r WHERE i = (SELECT count(*) // 2 FROM r)""")
 def d08(spark, d):
-    e = C.table(spark, d, "events").select(F.col("value").alias("seconds"), F.when(F.col("event_id") % 10 == 0, 0).otherwise(10 + F.col("event_id") % 90).alias("audio_seconds"))
-    return rounded(S.rtf_summary(e), "rtf_median", "speedup")
+    return rounded(S.rtf_summary(run_times(spark, d)), "rtf_median", "speedup")
 
 
 def timings(spark, d):

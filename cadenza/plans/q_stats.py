@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import separation as S
 from cadenza.operators import stats as X
 from cadenza.operators import tagging as T
 from cadenza.plans import canonical as C
 from cadenza.plans.q_projections import md5_sql
-from cadenza.plans.q_separation import TYPES
+from cadenza.plans.q_separation import TYPES, run_times
 from cadenza.plans.q_tagging import REPORT_COLS, rounded, test_scores, thresholds
 from cadenza.plans.registry import query, sql, view
 
@@ -65,15 +66,16 @@ def x03(spark, d):
     return rounded(X.compare_models(metric(spark, d, "base"), metric(spark, d, "variant"), BOOT), *CI)
 
 
-@query("X04", sql(f"""m AS (SELECT stem, median(b) AS v FROM pairs_m GROUP BY stem)
+@query("X04", sql(f"""r AS (SELECT value / (10 + event_id % 90) AS rtf, row_number() OVER (ORDER BY value / (10 + event_id % 90)) - 1 AS i FROM events WHERE event_id % 10 <> 0),
+m AS (SELECT stem, median(b) AS v FROM pairs_m GROUP BY stem)
 SELECT 'variant' AS model, {", ".join(f"round((SELECT v FROM m WHERE stem = '{s}'), 6) AS {s}" for s in TYPES)}, round((SELECT avg(v) FROM m), 6) AS mean,
-  0.084 AS rtf, round((SELECT mean_diff FROM compared WHERE stem = 'mean'), 6) AS delta_mean, (SELECT significant FROM compared WHERE stem = 'mean') AS significant,
+  (SELECT round(rtf, 6) FROM r WHERE i = (SELECT count(*) // 2 FROM r)) AS rtf, round((SELECT mean_diff FROM compared WHERE stem = 'mean'), 6) AS delta_mean, (SELECT significant FROM compared WHERE stem = 'mean') AS significant,
   coalesce((SELECT string_agg(stem, ',' ORDER BY stem) FROM compared WHERE stem <> 'mean' AND significant AND mean_diff > 0), '') AS better,
   coalesce((SELECT string_agg(stem, ',' ORDER BY stem) FROM compared WHERE stem <> 'mean' AND significant AND mean_diff < 0), '') AS worse""", "compared", "pairs_m"))
 def x04(spark, d):
     variants = C.track_metric(spark, d).filter("model = 'variant'")
-    rtf = spark.createDataFrame([("variant", 0.084)], "model string, rtf double")
-    return rounded(X.ablation_table(metric(spark, d, "base"), variants, rtf, TYPES, BOOT), *TYPES, "mean", "delta_mean")
+    rtf = S.rtf_summary(run_times(spark, d)).select(F.lit("variant").alias("model"), F.col("rtf_median").alias("rtf"))
+    return rounded(X.ablation_table(metric(spark, d, "base"), variants, rtf, TYPES, BOOT), *TYPES, "mean", "rtf", "delta_mean")
 
 
 MAP_BOOT = 1000
