@@ -57,6 +57,28 @@ def quality_base(text):
             "n_repeat_words": len(inside), "base_failed": len(w) < 20 or 100 * len(inside) > 30 * len(w)}
 
 
+PHRASES = ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum",
+           "click here", "sign up for our newsletter", "subscribe to our newsletter", "licensed under the", "is licensed under", "released under the"]
+
+
+def line_fails(line):
+    """Verdict of the line rules on a line that holds a word."""
+    w = words(line)
+    symbols, bars = sum(c in "#*$%&|<>" for c in line), line.count("|") + line.count(">")
+    upper, lower = sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+    closes = w[-1][-1] in ".!?;:\"')]}>\u2026\u201d\u2019\u00bb\u3002\uff01\uff1f\u061f\u0964"
+    return (symbols > 0.5 * len(w) or upper > lower and 2 * line.count("!") >= len(w) > 1 or not closes and len(w) < 4
+            or bars >= 3 and 4 * bars >= len(w) or len(w) <= 40 and any(p in lower_ascii(line) for p in PHRASES))
+
+
+def line_verdict(text):
+    """(kept, lines, failing lines) of a text."""
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    lost = [x for x in lines if line_fails(x)]
+    kept = not quality_base(text)["base_failed"] and sum(map(len, lost)) <= 0.5 * sum(map(len, lines))
+    return kept, len(lines), len(lost)
+
+
 def shingles(text):
     w = words(lower_ascii(text or ""))
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i:i + 5]) for i in range(len(w) - 4)}

@@ -101,6 +101,21 @@ def test_line_rules(documents):
     assert line_rules.keep_clean(documents(rows).limit(0)).count() == 0
 
 
+def test_line_verdicts_against_plain_rules(sample, documents):
+    import random
+
+    r = random.Random(8)
+    parts = ["Home | About | Shop", "> quoted > twice > thrice", "ALL CAPS NOW!! BUY!", "short", "ends well.", "drei Wörter hier »", "some longer line without any closing mark at all",
+             "Click HERE to enable JavaScript today", "100 % ### *** $$$", "a normal sentence of several plain words that ends here.", "e\u0301t\u00e9 \u6f22\u5b57\u3002", "", "  \t ",
+             "\u201cWhat now?\u201d", " ".join(["word"] * 45) + " all rights reserved", "x|y|z|w words more words and more", "line\x0bwith\x0cfeeds."]
+    made = [(5000 + i, "\n".join(r.choice(parts) for _ in range(r.randrange(1, 14)))) for i in range(300)]
+    rows = sample + odd_texts() + made
+    got = line_rules.line_quality(documents(rows), with_text=False).select("doc_id", "kept", "n_lines", "n_failed_lines").collect()
+    assert same(got, [(d, *brute.line_verdict(t)) for d, t in rows])
+    assert 40 < sum(brute.line_verdict(t)[0] for _, t in made) < 260
+    assert line_rules.line_quality(documents(rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block_rows", [2048, 4])
 def test_jaccard(sample, documents, block_rows):
     words = [f"t{i * 31 % 211}" for i in range(120)]
