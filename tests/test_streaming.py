@@ -21,6 +21,40 @@ def test_warning_never_fails_a_job(spark):
     assert [r["job_id"] for r in J.recent_jobs(J.job_state(events(spark, ROWS)), 2).collect()] == ["c", "b"]
 
 
+def test_state_is_compacted_every_few_batches(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(J, "COMPACT", 2)
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    cols = ["job_id", "status", "stage", "warning", "error", "elapsed"]
+    for k in range(1, len(ROWS) + 1):
+        events(spark, ROWS[k - 1:k]).coalesce(1).write.mode("append").parquet(src)
+        J.start_job_state(spark.readStream.schema(EVENT).parquet(src), out, ck).awaitTermination()
+        got = sorted(tuple(r) for r in J.read_job_state(spark, out).select(*cols).collect())
+        assert got == sorted(tuple(r) for r in J.job_state(events(spark, ROWS[:k])).select(*cols).collect())
+    assert [n for n in sorted(os.listdir(out)) if n.startswith("base=")] == ["base=1", "base=3", "base=5"]
+    read = J.read_job_state(spark, out)
+    assert all("batch=" not in f for f in read.inputFiles())                   # the base holds everything
+
+
+def test_uploads_are_indexed_by_digest(spark, tmp_path, monkeypatch):
+    """Over many batches: each content once, and a batch reads only the folders of its own digests."""
+    import os
+
+    monkeypatch.setattr(J, "COMPACT", 3)
+    src, man, ck = (str(tmp_path / x) for x in ("in", "manifest", "ck"))
+    schema = "path string, filename string, bytes long, model string, content binary, ts timestamp"
+    contents = [f"c{i % 5}".encode() for i in range(14)]
+    for i, c in enumerate(contents):
+        d = spark.createDataFrame([(str(i), f"S{i}.mp3", 3, "", c, i)], "path string, filename string, bytes long, model string, content binary, s long")
+        d.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(src)
+        J.start_uploads(spark.readStream.schema(schema).parquet(src), man, ck).awaitTermination()
+    assert sorted(r["path"] for r in J.read_uploads(spark, man).collect()) == ["0", "1", "2", "3", "4"]
+    assert sorted(n for n in os.listdir(man) if n.startswith("seg=")) == ["seg=11", "seg=2", "seg=5", "seg=8"]
+    one = J._deltas(spark, man, 12, ["x" + J.first_copies(J.upload_stream(spark.read.schema(schema).parquet(src))).first()["sha256"][:2]])
+    assert one.count() == 1
+
+
 def test_state_stream_over_two_batches(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     stream = lambda: spark.readStream.schema(EVENT).parquet(src)
