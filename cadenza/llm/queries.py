@@ -95,6 +95,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def secrets_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run over a ledger: every document as it was scanned before, and a newer version of it, of which alone the text is read."""
+    docs, ledger = table(spark, sf_dir, "documents"), scratch_path(spark, "ledger")
+    name = lambda v: F.concat(F.col("doc_id").cast("string"), F.lit(f":{v}")).alias("path")
+    first = docs.select(name(1), "text")
+    secrets.scan_versions(first, ledger, "path")
+    newer = docs.select(name(2), F.concat(F.coalesce("text", F.lit("")), F.lit("\nsecret="), F.md5(F.col("doc_id").cast("string"))).alias("text"))
+    seen = secrets.scan_versions(first.unionByName(newer), ledger, "path")
+    counts = [F.expr(f"cast(size(filter(found, s -> s.rule = '{r.name}')) as long)").alias(f"n_{r.name}") for r in secrets.RULES]
+    return seen.select(F.col("path").alias("doc_id"), *counts)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -118,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_rules, op3_jaccard_join, op4_url_aliases, op5_packing, op6_mixing, op7_token_file,
-                                   op8_repeats, op9_secrets, op10_exact_dedup, op11_bit_planes, op12_prefix_trie, op13_max_score, pipeline)}
+                                   op8_repeats, op9_secrets, op10_exact_dedup, op11_bit_planes, op12_prefix_trie, op13_max_score, secrets_two_versions, pipeline)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -261,7 +273,14 @@ s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list
 SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= {BEST}"""
 
 
+def _two_versions_sql() -> str:
+    both = """versions AS (SELECT doc_id || ':1' AS doc_id, text FROM documents UNION ALL SELECT doc_id || ':2', coalesce(text, '') || chr(10) || 'secret=' || md5(doc_id::VARCHAR) FROM documents)"""
+    body = _secrets_sql().replace("FROM documents", "FROM versions").replace("WITH m AS", f"WITH {both}, m AS", 1)
+    return f"SELECT doc_id, n_assign, n_access, n_hex FROM ({body})"
+
+
 ORACLES: dict[str, str] = {
+    "secrets_two_versions": _two_versions_sql(),
     "op11_bit_planes": _centroids_sql(),
     "op12_prefix_trie": _trie_sql(),
     "op13_max_score": _search_sql(),
