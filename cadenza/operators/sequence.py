@@ -179,6 +179,21 @@ def beat_f_measure(ref: DataFrame, est: DataFrame, tolerance: float = 0.07, trim
     return t.select("track_id", "hits", "n_ref", "n_est", F.coalesce(F.try_divide(2 * F.col("hits"), F.when((F.col("n_ref") > 0) & (F.col("n_est") > 0), F.col("n_ref") + F.col("n_est"))), F.lit(0.0)).alias("f_measure"))
 
 
+def beat_cemgil(ref: DataFrame, est: DataFrame, sigma: float = 0.04, trim: float = 5.0) -> DataFrame:
+    """Gaussian beat accuracy per track: each reference beat scores by its distance to the nearest estimate, relative to the mean count.
+
+    The nearest estimate is the last one before or the first one after, both from one ordered pass; 0 when either side is empty.
+    """
+    v = F.col("_v")
+    side = lambda d, k: d.filter(F.col("t") >= trim).select("track_id", "t", F.lit(k).alias("_k"), (F.col("t") if k == 0 else F.lit(None).cast("double")).alias("_v"))
+    o = Ordered(side(est, 0).unionByName(side(ref, 1)), ["track_id"], ["t", "_k"]).add(_before=("last", v), _after=("first_after", v)).result()
+    d = F.least(F.col("t") - F.col("_before"), F.col("_after") - F.col("t"))
+    near = F.coalesce(F.exp(-d * d / (2 * sigma ** 2)), F.lit(0.0))
+    s = o.groupBy("track_id").agg(F.sum(F.when(F.col("_k") == 1, near)).alias("s"), F.count("*").alias("n"))
+    tracks = ref.select("track_id").unionByName(est.select("track_id")).distinct()
+    return tracks.join(s, "track_id", "left").select("track_id", F.coalesce(2 * F.col("s") / F.col("n"), F.lit(0.0)).alias("cemgil"))
+
+
 # ---------------------------------------------------------------- sections
 
 def merge_sections(beats: DataFrame, durations: DataFrame, min_seconds: float = 4.0, n_sections: int = 4) -> DataFrame:

@@ -195,6 +195,14 @@ def t14(spark, d):
     return rounded(Q.beat_f_measure(*two_beat_sets(spark, d)), "f_measure")
 
 
+@query("T14_cemgil", sql("""near AS (SELECT r.track_id, r.event_id, min(abs(r.t - e.t)) AS d FROM ref_beats r JOIN est_beats e USING (track_id) WHERE r.t >= 5 AND e.t >= 5 GROUP BY ALL),
+n AS (SELECT track_id, count(*) AS n FROM (SELECT track_id FROM ref_beats WHERE t >= 5 UNION ALL SELECT track_id FROM est_beats WHERE t >= 5) GROUP BY 1),
+s AS (SELECT track_id, sum(exp(-d * d / (2 * 0.04 * 0.04)::DOUBLE)) AS s FROM near GROUP BY 1)
+SELECT u.track_id, round(coalesce(2 * s / n, 0), 6) AS cemgil FROM (SELECT DISTINCT track_id FROM beats) u LEFT JOIN s USING (track_id) LEFT JOIN n USING (track_id)""", "ref_beats", "est_beats", "beats"))
+def t14_cemgil(spark, d):
+    return rounded(Q.beat_cemgil(*two_beat_sets(spark, d)), "cemgil")
+
+
 def clustered(spark, d):
     return C.beats(spark, d).select("track_id", "pos", (F.col("t") * 1e-4).alias("t"), (F.floor(F.col("pos") / 3) * 5 % 7 % 4).cast("int").alias("cluster"))
 

@@ -14,6 +14,21 @@ def beats(spark, times, strength=None, track="a"):
     return spark.createDataFrame([(track, i, float(t), float(strength[i]) if strength else 1.0) for i, t in enumerate(times)], BEATS)
 
 
+def test_gaussian_beat_accuracy(spark):
+    from math import exp
+
+    rows = lambda ts: spark.createDataFrame([(k, float(t)) for k, v in ts.items() for t in v], "track_id long, t double")
+    ref, est = {1: [6, 7, 8], 2: [6, 7], 3: [6, 7], 4: [1, 2]}, {1: [6, 7, 8], 2: [6.04, 7.02, 7.5, 9], 4: [6]}
+    for limit in (None, "2"):
+        if limit:
+            spark.conf.set("spark.cadenza.groupRows", limit)
+        try:
+            got = {r["track_id"]: r["cemgil"] for r in Q.beat_cemgil(rows(ref), rows(est)).collect()}
+        finally:
+            spark.conf.unset("spark.cadenza.groupRows")
+        assert got == pytest.approx({1: 1.0, 2: (exp(-.5) + exp(-.125)) / 3, 3: 0.0, 4: 0.0})
+
+
 def test_downbeat_phase(spark):
     r = Q.downbeat_phase(beats(spark, range(8), [1, 5, 1, 1, 1, 5, 1, 1])).first()
     assert r["phase"] == 1 and r["confidence"] == pytest.approx(10 / 4)
