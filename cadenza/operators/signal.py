@@ -196,14 +196,23 @@ def restore(df: DataFrame, stats: DataFrame, by: tuple[str, ...] = ("track_id",)
     return df.join(stats, list(by)).withColumn("v", back).drop("mean", "std")
 
 
-def use_segments(frames: DataFrame, n_segments: int, segments: tuple[int, ...], by: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """Frames of the requested segments, renumbered in the requested order."""
+def use_segments(frames: DataFrame, n_segments: int, segments: tuple[int, ...], by: tuple[str, ...] = ("track_id",), length: int | None = None) -> DataFrame:
+    """Frames of the requested segments, renumbered in the requested order.
+
+    The frame count of a track must divide. With ``length``, tracks have that many frames by contract, and one that ends early
+    lacks frames of its last segments.
+    """
     bad = [s for s in segments if not 0 <= s < n_segments]
     if n_segments <= 1 or bad:
         raise ValueError(f"segment numbers out of range: {bad or n_segments}")
-    size = frames.groupBy(*by).agg((F.max("frame") + 1).alias("_t"))
-    f = frames.join(size, list(by))
-    f = require(f, F.col("_t") % n_segments == 0, F.concat(F.col("_t").cast("string"), F.lit(f" frames do not divide into {n_segments} segments")))
+    if length is not None:
+        if length % n_segments:
+            raise ValueError(f"{length} frames do not divide into {n_segments} segments")
+        f = frames.withColumn("_t", F.lit(length))
+    else:
+        size = frames.groupBy(*by).agg((F.max("frame") + 1).alias("_t"))
+        f = frames.join(size, list(by))
+        f = require(f, F.col("_t") % n_segments == 0, F.concat(F.col("_t").cast("string"), F.lit(f" frames do not divide into {n_segments} segments")))
     per = F.expr(f"_t div {n_segments}")
     where = F.array_position(F.lit(list(segments)), F.floor(F.col("frame") / per).cast("int"))
     f = f.withColumn("_w", where).filter("_w > 0")

@@ -169,8 +169,11 @@ def embeddings(spark, d) -> DataFrame:
                             tag("m7---", v % 7)).alias("tags"), "label")
 
 
+TRACK_FRAMES = 10
+
+
 def frames(spark, d) -> DataFrame:
-    """frames(track_id, frame, vec): ten consecutive vectors form a track."""
+    """frames(track_id, frame, vec): ten consecutive vectors form a track; the last one may have fewer."""
     e = table(spark, d, "embeddings")
     return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("track_id"),
                     (F.col("vec_id") % 10).cast("int").alias("frame"),

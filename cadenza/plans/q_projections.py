@@ -58,7 +58,7 @@ def p10(spark, d):
   FROM frames WHERE frame // 2 IN (3, 0, 4)""", "frames"))
 def p11(spark, d):
     f = C.frames(spark, d).select("track_id", "frame", F.col("frame").alias("source_frame"))
-    return G.use_segments(f, 5, (3, 0, 4))
+    return G.use_segments(f, 5, (3, 0, 4), length=C.TRACK_FRAMES)
 
 
 @query("P17_two_tags", sql(f"""s AS (SELECT t AS trial, tag, y, {md5_sql("'0'", "t", "id", "tag")} / 4294967296.0::DOUBLE AS score FROM doc_scores, range(0, 20) g(t)),
