@@ -36,10 +36,17 @@ def pool(frames: DataFrame, mode: str = "mean", by: tuple[str, ...] = ("track_id
     return _summary(frames, by, mode)
 
 
-def stride_pool(frames: DataFrame, stride: int, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """Mean of every ``stride`` frames; an incomplete tail is dropped."""
-    size = frames.groupBy(*by).agg((F.max("frame") + 1).alias("_t"))
-    f = frames.join(size, list(by)).filter(F.col("frame") < F.expr(f"_t div {stride} * {stride}"))
+def stride_pool(frames: DataFrame, stride: int, by: tuple[str, ...] = ("track_id",), length: int | None = None) -> DataFrame:
+    """Mean of every ``stride`` frames; an incomplete tail is dropped.
+
+    With ``length``, tracks have that many frames by contract: their last ``length % stride`` frames are dropped, and a track that
+    ends early keeps the frames it has.
+    """
+    if length is None:
+        size = frames.groupBy(*by).agg((F.max("frame") + 1).alias("_t"))
+        f = frames.join(size, list(by)).filter(F.col("frame") < F.expr(f"_t div {stride} * {stride}"))
+    else:
+        f = frames.filter(F.col("frame") < length // stride * stride)
     return _summary(f.withColumn("frame", F.floor(F.col("frame") / stride).cast("int")), (*by, "frame"), "mean")
 
 
@@ -57,11 +64,23 @@ def masked_mean(frames: DataFrame, mask: str, by: tuple[str, ...] = ("track_id",
     return zero.join(some, list(by), "left").select(*by, F.coalesce("_m", F.expr("array_repeat(0.0D, _d)")).alias("vec"))
 
 
-def segment_means(frames: DataFrame, n_segments: int, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """(…, segment, vec): mean of each equal segment; the frame count must divide."""
+def segment_means(frames: DataFrame, n_segments: int, by: tuple[str, ...] = ("track_id",), length: int | None = None, strict: bool = True) -> DataFrame:
+    """(…, segment, vec): mean of each equal segment; the frame count must divide.
+
+    With ``length``, tracks have that many frames by contract, and one that ends early lacks its last segments or parts of them.
+    If not ``strict``, frames that are left over after ``n_segments`` equal segments are dropped, and so are tracks with fewer frames than segments.
+    """
+    message = f"frames do not divide into {n_segments} segments"
+    if length is not None:
+        if length % n_segments:
+            raise ValueError(message)
+        f = frames.withColumn("segment", F.expr(f"cast(frame div {length // n_segments} as int)"))
+        return _summary(f.filter(F.col("segment") < n_segments), (*by, "segment"), "mean")
     size = frames.groupBy(*by).agg((F.max("frame") + 1).alias("_t"))
-    f = require(frames.join(size, list(by)), F.col("_t") % n_segments == 0, f"frames do not divide into {n_segments} segments")
-    return _summary(f.withColumn("segment", F.expr(f"cast(frame div (_t div {n_segments}) as int)")), (*by, "segment"), "mean")
+    f = frames.join(size, list(by))
+    f = require(f, F.col("_t") % n_segments == 0, message) if strict else f.filter(F.col("_t") >= n_segments)
+    f = f.withColumn("segment", F.expr(f"cast(frame div (_t div {n_segments}) as int)"))
+    return _summary(f.filter(F.col("segment") < n_segments), (*by, "segment"), "mean")
 
 
 def combine_segments(means: DataFrame, combos: dict[str, tuple[int, ...]], by: tuple[str, ...] = ("track_id",)) -> DataFrame:
@@ -107,9 +126,12 @@ def layer_probe(layer_means: DataFrame, labels: DataFrame) -> DataFrame:
         "below_best_pct", (F.lit(e["m"]) - F.col("map")) / F.lit(e["m"]) * 100)
 
 
-def segment_ablation(frames: DataFrame, labels: DataFrame, center: DataFrame | None = None, n_segments: int = 4) -> DataFrame:
-    """Probe every segment combination (and the centre window): map, mean of its single parts and the gain over it."""
-    means = segment_means(frames, n_segments, ("split", "track_id"))
+def segment_ablation(frames: DataFrame, labels: DataFrame, center: DataFrame | None = None, n_segments: int = 4, strict: bool = True) -> DataFrame:
+    """Probe every segment combination (and the centre window): map, mean of its single parts and the gain over it.
+
+    ``strict`` is that of ``segment_means``.
+    """
+    means = segment_means(frames, n_segments, ("split", "track_id"), strict=strict)
     feats = materialise(combine_segments(means, COMBOS, ("split", "track_id")), "combos")
     if center is not None:
         feats = feats.unionByName(center.select(F.lit("center").alias("combo"), "split", "track_id", "vec"))
