@@ -74,18 +74,39 @@ def nearest_lengths(donors: DataFrame, lookups: DataFrame, lists: list[str], k:
     Both sides are merged in one ordered pass that turns a target into a rank; neighbours are
     then fetched by rank with an equi-join. Tempo values shared by many tracks cost nothing
     extra, and no band of pairs is expanded. Equal lengths are taken by ascending donor id.
+
+    Costs are compared after rounding, so lengths that differ by less than that tie as well, and the smaller id may be the one farther
+    away. Therefore the donors whose length ties with the farthest one of a side are added, up to k of every such length.
     """
     donors = materialise(donors.select(*lists, "donor", "len"), "donors")
     d = donors.select(*lists, "donor", "len", F.lit(None).cast(lookups.schema["base"].dataType).alias("base"), F.lit(1).alias("_is"))
     q = lookups.select(*lists, F.lit(None).cast(donors.schema["donor"].dataType).alias("donor"), F.col("target").alias("len"), "base", F.lit(0).alias("_is"))
     o = Ordered(d.unionByName(q), lists, ["len", "_is", "donor", "base"]).add(_rank=("sum", F.col("_is"))).result()
     o = materialise(o, "ranks")
-    up = o.filter("_is = 1").select(*lists, "donor", "_rank")
-    down = Ordered(donors, lists, ["len", F.desc("donor")]).add(_rank=("row", None)).result().select(*lists, "donor", "_rank")
-    at = o.filter("_is = 0").select(*lists, "base", F.col("_rank").alias("_p"))
-    after = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + k)).alias("_rank")).join(never_broadcast(up), [*lists, "_rank"])
-    before = at.select(*lists, "base", F.explode(F.sequence(F.col("_p") - k + 1, F.col("_p"))).alias("_rank")).join(never_broadcast(down), [*lists, "_rank"])
-    return after.select("base", "donor").unionByName(before.select("base", "donor")).distinct()
+    up = o.filter("_is = 1").select(*lists, "donor", "_rank", F.col("len").alias("_len"))
+    down = Ordered(donors, lists, ["len", F.desc("donor")]).add(_rank=("row", None)).result().select(*lists, "donor", "_rank", F.col("len").alias("_len"))
+    at = o.filter("_is = 0").select(*lists, "base", F.col("len").alias("_target"), F.col("_rank").alias("_p"))
+    side = lambda first, last, far, rows: at.select(*lists, "base", "_target", far.alias("_edge"), F.explode(F.sequence(first, last)).alias("_rank")).join(
+        never_broadcast(rows), [*lists, "_rank"])
+    p = F.col("_p")
+    found = materialise(side(p + 1, p + k, p + k, up).unionByName(side(p - k + 1, p, p - k + 1, down)), "neighbours")
+    ties = _rounding_ties(found.filter("_rank = _edge AND _len > 0").select(*lists, "base", "_target", F.col("_len").alias("_far")), donors, lists, k)
+    return found.select("base", "donor").unionByName(ties).distinct()
+
+
+def _rounding_ties(edges: DataFrame, donors: DataFrame, lists: list[str], k: int) -> DataFrame:
+    """(base, donor): the first k donors of every length that may cost the same, after rounding, as the length ``_far`` of (lists..., base, _target, _far).
+
+    Lengths meet in cells of their logarithm, a few units of rounding wide, never as pairs of all.
+    """
+    unit = 10.0 ** -COST_DIGITS
+    cell = lambda c: F.floor(F.log(c) / (4 * unit))
+    near = top_per_group(donors.filter("len > 0"), [*lists, "len"], ["donor"], k).select(*lists, "donor", "len", cell(F.col("len")).alias("_cell"))
+    far, e = F.col("_far"), F.abs("_target") * (2 * unit)
+    low = F.greatest(far - e, far / 2)
+    reach = edges.distinct().withColumn("_cell", F.explode(F.sequence(cell(low), cell(far + e))))
+    met = reach.join(never_broadcast(near), [*lists, "_cell"]).filter(F.abs(F.col("len") - far) <= e)
+    return met.select("base", "donor")
 
 
 def _entries(features: DataFrame) -> Column:

@@ -89,3 +89,18 @@ def test_mix_is_scaled_only_when_it_clips(spark):
     assert soft == pytest.approx([.2, .3, .3])
     loud = [r["v"] for r in M.mix(s(1., .5), s(1., 0.), 0.0).orderBy("i").collect()]
     assert loud == pytest.approx([1, .25])
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_lengths_that_tie_after_rounding(spark, k):
+    """Bar lengths differ by rounding noise only, and the larger id is the closer one."""
+    rows = [(i, 100.0 + i % 2, "C major", 2.0 + i % 2 / 2 - i * 4e-16 * (1 + i % 3)) for i in range(60)]
+    rows += [(100 + i, 100.0, "C major", 3.0 + 8.88e-16 * (i % 5 < 4)) for i in range(12)]
+    f = spark.createDataFrame(rows, FEATURES)
+    all_pairs = spark.createDataFrame([(a[0], b[0]) for a in rows for b in rows if a[0] != b[0]], "base long, donor long")
+    plans = M.plan_mashup(all_pairs, f)
+    key = lambda d: sorted((r["base"], r["rank"], r["donor"]) for r in d.collect())
+    assert key(M.rank_candidates(f, k)) == key(M.top_per_group(plans, ["base"], M.rank_order(), k))
+    by_tempo = [F.round(F.abs(F.col("stretch") - 1), 9), F.col("donor")]
+    got = M.top_per_group(M.plan_mashup(M.tempo_neighbours(f, k), f), ["base"], by_tempo, k)
+    assert key(got) == key(M.top_per_group(plans, ["base"], by_tempo, k))
