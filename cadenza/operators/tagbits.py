@@ -1,4 +1,4 @@
-"""Shared-tag counts of large tag sets: bit-packed sets and popcounts of blocks.
+"""Counts over tag sets by blocks: shared tags by popcounts of bit-packed sets, pairs of tags by matrix products.
 
 A set is packed into 64-bit words, one bit a tag. Blocks of the one side are broadcast in groups of bounded size, and the other
 side streams past them; a task adds, for each set of a block, the weights of the sets that share 1, 2, ... tags with it. Only these
@@ -86,3 +86,41 @@ def shared_histograms(left: DataFrame, right: DataFrame, block: int = BLOCK, gro
         pairs = c.withColumn("part", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).join(F.broadcast(some), "part")
         found.append(pairs.mapInArrow(run, "sid long, shared int, n_items long"))
     return union_all(found).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
+
+
+CELLS = 1 << 20             # of a matrix tracks x tags, and of a strip of the counts tags x tags
+HELD_TAGS = 2048            # up to it a task holds its counts of all pairs; beyond it those of a strip of tracks move on
+
+
+def pair_counts(n_tags: int):
+    """Task function over rows (c) of codes ``4 * tag + 2 * y + p``: (i, j, n_present, support, fires, positive) of the tags i present (y = 1).
+
+    Counts are those of the pairs with any tag j of the same row, with an absent j, with an absent j that fires and with a present j.
+    """
+    strip = max(CELLS // max(n_tags, 1), 1)
+
+    def counted(first, m):
+        i, j = np.nonzero(m[0])
+        return pa.RecordBatch.from_arrays([pa.array(i + first, pa.int32()), pa.array(j, pa.int32()), *(pa.array(x[i, j].astype(np.int64)) for x in m)],
+                                          ["i", "j", "n_present", "support", "fires", "positive"])
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo in range(0, len(b), strip):
+                lists = b.column("c").slice(lo, strip)
+                code = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                at, y, p = row * n_tags + (code >> 2), (code >> 1) & 1, code & 1
+                count = lambda keep: np.bincount(at[keep], minlength=len(lists) * n_tags).reshape(-1, n_tags).astype(np.float64)
+                present, other = count(y == 1), (count(y >= 0), count(y == 0), count((y == 0) & (p == 1)), count(y == 1))
+                for i in range(0, n_tags, strip):
+                    m = np.stack([present[:, i:i + strip].T @ x for x in other])
+                    if n_tags > HELD_TAGS:
+                        yield counted(i, m)
+                    else:
+                        total[i] = total[i] + m if i in total else m
+        for first, m in total.items():
+            yield counted(first, m)
+
+    return run

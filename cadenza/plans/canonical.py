@@ -69,25 +69,35 @@ def label_rows(spark, d) -> DataFrame:
     return per_line.unionByName(prio).select(F.col("l_orderkey").cast("string").alias("track_id"), "tag")
 
 
+def _track_columns() -> list:
+    k, s = F.col("o_orderkey"), F.col("o_custkey") % 10
+    return [k.cast("string").alias("track_id"), F.col("o_custkey").cast("string").alias("artist_id"),
+            (k % 500).cast("string").alias("album_id"),
+            F.concat(F.lpad((k % 100).cast("string"), 2, "0"), F.lit("/"), k.cast("string"), F.lit(".mp3")).alias("path"),
+            (F.lit(60.0) + k % 240).alias("duration"),
+            F.when(s < 6, "train").when(s < 8, "validation").otherwise("test").alias("split"),
+            (k % 100).cast("int").alias("chunk")]
+
+
 def track_rows(spark, d) -> DataFrame:
     """tracks without tags: one row per order that has lines."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, d, "lineitem").select("l_orderkey")
-    k, s = F.col("o_orderkey"), F.col("o_custkey") % 10
-    return o.join(li, k == F.col("l_orderkey"), "left_semi").select(
-        k.cast("string").alias("track_id"), F.col("o_custkey").cast("string").alias("artist_id"),
-        (k % 500).cast("string").alias("album_id"),
-        F.concat(F.lpad((k % 100).cast("string"), 2, "0"), F.lit("/"), k.cast("string"), F.lit(".mp3")).alias("path"),
-        (F.lit(60.0) + k % 240).alias("duration"),
-        F.when(s < 6, "train").when(s < 8, "validation").otherwise("test").alias("split"),
-        (k % 100).cast("int").alias("chunk"))
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(*_track_columns())
 
 
 @stored("tracks")
 def tracks(spark, d) -> DataFrame:
-    # A track's tag list is bounded by the vocabulary because the labels are distinct.
-    tags = label_rows(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
-    return track_rows(spark, d).join(tags, "track_id")
+    """track_rows with their sorted tags, those of label_rows: the lines of an order meet once and already bring their tags."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    # A track's tag list is bounded by the vocabulary because the values are distinct.
+    own = li.join(part, li.l_partkey == part.p_partkey, "left").groupBy("l_orderkey").agg(F.collect_set("p_type").alias("_types"), F.collect_set("p_brand").alias("_brands"))
+    prio = F.array_compact(F.array(F.concat(F.lit("priority---"), "o_orderpriority")))
+    named = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
+    o = table(spark, d, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"))
+    tags = F.sort_array(F.concat(named("type---", "_types"), named("brand---", "_brands"), prio))
+    return o.select(*_track_columns(), tags.alias("tags"))
 
 
 @stored("vocab")
@@ -95,27 +105,20 @@ def vocab(spark, d) -> DataFrame:
     return L.vocab(tracks(spark, d).filter("split = 'train'"), MIN_POSITIVES)
 
 
-def _scores(spark, d, a: int, b: int, w: int) -> DataFrame:
-    dense = L.encode(tracks(spark, d), vocab(spark, d), keep=["split"])
-    t, j = F.col("track_id").cast("long"), F.col("idx").cast("long")
-    s = ((t * a + j * b) % 1000 + F.col("y") * w) / F.lit(1000.0 + w)
-    return dense.select("split", "track_id", "tag", "category", "y", s.alias("score"))
-
-
-@stored("scores_a", "split")
-def scores_a(spark, d) -> DataFrame:
-    return _scores(spark, d, 7919, 104729, 200)
-
-
-@stored("scores_b", "split")
-def scores_b(spark, d) -> DataFrame:
-    return _scores(spark, d, 104729, 7919, 150)
+MODELS = {"a": (7919, 104729, 200), "b": (104729, 7919, 150)}
 
 
 def scores(spark, d, model: str = "a", split: str | None = None) -> DataFrame:
-    """scores(split, track_id, tag, category, y, score): arithmetic score blended with y."""
-    rows = (scores_a if model == "a" else scores_b)(spark, d)
-    return rows.filter(F.col("split") == split) if split else rows
+    """scores(split, track_id, tag, category, y, score): arithmetic score blended with y.
+
+    Tracks times tags are expanded where they are read and never stored.
+    """
+    a, b, w = MODELS[model]
+    t = tracks(spark, d)
+    dense = L.encode(t.filter(F.col("split") == split) if split else t, vocab(spark, d), keep=["split"])
+    t, j = F.col("track_id").cast("long"), F.col("idx").cast("long")
+    s = ((t * a + j * b) % 1000 + F.col("y") * w) / F.lit(1000.0 + w)
+    return dense.select("split", "track_id", "tag", "category", "y", s.alias("score"))
 
 
 def doc_scores(spark, d) -> DataFrame:
