@@ -79,27 +79,37 @@ def _matrix(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.
     return ids, batch.column(prefix + "vals")[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
+def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    return _unit(q) @ _unit(c).T if metric == "cosine" else -_distance(q, c)
+
+
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    return np.round(_unit(q) @ _unit(c).T if metric == "cosine" else -_distance(q, c), DIGITS) + 0.0
+    return np.round(_exact(q, c, metric), DIGITS) + 0.0
 
 
 def streamed_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, block: int = BLOCK,
                   group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(q, item, score, rank): best ``k`` of ``corpus(id, vec)`` per row of ``queries(q, vec)``.
 
-    The queries are packed into blocks. A group of blocks of bounded size is broadcast and every corpus partition streams past it
-    where it lies, keeping the k best of each query of the group, so no vector is copied for an opposite block and only
-    k rows per query and task are merged.
+    Both sides are packed into blocks. Groups of blocks of the smaller side, of bounded size, are broadcast, and every partition of
+    the other side streams past them where it lies, keeping the k best of each query, so no vector is copied for an opposite block.
+    A query meets the whole of a broadcast group in one task: as many queries as rows, or more, leave k rows per query and
+    group, however many tasks there are. Few queries are broadcast themselves and leave k rows per query and task.
     """
     spark = queries.sparkSession
     types = queries.schema["q"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     n_q, n_c = queries.count(), corpus.count()
-    parts = max(-(-n_q // block), 1)
-    q = _packed(queries.repartition(parts), "q", block)
-    q = materialise(q.withColumnsRenamed({c: f"q_{c}" for c in q.columns if c != "part"}), "query-blocks")
-    tasks = max(min(parallelism(spark), -(-n_c // MIN_ROWS)), 1)
-    c = _packed(corpus.select("id", "vec").repartition(tasks), "id", block).drop("part")
-    size = (F.size("q_vals") * 8).cast("long")
+    wide = n_q >= n_c
+    n_sent, n_streamed = (n_c, n_q) if wide else (n_q, n_c)
+    parts = max(-(-n_sent // block), 1)
+    tasks = max(min(parallelism(spark), -(-n_streamed // MIN_ROWS)), 1)
+    named = lambda d: d.withColumnsRenamed({c: f"q_{c}" for c in d.columns if c != "part"})
+    qs, cs = queries.select("q", "vec"), corpus.select("id", "vec")
+    if wide:
+        q, c = materialise(_packed(cs.repartition(parts), "id", block), "corpus-blocks"), named(_packed(qs.repartition(tasks), "q", block)).drop("part")
+    else:
+        q, c = materialise(named(_packed(qs.repartition(parts), "q", block)), "query-blocks"), _packed(cs.repartition(tasks), "id", block).drop("part")
+    size = (F.size("vals" if wide else "q_vals") * 8).cast("long")
     share = max(int(group_bytes * parts // max(q.agg(F.sum(size)).first()[0] or 1, 1)), 1)
 
     def run(batches):
@@ -108,13 +118,20 @@ def streamed_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
             for i in range(len(b)):
                 cid, cv = _matrix(b, i, "")
                 qid, qv = _matrix(b, i, "q_")
-                score = _scores(qv, cv, metric)
+                score = _exact(qv, cv, metric)
                 if exclude_self:
                     score[qid[:, None] == cid[None, :]] = -np.inf
-                row, col = _best(score, cid, k)
                 # The best so far of this block of queries, and those of this block of the corpus.
                 held = state.get((qid[0], len(qid)))
-                r, ids, s = (row, cid[col], score[row, col]) if held is None else (np.concatenate([held[1], row]), np.concatenate([held[2], cid[col]]), np.concatenate([held[3], score[row, col]]))
+                if held is not None and len(held[1]) == k * len(qid):
+                    # Only scores that may reach a query's k-th best are rounded and ranked.
+                    row, col = np.nonzero(score >= (held[3][k - 1::k] - 10.0 ** -DIGITS)[:, None])
+                    value = np.round(score[row, col], DIGITS) + 0.0
+                else:
+                    score = np.round(score, DIGITS) + 0.0
+                    row, col = _best(score, cid, k)
+                    value = score[row, col]
+                r, ids, s = (row, cid[col], value) if held is None else (np.concatenate([held[1], row]), np.concatenate([held[2], cid[col]]), np.concatenate([held[3], value]))
                 order = np.lexsort((ids, -s, r))
                 r, ids, s = r[order], ids[order], s[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k

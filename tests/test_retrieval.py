@@ -187,3 +187,27 @@ print("rows", R.exact_topk(c, c, 2).count())
 def test_search_may_include_the_query(spark):
     c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, vec array<double>")
     assert {r["item"] for r in R.exact_topk(c, c, 1, exclude_self=False).filter("q = item").collect()} == set(range(6))
+
+
+@pytest.mark.parametrize("n_queries", [700, 40])
+def test_search_leaves_k_rows_per_query_whatever_the_tasks(spark, n_queries, monkeypatch):
+    """As many queries as rows: what is merged does not grow with the tasks, and both directions are exact."""
+    import numpy as np
+
+    from cadenza.core import blocks
+
+    rnd = np.random.default_rng(3)
+    v = np.round(rnd.normal(size=(700, 4)), 1)
+    e = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<double>")
+    merged = []
+    monkeypatch.setattr(blocks, "MIN_ROWS", 50)
+    monkeypatch.setattr(blocks, "top_per_group", lambda df, *a: merged.append(df.count()) or top_per_group(df, *a))
+    from cadenza.core.ordered import top_per_group
+    got = blocks.streamed_topk(e.filter(F.col("id") < n_queries).withColumnRenamed("id", "q"), e, 3, block=64)
+    got = sorted((r["q"], r["rank"], r["item"]) for r in got.collect())
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    s = np.round(u @ u.T, 9)
+    want = [(q, k + 1, int(i)) for q in range(n_queries) for k, i in enumerate([i for i in np.lexsort((np.arange(700), -s[q])) if i != q][:3])]
+    assert got == want
+    if n_queries == 700:
+        assert merged == [3 * 700]
