@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.core.blocks import blocked_topk, nearest_of_table
-from cadenza.core.common import md5_int, never_broadcast
+from cadenza.core.common import md5_int, never_broadcast, union_all
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
 from cadenza.operators.tagbits import shared_histograms
 
 NAN = float("nan")
-# Tag sets up to this size are counted through their subsets, larger ones by popcounts of blocks.
-SUBSET_TAGS = 12
+# Tag sets up to this size are counted through their subsets, at most 31 rows a set; larger ones meet the others as blocks of bits.
+SUBSET_TAGS = 5
 KS = (1, 5, 10, 50)
 RECALL_SAMPLE = 2000        # queries on which the number of probes is chosen
 
@@ -53,29 +53,27 @@ def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool =
     distinct tag sets: N(S), the number of items whose tags contain S, is counted once per
     subset, and inclusion-exclusion over the query's subsets gives the exact counts. Popular
     tags therefore never produce item pairs, and the work is linear in the sets. Sets of more than
-    SUBSET_TAGS tags have too many subsets; they meet the others as bit-packed blocks.
+    SUBSET_TAGS tags have too many subsets; they meet the others as blocks of bits, which is quadratic in the
+    distinct sets but moves only their histograms. A set has a number, and only that is joined.
     """
-    qs = _tag_sets(queries, "q")
-    q_sets = qs.select("s").distinct()
+    one = _tag_sets(queries, "q")
+    q_sets = materialise(one.select("s").distinct().withColumn("sid", F.monotonically_increasing_id()), "query-sets")
+    qs = one.join(never_broadcast(q_sets), "s").select("q", "sid", F.size("s").alias("_size"))
     c_sets = materialise(_tag_sets(corpus, "c").groupBy("s").agg(F.count("*").alias("w")), "tagsets")
     holds = _subsets(c_sets).groupBy("sub").agg(F.sum("w").alias("n"))
-    sums = _subsets(q_sets).join(never_broadcast(holds), "sub").groupBy("s", "i").agg(F.sum("n").alias("n"))
+    sums = _subsets(q_sets).join(never_broadcast(holds), "sub").groupBy("sid", "i").agg(F.sum("n").alias("n"))
     choose = F.array(*[F.lit([comb(i, g) * (-1) ** (i - g) for g in range(SUBSET_TAGS + 1)]) for i in range(SUBSET_TAGS + 1)])
-    spread = sums.select("s", "i", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("shared"))
-    small = spread.groupBy("s", "shared").agg(
+    spread = sums.select("sid", "i", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("shared"))
+    small = spread.groupBy("sid", "shared").agg(
         F.sum(F.col("n") * F.element_at(F.element_at(choose, F.col("i") + 1), F.col("shared") + 1)).alias("n_items"))
     parts = [small]
     big_c, big_q = c_sets.filter(F.size("s") > SUBSET_TAGS), q_sets.filter(F.size("s") > SUBSET_TAGS)
     for left, right in ((q_sets.filter(F.size("s") <= SUBSET_TAGS), big_c), (big_q, c_sets)):
         if not left.isEmpty() and not right.isEmpty():
-            numbered = materialise(left.withColumn("sid", F.monotonically_increasing_id()), "numbered-sets")
-            parts.append(shared_histograms(numbered, right).join(numbered, "sid").select("s", "shared", "n_items"))
-    hist = parts[0]
-    for p in parts[1:]:
-        hist = hist.unionByName(p)
-    hist = hist.groupBy("s", "shared").agg(F.sum("n_items").alias("n_items"))
-    own = F.when(F.lit(self_in_corpus) & (F.col("shared") == F.size("s")), 1).otherwise(0)
-    return qs.join(hist, "s").select("q", "shared", (F.col("n_items") - own).cast("long").alias("n_items")).filter("n_items > 0")
+            parts.append(shared_histograms(left, right))
+    hist = union_all(parts).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
+    own = F.when(F.lit(self_in_corpus) & (F.col("shared") == F.col("_size")), 1).otherwise(0)
+    return qs.join(never_broadcast(hist), "sid").select("q", "shared", (F.col("n_items") - own).cast("long").alias("n_items")).filter("n_items > 0")
 
 
 def shared_tags(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Counts over tag sets by blocks: shared tags by popcounts of bit-packed sets, pairs of tags by matrix products.
+"""Counts over tag sets by blocks: shared tags by adding rows of bits, pairs of tags by matrix products.
 
-A set is packed into 64-bit words, one bit a tag. Blocks of the one side are broadcast in groups of bounded size, and the other
-side streams past them; a task adds, for each set of a block, the weights of the sets that share 1, 2, ... tags with it. Only these
-short histograms move on, never a pair.
+A block of sets is one row of bits a tag. Blocks are broadcast in groups of bounded size, and the other side streams past them; for
+each of its sets the rows of its tags are added digit by digit, 64 sets a word, and the digits are counted. Only these short
+histograms move on, never a pair.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,71 +21,155 @@ from cadenza.core.session import materialise, parallelism
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 1024                # sets of a block
+BLOCK = 1 << 19             # sets of a block at most
+BLOCK_BYTES = 16 << 20      # of the bits of a block, a row of bits a tag
 GROUP_BYTES = 64 << 20      # of blocks broadcast at once
+QUERIES = 1 << 17           # sets that meet the blocks in one row
 
 
-def pack_sets(sets: pa.Array, bit: dict[str, int], words: int) -> np.ndarray:
-    """(sets, words) of lists of distinct tags; tags without a bit are left out."""
-    out = np.zeros((len(sets), words), np.uint64)
-    at = np.array([bit.get(t, -1) for t in sets.flatten().to_pylist()], np.int64)
-    row = np.repeat(np.arange(len(sets)), sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    row, at = row[at >= 0], at[at >= 0]
-    np.bitwise_or.at(out, (row, at >> 6), np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
-    return out
-
-
-def shared_histograms(left: DataFrame, right: DataFrame, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _codes(sets: DataFrame, tags: list[str], keep: str) -> DataFrame:
+    """(keep, c): the sets as lists of tag numbers; unknown tags are left out."""
+    def run(batches):
+        known = pa.array(tags, pa.string())
+        for b in batches:
+            s = b.column("s")
+            at = pc.fill_null(pc.index_in(s.flatten(), value_set=known), -1).to_numpy().astype(np.int32)
+            row = np.repeat(np.arange(len(s)), s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            row, at = row[at >= 0], at[at >= 0]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(s)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], [keep, "c"])
+
+    return sets.select(F.col(keep).cast("long").alias(keep), "s").mapInArrow(run, f"{keep} long, c array<int>").filter(F.size("c") > 0)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def tag_planes(bits: list[np.ndarray]) -> list[np.ndarray]:
+    """Binary digits, lowest first, of how many of the bits are set at each place: full adders over whole rows of bits."""
+    planes = []
+    while bits:
+        p, carried, i = bits[0], [], 1
+        while i < len(bits):
+            if i + 1 < len(bits):
+                u = p ^ bits[i]
+                carried.append((p & bits[i]) | (u & bits[i + 1]))
+                p = u ^ bits[i + 1]
+                i += 2
+            else:
+                carried.append(p & bits[i])
+                p = p ^ bits[i]
+                i += 1
+        planes.append(p)
+        bits = carried
+    return planes
+
+
+def _joint(planes: list[np.ndarray], at: int, out: np.ndarray) -> None:
+    """out[at + m]: places where all planes of the mask m are set; sparse planes are followed only where they have bits."""
+    for i, p in enumerate(planes):
+        n = int(np.bitwise_count(p).sum())
+        out[at + (1 << i)] = n
+        if n and i:
+            if n * 8 < len(p):
+                nz = np.flatnonzero(p)
+                some = p[nz]
+                _joint([x[nz] & some for x in planes[:i]], at + (1 << i), out)
+            else:
+                _joint([x & p for x in planes[:i]], at + (1 << i), out)
+
+
+def shared_histograms(left: DataFrame, right: DataFrame, block: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(sid, shared, n_items): how much weight of ``right(s, w)`` shares exactly ``shared`` >= 1 tags with each ``left(sid, s)``."""
     spark = left.sparkSession
     tags = sorted(r["tag"] for r in left.select(F.explode("s").alias("tag")).distinct().limit(DIMENSION_ROWS + 1).collect())
     if len(tags) > DIMENSION_ROWS:
         raise ValueError(f"more than {DIMENSION_ROWS} tags")
-    bit, words = {t: i for i, t in enumerate(tags)}, max(-(-len(tags) // 64), 1)
-
-    def packed(extra: str):
-        def run(batches):
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            for b in batches:
-                for lo in range(0, len(b), block):
-                    cut = b.slice(lo, block)
-                    blobs = pack_sets(cut.column("s"), bit, words), cut.column(extra).to_numpy().astype("<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["part", "bits", extra])
-        return run
-
-    n_left, n_right = left.count(), right.count()
-    parts = max(-(-n_left // block), 1)
-    q = left.select("sid", "s").repartition(parts).mapInArrow(packed("sid"), "part int, bits binary, sid binary")
-    q = materialise(q.withColumnRenamed("bits", "q_bits"), "tag-blocks")
-    c = right.select(F.col("w").cast("long").alias("w"), "s").repartition(max(min(parallelism(spark), n_right // 256), 1)).mapInArrow(packed("w"), "part int, bits binary, w binary").drop("part")
-    share = max(int(group_bytes // (8 * block * (words + 1))), 1)
+    n_tags = max(len(tags), 1)
+    block = block or max(min(BLOCK, 8 * BLOCK_BYTES // n_tags), 64)
+
+    # A set of weight w lies in a block of every binary digit of w.
+    digits = F.expr("explode(filter(sequence(0, 62), k -> (w & shiftleft(1L, k)) <> 0)) AS k")
+    entries = materialise(_codes(right, tags, "w").select("c", "w", digits).drop("w"), "coded-sets")
+    blocks, first = 0, {}
+    for r in entries.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect():
+        first[r["k"]] = blocks, -(-r["n"] // block)
+        blocks += first[r["k"]][1]
+    if not blocks:
+        return spark.createDataFrame([], "sid long, shared int, n_items long")
+    of_digit = lambda i: F.element_at(F.lit([first.get(k, (0, 1))[i] for k in range(63)]), F.col("k") + 1)
+    entries = entries.withColumn("part", (of_digit(0) + F.pmod(F.xxhash64("c"), of_digit(1))).cast("int"))
+
+    def vertical(table: pa.Table) -> pa.Table:
+        flat, size = _flat(table.column("c").combine_chunks())
+        order = np.argsort(flat, kind="stable")
+        row, ends = np.repeat(np.arange(len(size)), size)[order], np.searchsorted(flat[order], np.arange(n_tags + 1))
+        bits = np.zeros((n_tags, -(-len(size) // 64) * 8), np.uint8)
+        for t in range(n_tags):
+            one = np.zeros(bits.shape[1] * 8, bool)
+            one[row[ends[t]:ends[t + 1]]] = True
+            bits[t] = np.packbits(one, bitorder="little")
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("k")[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())],
+                        names=["part", "k", "bits"])
+
+    stored = materialise(entries.groupBy("part", "k").applyInArrow(vertical, "part int, k int, bits binary"), "tag-blocks")
+
+    def packed(batches):
+        def row(held):
+            cut = pa.Table.from_batches(held).combine_chunks()
+            flat, size = _flat(cut.column("c").combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cut.column("sid").to_numpy().astype("<i8"), flat.astype("<i4"), size.astype("<i4"))],
+                                              ["sids", "codes", "sizes"])
+
+        held = []
+        for b in batches:
+            if sum(map(len, held)) + len(b) > QUERIES:
+                yield row(held)
+                held = []
+            if len(b):
+                held.append(b)
+        if held:
+            yield row(held)
+
+    q = _codes(left, tags, "sid")
+    parts = max(min(4 * parallelism(spark), left.count() // 256), 1)
+    q = materialise(q.repartition(parts), "coded-queries").repartition(parts).mapInArrow(packed, "sids binary, codes binary, sizes binary")
+    share = max(int(group_bytes * 8 // (n_tags * block)), 1)
 
     def run(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        mine, total, cuts = None, None, None
+
+        def done():
+            row, shared = np.nonzero(total[:, 1:])
+            return pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(shared + 1, pa.int32()), pa.array(total[row, shared + 1])], ["sid", "shared", "n_items"])
+
         for b in batches:
             for i in range(len(b)):
-                get = lambda c, t: np.frombuffer(b.column(c)[i].as_py(), t)
-                sid, mine = get("sid", "<i8"), get("q_bits", np.uint64).reshape(-1, words)
-                theirs, w = get("bits", np.uint64).reshape(-1, words), get("w", "<i8")
-                size = int(np.bitwise_count(mine).sum(axis=1).max(initial=0)) + 1
-                if sid[0] not in held:
-                    held[sid[0]] = sid, np.zeros((len(sid), size), np.int64)
-                hist = held[sid[0]][1]
-                for r in range(len(sid)):
-                    shared = np.bitwise_count(mine[r] & theirs).sum(axis=1, dtype=np.int64)
-                    hist[r] += np.bincount(shared, weights=w, minlength=size).astype(np.int64)
-        for sid, hist in held.values():
-            row, shared = np.nonzero(hist[:, 1:])
-            yield pa.RecordBatch.from_arrays([pa.array(sid[row]), pa.array(shared + 1, pa.int32()), pa.array(hist[row, shared + 1])], ["sid", "shared", "n_items"])
+                get = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: E731, B023
+                sids, size, k = get("sids", "<i8"), get("sizes", "<i4"), b.column("k")[i].as_py()
+                depth = int(size.max()).bit_length()
+                if mine is None or len(mine) != len(sids) or (mine != sids).any():
+                    if mine is not None:
+                        yield done()
+                    mine, total, cuts = sids.copy(), np.zeros((len(sids), 1 << depth), np.int64), np.split(get("codes", "<i4"), np.cumsum(size)[:-1])
+                bits = get("bits", np.uint64).reshape(n_tags, -1)
+                found = np.zeros((len(sids), 1 << depth), np.int64)
+                for j, c in enumerate(cuts):
+                    _joint(tag_planes([bits[t] for t in c]), 0, found[j])
+                # From "at least these digits are set" to "exactly these".
+                for d in range(depth):
+                    view = found.reshape(len(sids), -1, 2, 1 << d)
+                    view[:, :, 0] -= view[:, :, 1]
+                total[:, 1:] += found[:, 1:] << k
+        if mine is not None:
+            yield done()
 
     found = []
-    for lo in range(0, parts, share):
-        hi = min(lo + share, parts)
-        some = q.filter(F.col("part").between(lo, hi - 1))
-        pairs = c.withColumn("part", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).join(F.broadcast(some), "part")
-        found.append(pairs.mapInArrow(run, "sid long, shared int, n_items long"))
+    for lo in range(0, blocks, share):
+        some = stored.filter(F.col("part").between(lo, min(lo + share, blocks) - 1)).drop("part")
+        part = q.crossJoin(F.broadcast(some)).mapInArrow(run, "sid long, shared int, n_items long")
+        found.append(part if share >= blocks else materialise(part, "tag-histograms"))
     return union_all(found).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
 
 

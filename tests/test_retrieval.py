@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.blocks import blocked_topk, nearest_of_table, streamed_topk
 from cadenza.operators import retrieval as R
+from cadenza.operators import tagbits
 
 
 def corpus(spark, n=120, d=8, tags=4, seed=0):
@@ -95,6 +96,24 @@ def test_gain_histogram_against_all_pairs(spark, limit, monkeypatch):
     assert {(r["q"], r["shared"]): r["n_items"] for r in R.gain_histogram(c, c).collect()} == want
 
 
+def test_histograms_of_large_sets_by_blocks_of_bits(spark):
+    """Heavy sets, several blocks and groups: the added rows of bits agree with brute force, and no large set becomes subsets."""
+    rnd = random.Random(8)
+    sets = [sorted(rnd.sample([f"t{i:02d}" for i in range(40)], rnd.randint(1, 17))) for _ in range(300)]
+    left = spark.createDataFrame(list(enumerate(sets)), "sid long, s array<string>")
+    right = spark.createDataFrame([(s + ["unknown"], rnd.randint(1, 9)) for s in sets], "s array<string>, w long")
+    want = {}
+    for i, a in enumerate(sets):
+        for s, w in right.collect():
+            g = len(set(a) & set(s))
+            if g:
+                want[i, g] = want.get((i, g), 0) + w
+    got = {(r["sid"], r["shared"]): r["n_items"] for r in tagbits.shared_histograms(left, right, block=70, group_bytes=900).collect()}
+    assert got == want
+    most = spark.createDataFrame([(0, [f"t{i}" for i in range(12)])], "id long, tags array<string>")
+    assert R._subsets(R._tag_sets(most, "q")).count() < 64
+
+
 def judged(spark, rows):
     return spark.createDataFrame(rows, "q long, item long, rank int, gain int, rel int, n_relevant long")
 
