@@ -1,7 +1,7 @@
 """Exact nearest neighbours by blocks: no pair of rows is ever shuffled.
 
 ``streamed_topk`` searches a whole corpus: its partitions stream past broadcast blocks of queries. ``nearest_of_table`` scores a small
-table, such as centroids, without any shuffle. ``blocked_topk`` searches inside cells: both sides of a cell are hashed into blocks of
+table, such as centroids, without any shuffle. ``probed_topk`` searches the cells that each query names. ``blocked_topk`` searches inside cells: both sides of a cell are hashed into blocks of
 bounded size, and a task multiplies one query block by one corpus block and returns only its best k per query. Memory is bounded
 by the block size everywhere.
 """
@@ -178,6 +178,92 @@ def nearest_of_table(queries: DataFrame, table: DataFrame, k: int, metric: str =
     return q.join(F.broadcast(one), "_k").mapInArrow(run, f"q {types[0]}, item {types[1]}, score double, rank int")
 
 
+def probed_topk(queries: DataFrame, probes: DataFrame, corpus: DataFrame, k: int, cell: str, metric: str = "cosine", exclude_self: bool = True,
+                block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(q, item, score, rank): best ``k`` of the rows of ``corpus(id, vec, cell)`` in the cells that ``probes(q, cell)`` names, per row of ``queries(q, vec)``.
+
+    Blocks of a cell are broadcast in groups of bounded size, cell by cell, and the queries stream past them with the list of their cells. So
+    no vector is copied for a cell or an opposite block, and a query leaves k rows only where a group holds one of its cells.
+    """
+    spark = queries.sparkSession
+    types = queries.schema["q"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
+    n_q = queries.count()
+    place, parts = [], 0
+    for r in corpus.groupBy(cell).agg(F.count("*").alias("n")).orderBy(cell).collect():      # one row a cell
+        place.append((r[cell], parts, -(-r["n"] // block)))
+        parts += place[-1][2]
+    cells = spark.createDataFrame(place, f"_cell {corpus.schema[cell].dataType.simpleString()}, _first int, _n int")
+    c = corpus.join(F.broadcast(cells), F.col(cell) == F.col("_cell"))
+    c = c.withColumn("part", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_n"))).cast("int")).groupBy("part", "_first").agg(
+        F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias("r"))      # about ``block`` rows
+    c = materialise(c.select("part", F.col("_first").alias("cell"), F.col("r.id").alias("ids"), F.flatten("r.vec").alias("vals")), "cell-blocks")
+    wanted = probes.join(F.broadcast(cells), F.col(cell) == F.col("_cell")).groupBy("q").agg(F.collect_list("_first").alias("_cells"))
+    tasks = max(min(parallelism(spark), -(-n_q // MIN_ROWS)), 1)
+    q = materialise(queries.select("q", F.col("vec").cast("array<double>").alias("vec")).join(wanted, "q").repartition(tasks), "probing")
+
+    def packed(batches):
+        one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        for b in batches:
+            for lo in range(0, len(b), block):
+                cut = b.slice(lo, block)
+                at = cut.column("_cells")
+                yield pa.RecordBatch.from_arrays([one(cut.column("q")), one(cut.column("vec").flatten()), one(at.flatten()), one(at.value_lengths())], ["q_ids", "q_vals", "q_cells", "q_sizes"])
+
+    blocks = q.mapInArrow(packed, f"q_ids array<{types[0]}>, q_vals array<double>, q_cells array<int>, q_sizes array<int>")
+    size = c.agg(F.sum((F.size("vals") * 8).cast("long"))).first()[0] or 1
+    share = max(int(group_bytes * parts // size), 1)
+
+    def run(batches):
+        state = None
+
+        def done():
+            qid, ids, s = state
+            row, col = np.nonzero(s > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[row, col]), pa.array(s[row, col])], ["q", "item", "score"])
+
+        for b in batches:
+            for i in range(len(b)):
+                cid, cv = _matrix(b, i, "")
+                qid, qv = _matrix(b, i, "q_")
+                if state is None or len(state[0]) != len(qid) or (state[0] != qid).any():
+                    if state is not None:
+                        yield done()
+                    state = qid.copy(), np.zeros((len(qid), k), cid.dtype), np.full((len(qid), k), -np.inf)
+                get = lambda x: b.column(x)[i].values.to_numpy()  # noqa: B023, E731
+                mine = np.repeat(np.arange(len(qid)), get("q_sizes"))[get("q_cells") == b.column("cell")[i].as_py()]
+                if len(mine) == 0:
+                    continue
+                _, ids, best = state
+                score = _exact(qv[mine], cv, metric)
+                if exclude_self:
+                    score[qid[mine][:, None] == cid[None, :]] = -np.inf
+                least = best[mine, k - 1]
+                if np.isinf(least).any():
+                    score = np.round(score, DIGITS) + 0.0
+                    row, col = _best(score, cid, k)
+                    value = score[row, col]
+                else:
+                    # Only scores that may reach a query's k-th best are rounded and ranked.
+                    row, col = np.nonzero(score >= (least - 10.0 ** -DIGITS)[:, None])
+                    value = np.round(score[row, col], DIGITS) + 0.0
+                r, at = np.nonzero(best[mine] > -np.inf)
+                r, x, s = np.concatenate([r, row]), np.concatenate([ids[mine][r, at], cid[col]]), np.concatenate([best[mine][r, at], value])
+                order = np.lexsort((x, -s, r))
+                r, x, s = r[order], x[order], s[order]
+                at = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = at < k
+                ids[mine[r[keep]], at[keep]], best[mine[r[keep]], at[keep]] = x[keep], s[keep]
+        if state is not None:
+            yield done()
+
+    found = []
+    for lo in range(0, max(parts, 1), share):
+        some = c.filter(F.col("part").between(lo, min(lo + share, parts) - 1)).drop("part")
+        best = blocks.crossJoin(F.broadcast(some)).mapInArrow(run, f"q {types[0]}, item {types[1]}, score double")
+        found.append(best if share >= parts else materialise(best, "best"))
+    return top_per_group(union_all(found), ["q"], [F.desc("score"), F.col("item")], k)
+
+
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, cell: list[str] | None = None,
                  merge_on: list[str] | None = None, metric: str = "cosine", exclude_self: bool = True,
                  block: int = BLOCK) -> DataFrame:

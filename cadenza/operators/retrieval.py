@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.core.blocks import blocked_topk, nearest_of_table
+from cadenza.core.blocks import blocked_topk, nearest_of_table, probed_topk
 from cadenza.core.common import md5_int, never_broadcast, union_all
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
@@ -209,9 +209,8 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFr
 
 
 def ivf_search(queries: DataFrame, lists: DataFrame, probes: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """Top-k among the probed lists only. A hot list is split into blocks like any other cell."""
-    q = queries.select(F.col("id").alias("q"), "vec").join(probes, "q")
-    return blocked_topk(q, lists.select("id", "vec", "list_id"), k, cell=["list_id"], exclude_self=exclude_self)
+    """Top-k among the probed lists only. A hot list is just more blocks, and a query is not copied for its lists."""
+    return probed_topk(queries.select(F.col("id").alias("q"), "vec"), probes, lists.select("id", "vec", "list_id"), k, cell="list_id", exclude_self=exclude_self)
 
 
 def probes_for_recall(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int = 10, target: float = 0.9,

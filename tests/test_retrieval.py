@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.core.blocks import blocked_topk, nearest_of_table, streamed_topk
+from cadenza.core.blocks import blocked_topk, nearest_of_table, probed_topk, streamed_topk
 from cadenza.operators import retrieval as R
 from cadenza.operators import tagbits
 
@@ -96,6 +96,21 @@ def test_gain_histogram_against_all_pairs(spark, limit, monkeypatch):
     assert {(r["q"], r["shared"]): r["n_items"] for r in R.gain_histogram(c, c).collect()} == want
 
 
+def test_probed_lists_without_copies(spark):
+    """Several blocks a list, groups and batches: the same as one search per cell, and the plan explodes no vector for an opposite block."""
+    rows, c = corpus(spark, 160)
+    lists = c.select("id", "vec", "list_id")
+    probes = spark.createDataFrame([(i, (i + j) % 3) for i in range(160) for j in range(i % 3 + 1)], "q long, list_id int")
+    q = c.select(F.col("id").alias("q"), "vec")
+    want = as_lists(blocked_topk(q.join(probes, "q"), lists, 5, cell=["list_id"]))
+    for group in (1, 4000, 1 << 20):
+        got = probed_topk(q, probes, lists, 5, "list_id", block=13, group_bytes=group)
+        assert as_lists(got) == want
+    found = R.ivf_search(c, lists, probes, 5)
+    assert as_lists(found) == want
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_histograms_of_large_sets_by_blocks_of_bits(spark):
     """Heavy sets, several blocks and groups: the added rows of bits agree with brute force, and no large set becomes subsets."""
     rnd = random.Random(8)
