@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from cadenza.core.blocks import blocked_topk
 from cadenza.core.common import PART, explode_range
 from cadenza.core.ordered import Ordered, quantiles
+from cadenza.core.session import materialise
 from cadenza.functions import music as U
 from cadenza.operators.joins import interval_overlap, match_within
 
 HOP = 512
+PIECE_FRAMES = 4096         # frames of a piece that one row may hold
 LETTERS = "ABCDEFGH"
 
 
@@ -50,6 +52,33 @@ def beat_sync(frames: DataFrame, limit: int | None = None) -> DataFrame:
     return quantiles(frames, ["track_id", "piece", "pc"], "v", {"v": 0.5}, limit)
 
 
+def _median(x: Column) -> Column:
+    """Interpolated median of an ascending array; NULL if it is empty."""
+    lo, hi = F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")), F.get(x, F.floor(F.size(x) / 2).cast("int"))
+    return F.when(F.size(x) % 2 == 1, lo).otherwise(lo * 0.5 + hi * 0.5)
+
+
+def chroma_sync(frames: DataFrame, limit: int = PIECE_FRAMES) -> DataFrame:
+    """(track_id, piece, chroma): median chroma per piece from rows (track_id, piece, chroma), the values of ``beat_sync``.
+
+    NULL and NaN values are ignored; a tone without any other is NULL, and a piece without any is left out. A piece of at most ``limit`` frames is one row of arrays, so
+    frames are shuffled once and not once per tone; only longer pieces are ranked tone by tone.
+    """
+    key = ["track_id", "piece"]
+    large = materialise(frames.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*key), "large-pieces")
+    known = lambda x: F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v))
+    tones = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.sort_array(known(F.transform("_rows", lambda r: F.get(r, i).cast("double")))))
+    split = not large.isEmpty()
+    small = frames.join(F.broadcast(large), key, "left_anti") if split else frames     # at most rows / limit keys
+    out = small.groupBy(*key).agg(F.collect_list("chroma").alias("_rows")).select(*key, F.transform(tones, _median).alias("chroma"))
+    out = out.filter(F.exists("chroma", lambda v: v.isNotNull()))
+    if not split:
+        return out
+    long = frames.join(F.broadcast(large), key, "left_semi").select(*key, F.posexplode("chroma").alias("pc", "v"))
+    tone = lambda i: F.max(F.when(F.col("pc") == i, F.col("v")))
+    return out.unionByName(beat_sync(long).groupBy(*key).agg(F.array(*[tone(i) for i in range(12)]).alias("chroma")))
+
+
 def triad_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(U.triads())], "cls int, label string, template array<double>")
 
@@ -57,10 +86,13 @@ def triad_templates(spark: SparkSession) -> DataFrame:
 def chord_per_beat(sync: DataFrame) -> DataFrame:
     """(track_id, piece, cls, label, confidence): most similar triad by cosine, the lowest class on ties.
 
-    Triads have three tones, so every similarity is a short sum of plain columns.
+    Rows are those of ``beat_sync`` or, with nothing to shuffle, of ``chroma_sync``. Triads have three tones, so every similarity is a short sum of plain columns.
     """
     at = lambda i: F.col(f"_c{i}")
-    d = sync.groupBy("track_id", "piece").agg(*[F.coalesce(F.max(F.when(F.col("pc") == i, F.col("v"))), F.lit(0.0)).alias(f"_c{i}") for i in range(12)])
+    if "chroma" in sync.columns:
+        d = sync.select("track_id", "piece", *[F.coalesce(F.get("chroma", F.lit(i)), F.lit(0.0)).alias(f"_c{i}") for i in range(12)])
+    else:
+        d = sync.groupBy("track_id", "piece").agg(*[F.coalesce(F.max(F.when(F.col("pc") == i, F.col("v"))), F.lit(0.0)).alias(f"_c{i}") for i in range(12)])
     energy = sum((at(i) * at(i) for i in range(1, 12)), at(0) * at(0))
     d = d.withColumn("_n", F.sqrt(energy) + 1e-12)
     sims = []

@@ -34,9 +34,10 @@ view("passed", """SELECT f.track_id, f.pos, f.t, (SELECT count(*) FROM beats b W
 view("pieces", "SELECT track_id, pos, t, n - least(min(n) OVER (PARTITION BY track_id), 1) AS piece FROM passed", "passed")
 
 
-def frame_pieces(spark, d):
+def frame_pieces(spark, d, *extra):
+    """The pieces of all beats; their ``extra`` columns come along."""
     b = C.beats(spark, d)
-    return J.frames_to_beats(b.select("track_id", "pos", "t"), b.filter("pos % 3 = 1"))
+    return J.frames_to_beats(b.select("track_id", "pos", "t", *extra), b.filter("pos % 3 = 1"))
 
 
 @query("J05", sql("SELECT track_id, pos, piece FROM pieces", "pieces"))

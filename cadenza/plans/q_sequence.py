@@ -57,17 +57,20 @@ view("smooth", """SELECT track_id, piece, CASE WHEN a IS NULL OR c IS NULL THEN
   SELECT *, lag(cls) OVER w AS a, lead(cls) OVER w AS c FROM chord_beats WINDOW w AS (PARTITION BY track_id ORDER BY piece))""", "chord_beats")
 
 
-@C.stored("sync")
+@C.stored("chroma-sync")
+def synced(spark, d):
+    """(track_id, piece, chroma): a frame's twelve values stay one row."""
+    tone = lambda pc: (F.col("event_id") * 7 + pc * 13 + F.col("pos") * pc) % 23 + F.col("strength") / 1000
+    chroma = F.transform(F.sequence(F.lit(0), F.lit(11)), tone)
+    return Q.chroma_sync(frame_pieces(spark, d, "event_id", "strength").select("track_id", "piece", chroma.alias("chroma")))
+
+
 def sync(spark, d):
-    pcs = F.explode(F.sequence(F.lit(0), F.lit(11)))
-    b = C.beats(spark, d).select("track_id", "pos", "event_id", "strength")
-    f = frame_pieces(spark, d).select("track_id", "pos", "piece").join(b, ["track_id", "pos"]).withColumn("pc", pcs)
-    v = (F.col("event_id") * 7 + F.col("pc") * 13 + F.col("pos") * F.col("pc")) % 23 + F.col("strength") / 1000
-    return Q.beat_sync(f.select("track_id", "piece", "pc", v.alias("v")))
+    return synced(spark, d).select("track_id", "piece", F.posexplode("chroma").alias("pc", "v")).filter("v IS NOT NULL")
 
 
 def smoothed(spark, d):
-    return Q.mode_smooth(Q.chord_per_beat(sync(spark, d)), 3, order="piece")
+    return Q.mode_smooth(Q.chord_per_beat(synced(spark, d)), 3, order="piece")
 
 
 @query("T04", sql("SELECT track_id, piece, pc, round(v, 6) AS v FROM sync", "sync"))
@@ -77,7 +80,7 @@ def t04(spark, d):
 
 @query("T06", sql("SELECT track_id, piece, cls, label, round(sim, 6) AS confidence FROM chord_beats", "chord_beats"))
 def t06(spark, d):
-    return rounded(Q.chord_per_beat(sync(spark, d)), "confidence")
+    return rounded(Q.chord_per_beat(synced(spark, d)), "confidence")
 
 
 @query("T07", sql("SELECT track_id, piece, cls FROM smooth", "smooth"))

@@ -176,3 +176,22 @@ def test_long_documents_continue_in_parts(spark, monkeypatch):
     s = spark.createDataFrame([("a", 0, 0.0, 10.0, "A", 0)], "track_id string, pos long, start double, end double, label string, cluster int")
     doc = Q.analysis_document(head, b, b.filter("pos % 4 = 0"), c, s).orderBy("part").collect()
     assert [len(r["beats"]) for r in doc] == [4, 4, 2] and doc[0]["bpm"] == 96.0 and doc[1]["chords"] is None
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_chroma_of_pieces_as_arrays(spark, limit):
+    """The medians of whole frames are those of their twelve tones, NULL and NaN included, and no frame becomes twelve rows."""
+    rnd = random.Random(2)
+    value = lambda: rnd.choice([None, float("nan"), rnd.random(), rnd.random(), .5])
+    rows = [(t, p, [value() if pc != 4 else None for pc in range(12)]) for t in range(3) for p in range(4) for _ in range(rnd.randint(1, 6))]
+    frames = spark.createDataFrame(rows, "track_id long, piece long, chroma array<double>")
+    long = Q.beat_sync(frames.select("track_id", "piece", F.posexplode("chroma").alias("pc", "v")))
+    want = {(r["track_id"], r["piece"], r["pc"]): r["v"] for r in long.collect()}
+    packed = Q.chroma_sync(frames, limit)
+    got = {(r["track_id"], r["piece"], i): v for r in packed.collect() for i, v in enumerate(r["chroma"]) if v is not None}
+    assert got == pytest.approx(want) and packed.count() == 12
+    as_rows = lambda d: sorted(map(tuple, d.collect()))
+    one, two = Q.chord_per_beat(packed).join(long.select("track_id", "piece").distinct(), ["track_id", "piece"], "left_semi"), Q.chord_per_beat(long)
+    assert as_rows(one) == as_rows(two)
+    if limit > 6:
+        assert "Generate" not in packed._jdf.queryExecution().optimizedPlan().toString()
