@@ -12,6 +12,8 @@ NAN, INF = float("nan"), float("inf")
 # The four stems in evaluation order and the constant of the global SDR definition.
 STEMS = ("vocals", "drums", "bass", "other")
 SDR_DELTA = 1e-7
+# Sums of the same values taken in another order differ in their last digits; such values still tie with a threshold.
+TIE = 1e-11
 
 
 def sdr(signal: Column, noise: Column) -> Column:
@@ -135,9 +137,14 @@ def diagnose_case(cases: DataFrame, quiet_db: float = 6.0, fail_below: float = 5
 
 
 def true_failures(cases: DataFrame) -> DataFrame:
-    """Lowest-quartile metric although the stem is at least as loud as the median; with r(energy, metric)."""
+    """Lowest-quartile metric although the stem is at least as loud as the median; with r(energy, metric).
+
+    A value that differs from a threshold by less than ``TIE``, relative to it, lies on it.
+    """
     q = quantiles(cases, ["stem"], "csdr", {"csdr_q25": 0.25})
     e = quantiles(cases, ["stem"], "energy_db", {"energy_median_db": 0.5})
     r = cases.groupBy("stem").agg(F.corr("energy_db", "csdr").alias("pearson_r"))
     c = cases.join(q, "stem").join(e, "stem").join(r, "stem")
-    return c.filter((F.col("csdr") <= F.col("csdr_q25")) & (F.col("energy_db") >= F.col("energy_median_db")))
+    slack = lambda x: F.greatest(F.abs(x), F.lit(1.0)) * TIE
+    low, loud = F.col("csdr_q25"), F.col("energy_median_db")
+    return c.filter((F.col("csdr") <= low + slack(low)) & (F.col("energy_db") >= loud - slack(loud)))

@@ -76,6 +76,14 @@ def test_case_diagnosis(spark):
     assert S.true_failures(c).count() == 0
 
 
+def test_true_failures_keep_values_that_tie_but_for_their_last_digit(spark):
+    low, up = 0.3, 0.1 + 0.2
+    assert low < up
+    rows = [(f"t{i}", "bass", c, e) for i, (c, e) in enumerate([(low, low), (up, up), (low, up), (up, low), (9., 9.), (9., -9.)])]
+    c = spark.createDataFrame(rows, "track_id string, stem string, csdr double, energy_db double")
+    assert {r["track_id"] for r in S.true_failures(c).collect()} == {"t0", "t1", "t2", "t3"}
+
+
 def mono(spark, n, track="a"):
     return spark.createDataFrame([(track, i, float(i + 1)) for i in range(n)], "track_id string, i long, v double")
 
