@@ -12,7 +12,7 @@ from cadenza.core.blocks import blocked_topk, nearest_of_table, probed_topk
 from cadenza.core.common import md5_int, never_broadcast, union_all
 from cadenza.core.ordered import Ordered
 from cadenza.core.session import materialise
-from cadenza.operators.tagbits import shared_histograms
+from cadenza.operators.tagbits import shared_histograms, table_histograms, table_plan
 
 NAN = float("nan")
 # Tag sets up to this size are counted through their subsets, at most 31 rows a set; larger ones meet the others as blocks of bits.
@@ -46,6 +46,22 @@ def _subsets(sets: DataFrame) -> DataFrame:
         *sets.columns, F.size("sub").alias("i"), F.concat_ws("\u0001", "sub").alias("sub"))
 
 
+def _subset_histograms(q_sets: DataFrame, c_sets: DataFrame) -> DataFrame:
+    """(sid, shared, n_items): small sets through their subsets, larger ones as blocks of bits."""
+    holds = _subsets(c_sets).groupBy("sub").agg(F.sum("w").alias("n"))
+    sums = _subsets(q_sets).join(never_broadcast(holds), "sub").groupBy("sid", "i").agg(F.sum("n").alias("n"))
+    choose = F.array(*[F.lit([comb(i, g) * (-1) ** (i - g) for g in range(SUBSET_TAGS + 1)]) for i in range(SUBSET_TAGS + 1)])
+    spread = sums.select("sid", "i", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("shared"))
+    small = spread.groupBy("sid", "shared").agg(
+        F.sum(F.col("n") * F.element_at(F.element_at(choose, F.col("i") + 1), F.col("shared") + 1)).alias("n_items"))
+    parts = [small]
+    big_c, big_q = c_sets.filter(F.size("s") > SUBSET_TAGS), q_sets.filter(F.size("s") > SUBSET_TAGS)
+    for left, right in ((q_sets.filter(F.size("s") <= SUBSET_TAGS), big_c), (big_q, c_sets)):
+        if not left.isEmpty() and not right.isEmpty():
+            parts.append(shared_histograms(left, right))
+    return union_all(parts).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
+
+
 def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool = True) -> DataFrame:
     """(q, shared, n_items): how many corpus items share exactly ``shared`` >= 1 tags with the query.
 
@@ -54,24 +70,15 @@ def gain_histogram(queries: DataFrame, corpus: DataFrame, self_in_corpus: bool =
     subset, and inclusion-exclusion over the query's subsets gives the exact counts. Popular
     tags therefore never produce item pairs, and the work is linear in the sets. Sets of more than
     SUBSET_TAGS tags have too many subsets; they meet the others as blocks of bits, which is quadratic in the
-    distinct sets but moves only their histograms. A set has a number, and only that is joined.
+    distinct sets but moves only their histograms. Where that would cost more, all sets meet in tables of superset sums.
+    A set has a number, and only that is joined.
     """
     one = _tag_sets(queries, "q")
     q_sets = materialise(one.select("s").distinct().withColumn("sid", F.monotonically_increasing_id()), "query-sets")
     qs = one.join(never_broadcast(q_sets), "s").select("q", "sid", F.size("s").alias("_size"))
     c_sets = materialise(_tag_sets(corpus, "c").groupBy("s").agg(F.count("*").alias("w")), "tagsets")
-    holds = _subsets(c_sets).groupBy("sub").agg(F.sum("w").alias("n"))
-    sums = _subsets(q_sets).join(never_broadcast(holds), "sub").groupBy("sid", "i").agg(F.sum("n").alias("n"))
-    choose = F.array(*[F.lit([comb(i, g) * (-1) ** (i - g) for g in range(SUBSET_TAGS + 1)]) for i in range(SUBSET_TAGS + 1)])
-    spread = sums.select("sid", "i", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("shared"))
-    small = spread.groupBy("sid", "shared").agg(
-        F.sum(F.col("n") * F.element_at(F.element_at(choose, F.col("i") + 1), F.col("shared") + 1)).alias("n_items"))
-    parts = [small]
-    big_c, big_q = c_sets.filter(F.size("s") > SUBSET_TAGS), q_sets.filter(F.size("s") > SUBSET_TAGS)
-    for left, right in ((q_sets.filter(F.size("s") <= SUBSET_TAGS), big_c), (big_q, c_sets)):
-        if not left.isEmpty() and not right.isEmpty():
-            parts.append(shared_histograms(left, right))
-    hist = union_all(parts).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
+    tables = None if q_sets.filter(F.size("s") > SUBSET_TAGS).isEmpty() and c_sets.filter(F.size("s") > SUBSET_TAGS).isEmpty() else table_plan(q_sets, c_sets)
+    hist = table_histograms(q_sets, c_sets, tables) if tables else _subset_histograms(q_sets, c_sets)
     own = F.when(F.lit(self_in_corpus) & (F.col("shared") == F.col("_size")), 1).otherwise(0)
     return qs.join(never_broadcast(hist), "sid").select("q", "shared", (F.col("n_items") - own).cast("long").alias("n_items")).filter("n_items > 0")
 

@@ -1,19 +1,23 @@
-"""Counts over tag sets by blocks: shared tags by adding rows of bits, pairs of tags by matrix products.
+"""Counts over tag sets: shared tags by adding rows of bits or from tables of superset sums, pairs of tags by matrix products.
 
 A block of sets is one row of bits a tag. Blocks are broadcast in groups of bounded size, and the other side streams past them; for
 each of its sets the rows of its tags are added digit by digit, 64 sets a word, and the digits are counted. Only these short
 histograms move on, never a pair.
+
+Blocks are quadratic in the distinct sets. Of few tags, many sets meet in tables instead, which are linear in the sets: see ``table_histograms``.
 """
 
 from __future__ import annotations
 
 import sys
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.common import DIMENSION_ROWS, union_all
@@ -173,6 +177,194 @@ def shared_histograms(left: DataFrame, right: DataFrame, block: int | None = Non
     return union_all(found).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items"))
 
 
+MASK_TAGS = 62              # tags of a vocabulary whose sets are whole numbers
+TABLE_TAGS = 25             # tags of a table at most
+TABLE_QUERIES = 1 << 18     # sets that are looked up in one table
+TABLE_SETS = 1 << 20        # sets of a packed row
+LOOKUPS = 1 << 20           # places of a table read at once
+LEAST_PAIRS = 1 << 34       # of sets, below which blocks are not compared with tables
+# Measured seconds of a core: a pair of sets in blocks; a place of a table, a set added to it, a place looked up.
+PAIR_S, PLACE_S, ADD_S, LOOKUP_S = 1.1e-8, 1.2e-8, 3e-8, 1e-8
+
+
+class Tables(NamedTuple):
+    """Tags in the order of their bits. A table is over ``width`` of them from ``low`` on, and there is one for every subset of the others that a set holds."""
+
+    tags: list[str]
+    low: int
+    width: int
+
+    def parts(self, m: str) -> tuple[Column, Column]:
+        """(the other bits, the table's place) of a mask."""
+        core = F.expr(f"cast(shiftright({m}, {self.low}) & {(1 << self.width) - 1}L as int)")
+        return F.expr(f"{m} & {~(((1 << self.width) - 1) << self.low)}L"), core
+
+
+def _masks(sets: DataFrame, tags: list[str], keep: str) -> DataFrame:
+    """(keep, m): the sets as masks of tag numbers; unknown tags are left out."""
+    def run(batches):
+        for b in batches:
+            flat, size = _flat(b.column("c"))
+            m = np.bitwise_or.reduceat(np.int64(1) << flat.astype(np.int64), np.cumsum(size) - size) if len(b) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(m)], [keep, "m"])
+
+    return _codes(sets, tags, keep).mapInArrow(run, f"{keep} long, m long")
+
+
+def table_plan(left: DataFrame, right: DataFrame) -> Tables | None:
+    """The tables that cost least for ``table_histograms``, or None where blocks cost less or there are too many tags."""
+    n_q, n_c = left.count(), right.count()
+    if n_q * n_c < LEAST_PAIRS:
+        return None
+    rows = left.select(F.explode("s").alias("tag")).groupBy("tag").count().limit(MASK_TAGS + 1).collect()
+    if len(rows) > MASK_TAGS:
+        return None
+    tags = [r["tag"] for r in sorted(rows, key=lambda r: (r["count"], r["tag"]))]
+    plans = [Tables(tags, low, w) for w in range(min(8, len(tags)), min(TABLE_TAGS, len(tags)) + 1) for low in sorted({0, len(tags) - w})]
+    costs = []
+    for i, t in enumerate(plans):
+        rest, core = t.parts("m")
+        layers = F.bit_count(rest) + 1
+        costs += [F.approx_count_distinct(rest, 0.02).alias(f"n{i}"), F.avg(layers).alias(f"l{i}"), F.sum(layers * F.pow(F.lit(2.0), F.bit_count(core))).alias(f"r{i}")]
+    found = _masks(left, tags, "sid").agg(*costs).first()
+    cost = [found[f"n{i}"] * ((found[f"l{i}"] or 1) * (1 << t.width) * PLACE_S + n_c * ADD_S) + (found[f"r{i}"] or 0) * LOOKUP_S for i, t in enumerate(plans)]
+    best = min(range(len(plans)), key=cost.__getitem__, default=None)
+    return plans[best] if best is not None and cost[best] < n_q * n_c * PAIR_S else None
+
+
+def superset_sums(table: np.ndarray) -> None:
+    """In place, table[a]: the sum over all places that hold the bits of a. Low bits are summed in pieces that stay in the cache."""
+    width = len(table).bit_length() - 1
+    low = min(width, 15)
+    for at in range(0, len(table), 1 << low):
+        x = table[at:at + (1 << low)]
+        for d in range(low):
+            if d < 4:
+                for r in range(1 << d):
+                    x[r::2 << d] += x[r + (1 << d)::2 << d]
+            else:
+                v = x.reshape(-1, 2, 1 << d)
+                v[:, 0] += v[:, 1]
+    for d in range(low, width):
+        for v in table.reshape(-1, 2, 1 << d):
+            v[0] += v[1]
+
+
+def subset_histograms(sums: np.ndarray, sets: np.ndarray, most: int) -> np.ndarray:
+    """(sets, 0 .. most): how much of the table shares exactly so many bits with each set, from its superset sums by inclusion and exclusion."""
+    out = np.zeros((len(sets), most + 1), np.int64)
+    size = np.bitwise_count(sets)
+    for m in np.unique(size).tolist():
+        mine = np.flatnonzero(size == m)
+        bits, x = [], sets[mine].copy()
+        for _ in range(m):
+            bits.append(x & -x)
+            x ^= bits[-1]
+        wide = min(m, 16)
+        held = np.bitwise_count(np.arange(1 << wide))
+        order = np.argsort(held, kind="stable")
+        starts = np.searchsorted(held[order], np.arange(wide + 1))
+        exact = np.array([[comb(j, g) * (-1) ** (j - g) if j >= g else 0 for g in range(m + 1)] for j in range(m + 1)], np.int64)
+        step = max(LOOKUPS >> wide, 1)
+        for lo in range(0, len(mine), step):
+            some = slice(lo, lo + step)
+            at = np.zeros((len(mine[some]), 1), sets.dtype)
+            for b in bits[:wide]:
+                at = np.concatenate([at, at | b[some, None]], axis=1)
+            at = at[:, order]
+            found = np.zeros((len(at), m + 1), np.int64)
+            for high in range(1 << (m - wide)):
+                up = [b[some, None] for i, b in enumerate(bits[wide:]) if high >> i & 1]
+                here = at
+                for b in up:
+                    here = here | b
+                found[:, len(up):len(up) + wide + 1] += np.add.reduceat(sums.take(here), starts, axis=1, dtype=np.int64)
+            out[mine[some], :m + 1] = found @ exact
+    return out
+
+
+def table_histograms(left: DataFrame, right: DataFrame, plan: Tables, table_sets: int = TABLE_SETS, queries: int = TABLE_QUERIES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``shared_histograms`` by tables of superset sums, linear in the sets.
+
+    Sets that hold the same of the tags outside a table meet it together. For them the sets of ``right`` fall into layers by how many of those tags they
+    share; a layer is one table, and each set reads the subsets of its own tags there. Packed sets are broadcast in groups of bounded size.
+    """
+    spark = left.sparkSession
+    rest, core = plan.parts("m")
+    merged = materialise(_masks(right, plan.tags, "w").groupBy("m").agg(F.sum("w").alias("w")), "masked-sets")
+    n_c, total = merged.agg(F.count("*"), F.sum("w")).first()
+    if not n_c:
+        return spark.createDataFrame([], "sid long, shared int, n_items long")
+    n_packs = -(-n_c // table_sets)
+    kind = np.int32 if total < 1 << 31 else np.int64
+
+    def held(table: pa.Table) -> pa.Table:
+        r, c, w = (table.column(x).to_numpy() for x in ("rest", "core", "w"))
+        order = np.lexsort((c, r))
+        rests, sizes = np.unique(r, return_counts=True)
+        w = w[order].astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if int(w.max()) <= np.iinfo(t).max))
+        cells = [rests.astype("<i8"), sizes.astype("<i8"), c[order].astype("<i4"), w]
+        return pa.table([table.column("pack").slice(0, 1)] + [pa.array([x.tobytes()], pa.binary()) for x in cells], names=["pack", "rests", "sizes", "places", "weights"])
+
+    packs = merged.select(F.pmod(F.xxhash64("m"), F.lit(n_packs)).cast("int").alias("pack"), rest.alias("rest"), core.alias("core"), "w")
+    packs = materialise(packs.groupBy("pack").applyInArrow(held, "pack int, rests binary, sizes binary, places binary, weights binary"), "packed-sets")
+    size = packs.agg(F.sum((F.length("places") + F.length("weights")).cast("long"))).first()[0]
+    share = max(int(group_bytes * n_packs // max(size, 1)), 1)
+
+    def asking(table: pa.Table) -> pa.Table:
+        sid, c = table.column("sid").to_numpy(), table.column("core").to_numpy()
+        return pa.table([table.column("rest").slice(0, 1)] + [pa.array([x.tobytes()], pa.binary()) for x in (sid.astype("<i8"), c.astype("<i4"))], names=["rest", "sids", "cores"])
+
+    q = materialise(_masks(left, plan.tags, "sid").select("sid", rest.alias("rest"), core.alias("core")), "masked-queries")
+    cuts = q.groupBy("rest").agg(F.ceil(F.count("*") / queries).alias("_n"))
+    q = q.join(cuts, "rest").withColumn("_cut", F.pmod(F.xxhash64("sid"), F.col("_n")))
+    q = materialise(q.groupBy("rest", "_cut").applyInArrow(asking, "rest long, sids binary, cores binary").withColumn("no", F.monotonically_increasing_id()), "asking")
+    q = q.repartition(max(min(q.count(), 8 * parallelism(spark)), 1))
+    width = plan.width
+
+    def run(batches):
+        def done(rest, sids, cores, sets):
+            own = int(rest).bit_count()
+            most = int(np.bitwise_count(cores).max())
+            out = np.zeros((len(sids), own + most + 1), np.int64)
+            shared = [np.bitwise_count(rests & rest) for rests, _, _, _ in sets]
+            for layer in range(own + 1):
+                if not any((x == layer).any() for x in shared):
+                    continue
+                table.fill(0)
+                for x, (_, sizes, places, weights) in zip(shared, sets):
+                    ends = np.cumsum(sizes)
+                    for k in np.flatnonzero(x == layer):            # the places of such a run are distinct
+                        run = slice(ends[k] - sizes[k], ends[k])
+                        table[places[run]] += weights[run].astype(kind)
+                superset_sums(table)
+                out[:, layer:layer + most + 1] += subset_histograms(table, cores, most)
+            for lo in range(0, len(sids), TABLE_QUERIES // 4):
+                row, many = np.nonzero(out[lo:lo + TABLE_QUERIES // 4, 1:])
+                yield pa.RecordBatch.from_arrays([pa.array(sids[row + lo]), pa.array(many + 1, pa.int32()), pa.array(out[row + lo, many + 1])], ["sid", "shared", "n_items"])
+
+        no, mine, sets, table = None, None, [], np.zeros(1 << width, kind)
+        for b in batches:
+            for i in range(len(b)):
+                get = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: B023, E731
+                if b.column("no")[i].as_py() != no:
+                    if mine is not None:
+                        yield from done(*mine, sets)
+                    no, sets = b.column("no")[i].as_py(), []
+                    mine = np.int64(b.column("rest")[i].as_py()), get("sids", "<i8"), get("cores", "<i4")
+                places = get("places", "<i4")
+                sets.append((get("rests", "<i8"), get("sizes", "<i8"), places, get("weights", f"<{'i' if b.column('weights')[i].as_buffer().size == 8 * len(places) else 'u'}{b.column('weights')[i].as_buffer().size // len(places)}")))
+        if mine is not None:
+            yield from done(*mine, sets)
+
+    found = []
+    for lo in range(0, n_packs, share):
+        some = packs.filter(F.col("pack").between(lo, min(lo + share, n_packs) - 1)).drop("pack")
+        part = q.crossJoin(F.broadcast(some)).mapInArrow(run, "sid long, shared int, n_items long")
+        found.append(part if share >= n_packs else materialise(part, "tag-histograms"))
+    return union_all(found).groupBy("sid", "shared").agg(F.sum("n_items").alias("n_items")) if len(found) > 1 else found[0]
+
+
 CELLS = 1 << 20             # of a matrix tracks x tags, and of a strip of the counts tags x tags
 HELD_TAGS = 2048            # up to it a task holds its counts of all pairs; beyond it those of a strip of tracks move on
 

@@ -129,6 +129,39 @@ def test_histograms_of_large_sets_by_blocks_of_bits(spark):
     assert R._subsets(R._tag_sets(most, "q")).count() < 64
 
 
+@pytest.mark.parametrize("low,width", [(9, 5), (2, 10)])
+def test_histograms_of_large_sets_by_tables(spark, low, width, monkeypatch):
+    """Heavy sets, several packs and groups: tables over any part of the tags agree with brute force."""
+    rnd = random.Random(8)
+    tags = [f"t{i:02d}" for i in range(14)]
+    sets = [sorted(rnd.sample(tags, rnd.randint(1, 10))) for _ in range(60)]
+    left = spark.createDataFrame([(i << 33, s) for i, s in enumerate(sets)], "sid long, s array<string>")
+    right = spark.createDataFrame([(s + ["unknown"], rnd.choice([1, 70_000, 1 << 33])) for s in sets], "s array<string>, w long")
+    want = {}
+    for i, a in enumerate(sets):
+        for s, w in right.collect():
+            g = len(set(a) & set(s))
+            if g:
+                want[i << 33, g] = want.get((i << 33, g), 0) + w
+    got = tagbits.table_histograms(left, right, tagbits.Tables(tags, low, width), table_sets=25, queries=9, group_bytes=300).collect()
+    assert len(got) == len(want) and {(r["sid"], r["shared"]): r["n_items"] for r in got} == want
+    assert tagbits.table_plan(left, right) is None
+    monkeypatch.setattr(tagbits, "LEAST_PAIRS", 0)
+    monkeypatch.setattr(tagbits, "PAIR_S", 1.0)
+    assert set(tagbits.table_plan(left, right).tags) == set(tags)
+
+
+def test_many_large_sets_are_not_compared_as_pairs(spark, monkeypatch):
+    """Where blocks of all pairs cost more, gain_histogram takes tables."""
+    rows, c = corpus(spark, 60)
+    plain = {(r["q"], r["shared"]): r["n_items"] for r in R.gain_histogram(c, c).collect()}
+    monkeypatch.setattr(R, "SUBSET_TAGS", 1)
+    monkeypatch.setattr(tagbits, "LEAST_PAIRS", 0)
+    monkeypatch.setattr(tagbits, "PAIR_S", 1.0)
+    monkeypatch.setattr(R, "shared_histograms", None)
+    assert {(r["q"], r["shared"]): r["n_items"] for r in R.gain_histogram(c, c).collect()} == plain
+
+
 def judged(spark, rows):
     return spark.createDataFrame(rows, "q long, item long, rank int, gain int, rel int, n_relevant long")
 
