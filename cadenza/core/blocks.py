@@ -83,6 +83,22 @@ def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return _unit(q) @ _unit(c).T if metric == "cosine" else -_distance(q, c)
 
 
+def _above(q: np.ndarray, c: np.ndarray, least: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of all pairs that may reach ``least`` of their row, and a few more.
+
+    Cosines are first made in single precision, whose error is bounded; only what may reach the limit is made again in double precision.
+    """
+    if metric == "cosine":
+        u, v = _unit(q), _unit(c)
+        slack = 10.0 ** -DIGITS + (q.shape[1] + 8) * 2.0 ** -23
+        row, col = np.nonzero(u.astype(np.float32) @ v.astype(np.float32).T >= np.nextafter((least - slack).astype(np.float32), np.float32(-np.inf))[:, None])
+        if len(row) * 16 <= len(q) * len(c):
+            return row, col, np.round(np.einsum("ij,ij->i", u[row], v[col]), DIGITS) + 0.0
+    score = _exact(q, c, metric)
+    row, col = np.nonzero(score >= (least - 10.0 ** -DIGITS)[:, None])
+    return row, col, np.round(score[row, col], DIGITS) + 0.0
+
+
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.round(_exact(q, c, metric), DIGITS) + 0.0
 
@@ -118,17 +134,17 @@ def streamed_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
             for i in range(len(b)):
                 cid, cv = _matrix(b, i, "")
                 qid, qv = _matrix(b, i, "q_")
-                score = _exact(qv, cv, metric)
-                if exclude_self:
-                    score[qid[:, None] == cid[None, :]] = -np.inf
                 # The best so far of this block of queries, and those of this block of the corpus.
                 held = state.get((qid[0], len(qid)))
                 if held is not None and len(held[1]) == k * len(qid):
                     # Only scores that may reach a query's k-th best are rounded and ranked.
-                    row, col = np.nonzero(score >= (held[3][k - 1::k] - 10.0 ** -DIGITS)[:, None])
-                    value = np.round(score[row, col], DIGITS) + 0.0
+                    row, col, value = _above(qv, cv, held[3][k - 1::k], metric)
+                    if exclude_self:
+                        row, col, value = (x[qid[row] != cid[col]] for x in (row, col, value))
                 else:
-                    score = np.round(score, DIGITS) + 0.0
+                    score = _scores(qv, cv, metric)
+                    if exclude_self:
+                        score[qid[:, None] == cid[None, :]] = -np.inf
                     row, col = _best(score, cid, k)
                     value = score[row, col]
                 r, ids, s = (row, cid[col], value) if held is None else (np.concatenate([held[1], row]), np.concatenate([held[2], cid[col]]), np.concatenate([held[3], value]))
@@ -234,18 +250,18 @@ def probed_topk(queries: DataFrame, probes: DataFrame, corpus: DataFrame, k: int
                 if len(mine) == 0:
                     continue
                 _, ids, best = state
-                score = _exact(qv[mine], cv, metric)
-                if exclude_self:
-                    score[qid[mine][:, None] == cid[None, :]] = -np.inf
                 least = best[mine, k - 1]
                 if np.isinf(least).any():
-                    score = np.round(score, DIGITS) + 0.0
+                    score = _scores(qv[mine], cv, metric)
+                    if exclude_self:
+                        score[qid[mine][:, None] == cid[None, :]] = -np.inf
                     row, col = _best(score, cid, k)
                     value = score[row, col]
                 else:
                     # Only scores that may reach a query's k-th best are rounded and ranked.
-                    row, col = np.nonzero(score >= (least - 10.0 ** -DIGITS)[:, None])
-                    value = np.round(score[row, col], DIGITS) + 0.0
+                    row, col, value = _above(qv[mine], cv, least, metric)
+                    if exclude_self:
+                        row, col, value = (x[qid[mine][row] != cid[col]] for x in (row, col, value))
                 r, at = np.nonzero(best[mine] > -np.inf)
                 r, x, s = np.concatenate([r, row]), np.concatenate([ids[mine][r, at], cid[col]]), np.concatenate([best[mine][r, at], value])
                 order = np.lexsort((x, -s, r))

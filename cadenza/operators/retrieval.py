@@ -22,9 +22,10 @@ RECALL_SAMPLE = 2000        # queries on which the number of probes is chosen
 
 
 def l2_normalise(df: DataFrame, vec: str = "vec", eps: float = 1e-12) -> DataFrame:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn("_norm", F.greatest(norm, F.lit(eps))).withColumn(
-        vec, F.transform(vec, lambda x: x / F.col("_norm"))).drop("_norm")
+    """Vectors of length one. The norm is a lambda's variable: as a column it would be put in for, and computed at, every component."""
+    norm = F.greatest(F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)), F.lit(eps))
+    scaled = F.transform(F.array(norm), lambda n: F.transform(vec, lambda x: x / n))
+    return df.withColumn(vec, F.element_at(scaled, 1))
 
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:

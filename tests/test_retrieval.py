@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.core import blocks
 from cadenza.core.blocks import blocked_topk, nearest_of_table, probed_topk, streamed_topk
 from cadenza.operators import retrieval as R
 from cadenza.operators import tagbits
@@ -77,6 +78,14 @@ def test_probes_are_chosen_for_a_recall(spark):
     assert 1 < n <= 16 and recall(n) >= 0.9 > recall(n // 2)
 
 
+def test_norm_is_computed_once_a_vector(spark):
+    _, c = corpus(spark, 5)
+    got = R.l2_normalise(c.select("id", "vec"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(greatest" in plan and "_norm" not in plan
+    assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-12 for r in got.collect())
+
+
 def test_zero_vector_is_safe(spark):
     z = spark.createDataFrame([(1, [0.0, 0.0])], "id long, vec array<double>")
     assert R.l2_normalise(z).first()["vec"] == [0.0, 0.0]
@@ -162,6 +171,23 @@ def test_many_large_sets_are_not_compared_as_pairs(spark, monkeypatch):
     assert {(r["q"], r["shared"]): r["n_items"] for r in R.gain_histogram(c, c).collect()} == plain
 
 
+def test_single_precision_only_leaves_out_what_cannot_rank():
+    """Cosines that differ by less than single precision shows, and blocks in which every pair ties."""
+    rnd = np.random.default_rng(3)
+    c = rnd.normal(size=(400, 8))
+    c[200:] = c[0] + rnd.normal(size=(200, 8)) * 1e-5
+    q = np.concatenate([c[:1], c[200:205], rnd.normal(size=(20, 8))])
+    score = blocks._scores(q, c, "cosine")
+    least = np.sort(score, axis=1)[:, -10]
+    for s, x, y in ((least, q, c), (np.ones(5), np.ones((5, 8)), np.ones((400, 8)))):
+        row, col, value = blocks._above(x, y, s, "cosine")
+        whole = blocks._scores(x, y, "cosine")
+        want = set(zip(*np.nonzero(whole >= s[:, None])))
+        assert want <= set(zip(row, col)) and np.allclose(value, whole[row, col], rtol=0, atol=2e-9)
+    row, _, _ = blocks._above(q[6:], c[:200], least[6:], "cosine")
+    assert len(row) < 16 * 20
+
+
 def judged(spark, rows):
     return spark.createDataFrame(rows, "q long, item long, rank int, gain int, rel int, n_relevant long")
 
